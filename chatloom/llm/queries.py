@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import conversations
+from chatloom.llm import conversations, evaluation_leaks, mixing
 from chatloom.session import read
 
 
@@ -16,6 +16,23 @@ def p2_sessions(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild_conversations(read(spark, d, "messages"), read(spark, d, "ingest_options"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    leaks = evaluation_leaks.find_leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+    return leaks.filter("distance = 0").select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation_leaks.find_leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read(spark, d, "documents"), read(spark, d, "source_targets"))[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read(spark, d, "documents"), read(spark, d, "source_targets"))[1]
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
