@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import conversations, evaluation_leaks, mixing
+from chatloom.llm import conversations, evaluation_leaks, mixing, turns
 from chatloom.session import read
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return turns.found(read(spark, d, "utterances"))
+
+
+def p1_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.speaker_turns(read(spark, d, "utterances"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.drop_reasons(read(spark, d, "contacts"), read(spark, d, "messages"))
 
