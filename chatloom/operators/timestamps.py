@@ -99,6 +99,7 @@ def normalize_timestamps(
     df: DataFrame,
     options: DataFrame,
     *,
+    evidence: DataFrame | None = None,
     key: str = "source_zip",
     ts: str = "timestamp",
     default_zone: str = DEFAULT_ZONE,
@@ -111,7 +112,8 @@ def normalize_timestamps(
     Repeated option rows of one key count as one (the smallest). Local times: a repeated hour is
     the earlier instant, a skipped hour is read with the offset before the change. Slash dates
     follow ``date_format``; where that is null, the order under which every readable slash date of
-    the key is valid, or ``default_order`` if both orders are. A null, empty or over-long text is
+    the key is valid, or ``default_order`` if both orders are. ``evidence`` has the rows that vote on
+    the order (df itself if None): pass the whole table when df is a part of it. A null, empty or over-long text is
     unreadable; a null key is one export without options. Rows, their order and all other columns
     stay; working columns have a prefix no input may use (``__ts_``).
     """
@@ -120,7 +122,9 @@ def normalize_timestamps(
         raise ValueError(f"columns must not start with {p}")
     text = F.regexp_replace(F.regexp_replace(F.col(ts), f"[{INVISIBLE}]", ""), rf"^[{WS}]+|[{WS}]+\z", "")
     text = F.when(F.length(F.col(ts)) <= 80, text)
-    df = df.withColumn(f"{p}t", text).withColumn(f"{p}f", _fields(F.col(f"{p}t")))
+    read_fields = lambda x: x.withColumn(f"{p}t", text).withColumn(f"{p}f", _fields(F.col(f"{p}t")))
+    df = read_fields(df)
+    votes = df if evidence is None else read_fields(evidence.select(key, ts))
     f = lambda name: F.col(f"{p}f")[0 if name == "form" else ROLES.index(name) + 1]
     zones = valid_zones(df.sparkSession)
 
@@ -129,7 +133,7 @@ def normalize_timestamps(
     dm, md = _possible(year, b, a), _possible(year, a, b)
     slash = f("form") == "slash"
     orders = (
-        df.select(F.col(key).alias(f"{p}k"), F.when(slash & (dm | md), F.struct(dm.alias("dm"), md.alias("md"))).alias("v"))
+        votes.select(F.col(key).alias(f"{p}k"), F.when(slash & (dm | md), F.struct(dm.alias("dm"), md.alias("md"))).alias("v"))
         .groupBy(f"{p}k")
         .agg(F.bool_and("v.dm").alias(f"{p}dm"), F.bool_and("v.md").alias(f"{p}md"))
     )
