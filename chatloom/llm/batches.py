@@ -116,7 +116,7 @@ def match(new: DataFrame, index: DataFrame) -> DataFrame:
 def message_rows(parsed: DataFrame, archives: DataFrame, options: DataFrame) -> DataFrame:
     """Text rows of parsed with scope and class_id; rows without id, batch, sender, time or chat are left out."""
     p = parsed.filter("type = 'text' and row_id is not null and batch_no is not null").select("row_id", "batch_no", "source_zip", "timestamp", "sender", "content")
-    rows = with_scope(p, archives, options).withColumns(content_columns(F.col("content")))
+    rows = with_scope(p, parsed, archives, options).withColumns(content_columns(F.col("content")))
     rows = rows.withColumn("class_id", F.xxhash64("scope", "letters", F.col("denials"), F.col("is_cut"))).select(
         "row_id", "batch_no", "scope", "letters", "digits", "denials", "is_cut", "class_id"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import batches, conversations, evaluation_leaks, mixing, turns
+from chatloom.llm import batches, conversations, evaluation_leaks, mixing, survivors, turns
 from chatloom.session import read
 
 
@@ -24,6 +24,14 @@ def p2_sessions(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild_conversations(read(spark, d, "messages"), read(spark, d, "ingest_options"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.found(read(spark, d, "parsed"), read(spark, d, "archives"), read(spark, d, "ingest_options"))
+
+
+def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.survivors(read(spark, d, "parsed"), read(spark, d, "archives"), read(spark, d, "ingest_options"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return batches.find_repeats(read(spark, d, "parsed"), read(spark, d, "archives"), read(spark, d, "ingest_options"))
 
