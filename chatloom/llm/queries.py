@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import batches, conversations, evaluation_leaks, mixing, survivors, turns
+from chatloom.llm import batches, conversations, encodings, evaluation_leaks, mixing, survivors, turns
 from chatloom.session import read
 
 
@@ -32,6 +32,14 @@ def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(read(spark, d, "parsed"), read(spark, d, "archives"), read(spark, d, "ingest_options"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.found(read(spark, d, "parsed"))
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.restore(read(spark, d, "parsed"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return batches.find_repeats(read(spark, d, "parsed"), read(spark, d, "archives"), read(spark, d, "ingest_options"))
 
