@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.text import INVISIBLE
 
-_DROP = re.compile(f"[{INVISIBLE}̀-゙゚ͯ]")
+_DROP = re.compile(f"[{INVISIBLE}\u0300-\u036f\u3099\u309a]")
 _WORD = re.compile(r"[^\W_]+")
 _SPACELESS = re.compile(r"[぀-ヿ㐀-鿿]")
 

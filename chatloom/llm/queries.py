@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import batches, conversations, encodings, evaluation_leaks, mixing, survivors, turns
+from chatloom.llm import (
+    batches,
+    conversations,
+    encodings,
+    evaluation_leaks,
+    mixing,
+    personal_data,
+    sentences,
+    survivors,
+    turns,
+)
 from chatloom.session import read
 
 
@@ -24,6 +34,14 @@ def p2_sessions(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild_conversations(read(spark, d, "messages"), read(spark, d, "ingest_options"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data.found(read(spark, d, "parsed"), read(spark, d, "utterances"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data.redact(*personal_data.tables(read(spark, d, "parsed"), read(spark, d, "utterances")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.found(read(spark, d, "parsed"), read(spark, d, "archives"), read(spark, d, "ingest_options"))
 
@@ -61,6 +79,14 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read(spark, d, "documents"), read(spark, d, "source_targets"))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.found(read(spark, d, "documents"))
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(read(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
