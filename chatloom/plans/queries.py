@@ -5,19 +5,376 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chatloom.functions import chat
+from chatloom.functions.periods import day_header, lenient_date, period_bounds, period_boundaries, period_label
+from chatloom.functions.text import js_trim
+from chatloom.operators import dedup, media, parser, render, store
+from chatloom.operators.ordering import changes, islands, number_rows
 from chatloom.operators.timestamps import normalize_timestamps
+from chatloom.plans.oracles import ORACLES
+from chatloom.schemas import SPLITS
 from chatloom.session import read
 
+Query = Callable[[SparkSession, str], DataFrame]
+SLICE = 8192
+_QUERIES: dict[str, Query] = {}
 
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _spoken(spark: SparkSession, d: str) -> DataFrame:
+    """Text rows of parsed with a sender."""
+    return read(spark, d, "parsed").filter("type = 'text' and sender is not null and sender != ''")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Log lines written from parsed rows: every row has an own stamp, contents may span lines."""
+    r = F.col("row_id")
+    stamp = F.format_string("%d/%d/26, %02d:%02d - ", 1 + r % 12, 1 + r % 28, r % 24, r % 60)
+    text = F.concat(stamp, "sender", F.lit(": "), F.regexp_replace("content", r"[\r  ]", " "))
+    rows = _spoken(spark, d).select("source_zip", "pos", "row_id", F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    rows = number_rows(rows, ["source_zip"], F.floor(F.col("pos") / SLICE), ["pos", "row_id", "i"], "line_no")
+    return rows.select("source_zip", F.col("line_no").cast("int").alias("line_no"), "line")
+
+
+@query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     times = normalize_timestamps(read(spark, d, "parsed").select("row_id", "source_zip", "timestamp"), read(spark, d, "ingest_options"))
     return times.select("row_id", "utc_sec").filter("utc_sec is not null")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found}
+@query
+def flagship_sender_weeks(spark: SparkSession, d: str) -> DataFrame:
+    rows = parser.parse_lines(_lines(spark, d), "MM/DD")
+    return rows.groupBy("sender", period_label(lenient_date(F.col("timestamp")), "1w").alias("period")).agg(F.count("*").alias("messages"))
+
+
+@query
+def parse_chat_log(spark: SparkSession, d: str) -> DataFrame:
+    rows = parser.parse_lines(_lines(spark, d), "MM/DD")
+    return rows.select("source_zip", "pos", "timestamp", "sender", "content", "type", "edited")
+
+
+@query
+def detect_date_format(spark: SparkSession, d: str) -> DataFrame:
+    return parser.detect_formats(_lines(spark, d)).select("source_zip", "date_format")
+
+
+@query
+def start_lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").filter("text is not null")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    p = chat.start_line(F.col("line"))
+    return rows.filter(p["is_start"]).select("doc_id", F.col("i").cast("long").alias("line_no"), p["date"].alias("d"), p["time"].alias("t"), p["body"].alias("body"))
+
+
+@query
+def parse_warnings(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("source_zip"), "text")
+    return parser.warnings(parser.log_lines(docs, drop_last_empty=False)).groupBy("source_zip").agg(F.count("*").alias("warnings"))
+
+
+@query
+def split_sender(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "parsed").filter("content is not null")
+    s = chat.split_body(F.col("content"))
+    return p.select("row_id", s["sender"].alias("sender"), s["raw"].alias("raw"), s["system"].alias("system"))
+
+
+@query
+def content_rules(spark: SparkSession, d: str) -> DataFrame:
+    c = chat.content_rules(read(spark, d, "parsed").select("row_id", "content"), F.coalesce("content", F.lit("")), "c")
+    return c.select("row_id", "c.type", "c.content", "c.edited", "c.omitted")
+
+
+@query
+def system_subtype(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "parsed").filter("content is not null")
+    return p.select("row_id", chat.system_subtype(F.col("content")).alias("kind"), chat.is_system(F.col("content")).alias("is_system"))
+
+
+@query
+def media_kind(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "parsed").filter("media_file is not null")
+    ext = F.lower(F.element_at(F.split("media_file", r"\."), -1))
+    return m.select(
+        "row_id", chat.media_subtype(F.col("media_file")).alias("kind"), chat.mime_type(F.col("media_file")).alias("mime"), ext.isin(chat.AUDIO_INPUTS).alias("is_audio"),
+        ext.isin(chat.IMAGE_INPUTS).alias("is_image"), chat.sidecar_path(F.col("media_file")).alias("sidecar"),
+    )
+
+
+@query
+def message_id(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "parsed")
+    return dedup.with_id(p).select("row_id", "message_id")
+
+
+@query
+def dedup_first(spark: SparkSession, d: str) -> DataFrame:
+    p = dedup.with_id(read(spark, d, "parsed"))
+    return dedup.first_occurrence(p, ["source_zip", "message_id"], ["pos", "row_id"]).select("row_id")
+
+
+@query
+def dedup_media_variant(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "parsed").drop("pos").withColumnRenamed("row_id", "pos").withColumn("pos", F.col("pos").cast("int"))
+    return dedup.dedup_archive(p, "omitted_only").select(F.col("pos").cast("long").alias("row_id"), F.col("slot").cast("long").alias("slot"))
+
+
+def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(index of the early archives, rows of the late ones) from messages, by archive name."""
+    m = read(spark, d, "messages").filter("message_id is not null and contact is not null")
+    late = F.col("source_zip").rlike(r"\(\d+\)\.zip$")
+    first = lambda x: dedup.first_occurrence(x, ["message_id"], ["contact", "seq", "source_zip"])
+    return first(m.filter(~late)), first(m.filter(late))
+
+
+@query
+def merge_incremental(spark: SparkSession, d: str) -> DataFrame:
+    index, new = _batches(spark, d)
+    added = new.join(index, "message_id", "left_anti")
+    top = index.groupBy("contact").agg(F.max("seq").alias("top"))
+    rows = number_rows(added, ["contact"], F.floor(F.col("seq") / SLICE), ["seq", "message_id"], "nth").join(top, "contact", "left")
+    return rows.select("contact", "message_id", (F.coalesce("top", F.lit(0)) + F.col("nth")).alias("new_seq"))
+
+
+@query
+def merge_counts(spark: SparkSession, d: str) -> DataFrame:
+    index, new = _batches(spark, d)
+    hit = new.join(index.select("message_id", F.lit(True).alias("known")), "message_id", "left")
+    return hit.agg(F.count_if("known").alias("skipped"), F.count_if(F.col("known").isNull()).alias("added"))
+
+
+@query
+def merge_upsert_media(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "messages").filter("message_id is not null")
+    busiest = m.groupBy("contact").agg(F.count("*").alias("n")).groupBy().agg(F.max(F.struct("n", "contact"))["contact"].alias("contact")).first()
+    name = busiest["contact"] if busiest and busiest["contact"] else ""
+    m = m.filter(F.col("contact") == name).withColumn("sender", F.coalesce("sender", F.lit("")))
+    late = F.col("source_zip").rlike(r"\(\d+\)\.zip$")
+    new = m.filter(late).withColumn("slot", F.col("seq").cast("int")).withColumn("is_media_omitted", F.lit(False))
+    return store.merge_archive(m.filter(~late), new, name).select("action", "pos", "seq")
+
+
+def _period_query(interval: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        m = read(spark, d, "messages")
+        return m.groupBy(period_label(lenient_date(F.col("timestamp")), interval).alias("label")).agg(F.count("*").alias("n"))
+
+    return run
+
+
+for _split in SPLITS:
+    _QUERIES[f"period_{_split}"] = _period_query(_split)
+
+
+@query
+def period_boundaries_1w(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "messages").groupBy("contact").agg(F.min(lenient_date(F.col("timestamp"))).alias("a"), F.max(lenient_date(F.col("timestamp"))).alias("b"))
+    return m.select("contact", F.explode(period_boundaries(F.col("a"), F.col("b"), "1w")).alias("label"))
+
+
+@query
+def order_quarters(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    start, end = period_bounds(o["o_orderdate"].cast("date"), "3mo")
+    return o.groupBy(start.cast("string").alias("q_start"), end.cast("string").alias("q_end")).agg(F.count("*").alias("n"))
+
+
+@query
+def contact_periods(spark: SparkSession, d: str) -> DataFrame:
+    return store.contact_periods(read(spark, d, "messages"))
+
+
+@query
+def contact_message_count(spark: SparkSession, d: str) -> DataFrame:
+    return store.contact_counts(read(spark, d, "messages"))
+
+
+@query
+def day_headers(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "messages").filter("contact is not null")
+    rows = changes(m, ["contact", "period"], F.floor(F.col("seq") / SLICE), ["seq", "message_id", "source_zip"], F.substring("timestamp", 6, 5), "new_day")
+    return rows.filter("new_day").select("contact", "period", "seq", day_header(lenient_date(F.col("timestamp"))).alias("header"))
+
+
+@query
+def detect_self(spark: SparkSession, d: str) -> DataFrame:
+    """The owner among each owner's chats: the sender present in all contacts of one export owner."""
+    m = read(spark, d, "messages").select("source_zip", "contact", "sender")
+    o = read(spark, d, "ingest_options").filter("self = 'Portaria Central'").select("source_zip")
+    return store.detect_self(m.join(o, "source_zip", "left_semi").select("contact", "sender"))
+
+
+@query
+def group_test(spark: SparkSession, d: str) -> DataFrame:
+    return store.group_test(read(spark, d, "parsed"))
+
+
+@query
+def overlap_votes(spark: SparkSession, d: str) -> DataFrame:
+    """For each archive the chat of an earlier archive that holds most of its messages."""
+    p = dedup.with_id(read(spark, d, "parsed")).select("source_zip", "message_id").distinct()
+    a = read(spark, d, "archives").select("source_zip", "zip_order", "contact_name")
+    p = p.join(a, "source_zip")
+    n = p.groupBy("source_zip").agg(F.count("*").alias("total"))
+    old = p.select("message_id", F.col("zip_order").alias("o_order"), F.col("contact_name").alias("contact"))
+    # one earliest holder per id keeps hot ids from pairing all their archives
+    old = old.groupBy("message_id").agg(F.min(F.struct("o_order", "contact")).alias("o")).select("message_id", "o.*")
+    votes = p.join(old, "message_id").filter("o_order < zip_order").groupBy("source_zip", "contact").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("source_zip").agg(F.max(F.struct("votes", "contact")).alias("b"))
+    return best.join(n, "source_zip").filter(F.col("b.votes") / F.col("total") > 0.3).select("source_zip", "b.contact", "b.votes", "total")
+
+
+@query
+def latest_meta(spark: SparkSession, d: str) -> DataFrame:
+    m = store.latest_meta(read(spark, d, "archives"))
+    return m.select("contact_name", "date_format", "encoding", F.size("source_zips").cast("long").alias("archives"))
+
+
+@query
+def sanitize_name(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "contacts").filter("contact is not null")
+    return c.select("contact", chat.sanitize_name(F.concat(F.lit(" ..a/b:"), "contact", F.lit("?*._ "))).alias("safe"))
+
+
+@query
+def contact_from_zip(spark: SparkSession, d: str) -> DataFrame:
+    a = read(spark, d, "archives")
+    return a.select("source_zip", chat.contact_from_zip(F.concat(F.lit("in/"), "source_zip")).alias("contact"), chat.zip_language(F.col("source_zip")).alias("language"))
+
+
+@query
+def alias_display_sender(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "messages").join(read(spark, d, "contacts").select("contact", (F.col("type") == "group").alias("g")), "contact")
+    table = F.create_map(F.lit("Portaria Central"), F.lit("Portaria"))
+    shown = chat.display_sender(F.coalesce("sender", F.lit("")), table, F.col("g"), F.lit("Portaria"))
+    return m.groupBy("contact", shown.alias("shown")).agg(F.count("*").alias("n"))
+
+
+@query
+def media_left_join(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "messages").filter("media_file is not null").select("contact", "media_file", "source_zip")
+    a = read(spark, d, "archives").select("source_zip", F.explode("media_files").alias("media_file")).distinct().withColumn("there", F.lit(True))
+    hit = m.join(a, ["source_zip", "media_file"], "left")
+    return hit.groupBy("contact").agg(F.count("*").alias("n"), F.count_if("there").alias("present"))
+
+
+@query
+def media_registration(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "messages").filter("media_file is not null").select("contact", F.col("media_file").alias("filename")).distinct()
+    known = read(spark, d, "archives").select(F.col("contact_name").alias("contact"), F.explode("media_files").alias("filename")).distinct()
+    return known.select("contact", "filename", F.lit("known").alias("status")).unionByName(m.join(known, ["contact", "filename"], "left_anti").withColumn("status", F.lit("pending")))
+
+
+@query
+def range_line_join(spark: SparkSession, d: str) -> DataFrame:
+    """Messages and the lines of their range, joined through the message's start line."""
+    lines = _lines(spark, d)
+    b = parser.blocks(lines)
+    got = b.select("source_zip", "line_start", F.explode(F.sequence("line_start", "line_end")).alias("line_no")).join(lines, ["source_zip", "line_no"])
+    return got.groupBy("source_zip").agg(F.count("*").alias("lines"), F.countDistinct("line_start").alias("messages"))
+
+
+@query
+def pending_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    a = read(spark, d, "archives").select("source_zip", F.explode("media_files").alias("f"))
+    paths = a.select(F.concat("source_zip", F.lit("/"), "f").alias("path")).distinct()
+    done = paths.filter(F.col("path").rlike(r"[02468]\.[a-z0-9]+$")).select(chat.sidecar_path(F.col("path")).alias("path"))
+    from chatloom.sources.archives import pending
+
+    return pending(paths, done)
+
+
+@query
+def utterance_islands(spark: SparkSession, d: str) -> DataFrame:
+    u = read(spark, d, "utterances").filter("recording_id is not null")
+    name = F.coalesce("speaker", F.lit("Desconhecido"))
+    rows = islands(u, ["recording_id"], F.floor(F.col("utt_id") / SLICE), ["utt_id"], name, "island")
+    return rows.groupBy("recording_id", "island").agg(
+        F.min_by(name, "utt_id").alias("speaker"), F.count("*").alias("n"), F.min_by("start_time", "utt_id").alias("start_time"), F.max_by("end_time", "utt_id").alias("end_time"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("utt_id", F.coalesce("text", F.lit("")).alias("text")))), lambda s: s["text"]), " ").alias("text"),
+    )
+
+
+@query
+def format_timestamp(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "utterances").select("utt_id", chat.clock(F.floor("start_time")).alias("clock"))
+
+
+@query
+def speech_document(spark: SparkSession, d: str) -> DataFrame:
+    u = utterance_islands(spark, d).select("recording_id", F.col("island").alias("utterance_no"), "speaker", F.floor("start_time").alias("start_time"), F.floor("end_time").alias("end_time"), "text")
+    return render.speech_markdown(u, ["recording_id"])
+
+
+def _rendered(spark: SparkSession, d: str) -> DataFrame:
+    m = dedup.first_occurrence(read(spark, d, "messages").filter("contact is not null and message_id is not null"), ["message_id"], ["contact", "seq", "source_zip", "loaded_at", "sender", "timestamp"])
+    return m.withColumns({
+        "content": F.concat(F.lit("m "), F.substring("message_id", 1, 6)), "transcription": F.when(F.col("subtype") == "audio", "fala"), "media_exists": F.col("seq") % 2 == 0,
+        "is_media_omitted": (F.col("type") == "media") & F.col("media_file").isNull(), "sender": F.coalesce("sender", F.lit("")),
+    })
+
+
+@query
+def render_messages(spark: SparkSession, d: str) -> DataFrame:
+    return _rendered(spark, d).select("message_id", render.message_markdown(F.col("sender")).alias("md"))
+
+
+@query
+def render_period_document(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "contacts").withColumn("source_zips", F.array_sort("source_zips"))
+    docs = render.period_documents(_rendered(spark, d), c, F.col("sender"))
+    return docs.select("contact", "period", "messages", F.concat("sanitized_name", F.lit("/"), "period", F.lit(".md")).alias("path"), F.md5("body").alias("body_md5"))
+
+
+@query
+def screenshot_markdown(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "messages").filter("message_id is not null")
+    kind = F.when(F.col("type") == "media", F.initcap("subtype")).when(F.col("type") == "deleted", "Deleted").otherwise("Text")
+    s = F.struct(
+        F.substring("timestamp", 1, 10).alias("date"), F.substring("timestamp", 12, 5).alias("time"), F.coalesce("sender", F.lit("")).alias("sender"), F.concat(F.lit("a\n"), "contact").alias("content"),
+        kind.alias("media_type"), F.col("media_file").alias("media_description"), F.when(F.col("edited"), "Read").otherwise("Unknown").alias("message_status"), F.lit(False).alias("is_forwarded"),
+        F.col("edited").alias("is_edited"), F.lit(True).alias("is_reply"), F.col("reply_to").alias("reply_preview"), (F.col("seq") % 3 == 0).alias("date_inferred"),
+    )
+    return m.select("message_id", render.screenshot_message(s).alias("md"))
+
+
+@query
+def cleanup_section(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").filter("text is not null")
+    text = F.concat("text", F.lit("\n---\n\n" + render.FULL_TEXT + "\n\n"), "text")
+    return docs.select("doc_id", render.drop_full_text(text).alias("body"))
+
+
+@query
+def stats_union(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "parsed").withColumn("status", F.when(F.col("is_media_omitted"), "failed").when(F.col("type") == "media", "processed").otherwise("skipped"))
+    return media.union_stats(media.run_stats(p), media.run_stats(p.filter("batch_no > 0")))
+
+
+@query
+def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    from chatloom.streaming.ingest import windowed_counts as counts
+
+    e = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("sender"))
+    return counts(e).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "sender", "messages")
+
+
+@query
+def trimmed_contents(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "parsed").filter("content is not null")
+    return p.select("row_id", F.length(js_trim(F.col("content"))).cast("long").alias("n"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

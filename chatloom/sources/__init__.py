@@ -1 +1 @@
-
+"""Readers and writers of archives, media and documents."""
