@@ -114,12 +114,12 @@ def normalize_timestamps(
     follow ``date_format``; where that is null, the order under which every readable slash date of
     the key is valid, or ``default_order`` if both orders are. ``evidence`` has the rows that vote on
     the order (df itself if None): pass the whole table when df is a part of it. A null, empty or over-long text is
-    unreadable; a null key is one export without options. Rows, their order and all other columns
-    stay; working columns have a prefix no input may use (``__ts_``).
+    unreadable; a null key is one export without options. Rows and all other columns stay; a
+    column that is already called ``out`` is replaced.
     """
     p = "__ts_"
-    if any(c.startswith(p) for c in df.columns):
-        raise ValueError(f"columns must not start with {p}")
+    while any(c.startswith(p) for c in [*df.columns, *(evidence.columns if evidence is not None else [])]):
+        p += "_"
     text = F.regexp_replace(F.regexp_replace(F.col(ts), f"[{INVISIBLE}]", ""), rf"^[{WS}]+|[{WS}]+\z", "")
     text = F.when(F.length(F.col(ts)) <= 80, text)
     read_fields = lambda x: x.withColumn(f"{p}t", text).withColumn(f"{p}f", _fields(F.col(f"{p}t")))
@@ -181,5 +181,5 @@ def normalize_timestamps(
         .when(f("z") != "", secs - _offset_minutes(f("z")).cast("bigint") * 60)
         .otherwise(by_zone)
     ).cast("bigint")
-    keep = [c for c in df.columns if not c.startswith(p)]
+    keep = [c for c in df.columns if not c.startswith(p) and c.lower() != out.lower()]
     return df.select(*keep, value.alias(out))
