@@ -53,40 +53,44 @@ def _sequence(bs: list[int]) -> str | None:
     return s if len(s) == 1 else None
 
 
-def _wild(best: list, i: int, j: int, text: str, fixed: int, value: float) -> None:
-    """An arc over bytes of which some are gone: any character with this lead."""
-    if value > best[j][0]:
-        best[j] = (value, i, text + LOST, fixed + 1)
-
-
 def viterbi(token: str, channel: str, logp: dict[str, float], floor: float) -> tuple[str, float, int]:
     """(text, gain over keeping every character, repaired sequences) of the best path."""
     table, n = byte_of(channel), len(token)
-    best: list[tuple[float, int, str, int]] = [(0.0, 0, "", 0)] + [(-math.inf, 0, "", 0)] * n
+    score = [0.0] + [-math.inf] * n
+    back: list[tuple[int, str, int]] = [(0, "", 0)] * (n + 1)
     keep = 0.0
+
+    def arc(i: int, j: int, value: float, emit: str, fixed: int) -> None:
+        if value > score[j]:
+            score[j], back[j] = value, (i, emit, fixed)
+
     for i, ch in enumerate(token):
-        score, _, text, fixed = best[i]
         here = 0.0 if ch.isascii() else logp.get(ch, floor)
         keep += here
-        if score + here > best[i + 1][0]:
-            best[i + 1] = (score + here, i, text + ch, fixed)
+        arc(i, i + 1, score[i] + here, ch, 0)
         lead = table.get(ch, 0)
         size = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
+        lost = score[i] + floor / 2 - NOISE  # bytes are gone: any character with this lead
         if size and i + size <= n:
-            tail = [table.get(x, 0) for x in token[i + 1 : i + size]]
+            rest = token[i + 1 : i + size]
+            tail = [table.get(x, 0) for x in rest]
             if all(0x80 <= b <= 0xBF for b in tail) and (new := _sequence([lead, *tail])):
-                value = score + logp.get(new, floor) - NOISE
-                if value > best[i + size][0]:
-                    best[i + size] = (value, i, text + new, fixed + 1)
-            elif any(x == LOST for x in token[i + 1 : i + size]) and all(x == LOST or 0x80 <= b <= 0xBF for x, b in zip(token[i + 1 : i + size], tail)):
-                _wild(best, i, i + size, text, fixed, score + floor / 2 - NOISE)
+                arc(i, i + size, score[i] + logp.get(new, floor) - NOISE, new, 1)
+            elif LOST in rest and all(x == LOST or 0x80 <= b <= 0xBF for x, b in zip(rest, tail)):
+                arc(i, i + size, lost, LOST, 1)
         if size >= 3:  # the last bytes are gone without a trace
             have = 1
             while have < size and i + have < n and 0x80 <= table.get(token[i + have], 0) <= 0xBF:
                 have += 1
             if 2 <= have < size:
-                _wild(best, i, i + have, text, fixed, score + floor / 2 - NOISE)
-    return best[n][2], best[n][0] - keep, best[n][3]
+                arc(i, i + have, lost, LOST, 1)
+    parts, fixed, j = [], 0, n
+    while j:
+        i, emit, k = back[j]
+        parts.append(emit)
+        fixed += k
+        j = i
+    return "".join(reversed(parts)), score[n] - keep, fixed
 
 
 def repair(token: str, logp: dict[str, float], floor: float, depth: int = 3) -> tuple[str, float, int]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatloom.session import cut
+from chatloom.session import cut, small
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BUCKETS = 1 << 14
@@ -88,7 +88,7 @@ def mix(
     """
     t = targets.filter("source is not null").groupBy("source").agg(F.min(F.struct("target_share", "max_repeats")).alias("v")).select("source", "v.*")
     docs = count_tokens(documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")), tokenizer=tokenizer).drop("text")
-    docs = docs.filter("doc_id is not null and tokens > 0").join(F.broadcast(t.select("source")), "source", "left_semi")
+    docs = docs.filter("doc_id is not null and tokens > 0").join(small(t.select("source")), "source", "left_semi")
     docs = cut(docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS))))
     have = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     rows = t.collect()
@@ -102,7 +102,7 @@ def mix(
     p = documents.sparkSession.createDataFrame(plan, "source string, target_share double, max_repeats int, available long, wanted double, whole long, quota double")
     sums = docs.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
     before = sums.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    docs = docs.join(F.broadcast(p.select("source", "whole", "quota")), "source")
+    docs = docs.join(small(p.select("source", "whole", "quota")), "source")
     docs = docs.join(before.select("source", "bucket", "n", "before"), ["source", "bucket"])
     inside = F.col("before") + F.col("n") <= F.col("quota")
     edge = ~inside & (F.col("before") < F.col("quota"))
@@ -114,6 +114,6 @@ def mix(
     )
     out = taken.select("doc_id", "source", "tokens", (F.col("whole") + F.col("extra")).alias("copies")).filter("copies > 0")
     got = out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken"))
-    report = p.drop("whole", "quota").join(F.broadcast(got), "source", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    report = p.drop("whole", "quota").join(small(got), "source", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     total_taken = F.sum("taken").over(W.partitionBy())
     return out, report.withColumn("share", F.when(total_taken > 0, F.col("taken") / total_taken).otherwise(0.0))
