@@ -53,8 +53,9 @@ def _sequence(bs: list[int]) -> str | None:
     return s if len(s) == 1 else None
 
 
-def viterbi(token: str, channel: str, logp: dict[str, float], floor: float) -> tuple[str, float, int]:
-    """(text, gain over keeping every character, repaired sequences) of the best path."""
+def viterbi(token: str, channel: str, logp: dict[str, float], floor: float, noise: float = NOISE) -> tuple[str, float, int]:
+    """(text, gain over keeping every character, repaired sequences) of the best path; a negative
+    noise makes every sequence that can be repaired worth it."""
     table, n = byte_of(channel), len(token)
     score = [0.0] + [-math.inf] * n
     back: list[tuple[int, str, int]] = [(0, "", 0)] * (n + 1)
@@ -70,12 +71,12 @@ def viterbi(token: str, channel: str, logp: dict[str, float], floor: float) -> t
         arc(i, i + 1, score[i] + here, ch, 0)
         lead = table.get(ch, 0)
         size = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
-        lost = score[i] + floor / 2 - NOISE  # bytes are gone: any character with this lead
+        lost = score[i] + floor / 2 - noise  # bytes are gone: any character with this lead
         if size and i + size <= n:
             rest = token[i + 1 : i + size]
             tail = [table.get(x, 0) for x in rest]
             if all(0x80 <= b <= 0xBF for b in tail) and (new := _sequence([lead, *tail])):
-                arc(i, i + size, score[i] + logp.get(new, floor) - NOISE, new, 1)
+                arc(i, i + size, score[i] + logp.get(new, floor) - noise, new, 1)
             elif LOST in rest and all(x == LOST or 0x80 <= b <= 0xBF for x, b in zip(rest, tail)):
                 arc(i, i + size, lost, LOST, 1)
         if size >= 3:  # the last bytes are gone without a trace
@@ -94,14 +95,31 @@ def viterbi(token: str, channel: str, logp: dict[str, float], floor: float) -> t
 
 
 def repair(token: str, logp: dict[str, float], floor: float, depth: int = 3) -> tuple[str, float, int]:
-    """The best repair over all code pages, repeated for text garbled more than once."""
-    text, gain, fixed = token, 0.0, 0
+    """(text, gain, sequences) of the best repair over all code pages.
+
+    Text garbled more than once needs a step that only pays with the next one, so steps are taken
+    both where they pay and wherever they are possible, and the end results are compared.
+    """
+    cost = lambda t: sum(0.0 if c.isascii() else floor / 2 if c == LOST else logp.get(c, floor) for c in t)
+    base, best = cost(token), (token, 0.0, 0)
+    seen, front = {token}, [(token, 0)]
     for _ in range(depth):
-        got = max((viterbi(text, c, logp, floor) for c in CHANNELS), key=lambda r: r[1])
-        if got[2] == 0 or got[1] <= 0:
+        after = []
+        for text, fixed in front:
+            for channel in CHANNELS:
+                for noise in (NOISE, -1e3):
+                    got, _, n = viterbi(text, channel, logp, floor, noise)
+                    if not n or got in seen:
+                        continue
+                    seen.add(got)
+                    gain = cost(got) - base - NOISE * (fixed + n)
+                    after.append((got, fixed + n))
+                    if gain > best[1]:
+                        best = (got, gain, fixed + n)
+        front = after
+        if not front:
             break
-        text, gain, fixed = got[0], gain + got[1], fixed + got[2]
-    return text, gain, fixed
+    return best
 
 
 def _tokens(rows: DataFrame, text: str) -> DataFrame:
