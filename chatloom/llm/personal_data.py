@@ -34,12 +34,13 @@ MENTION = "src string, row_id long, kind string, state string, shape string, l2
 # How at-sign and dot are spoken or hidden.
 _AT = r"(?:\s?[@＠]\s?|\s*[\[(]\s?(?:at|arroba)\s?[\])]\s*|\s+(?:arroba|at)\s+)"
 _DOT = r"(?:\s?\.\s?|\s*[\[(]\s?(?:dot|ponto|punto)\s?[\])]\s*|\s+(?:ponto|punto|dot)\s+)"
-_LOCAL = r"[a-z0-9_%+-]+(?:(?:\.|\s+(?:ponto|punto|dot)\s+)[a-z0-9_%+-]+)*"
+_LOCAL = r"[a-z0-9_%+-]{1,64}(?:(?:\.|\s+(?:ponto|punto|dot)\s+)[a-z0-9_%+-]{1,64}){0,8}"
 _TLD = r"(?:com|net|org|edu|gov|info|io|co|br|pt|es|uk|us|de|jp|in|au|ar|mx|example|test|invalid|local|localhost|[a-z]{2,12})"
-EMAIL = re.compile(rf"(?<![\w@]){_LOCAL}{_AT}[a-z0-9-]+(?:{_DOT}(?:[a-z0-9-]+{_DOT})*{_TLD})(?![\w@])", re.I)
+EMAIL = re.compile(rf"(?<![\w@]){_LOCAL}{_AT}[a-z0-9-]{{1,63}}(?:{_DOT}(?:[a-z0-9-]{{1,63}}{_DOT}){{0,8}}{_TLD})(?![\w@])", re.I)
 
 # Words for digits.
 DIGIT_WORDS = "zero um dois três tres quatro cinco seis sete oito nove meia uno una dos cuatro siete ocho nueve cero one two three four five six seven eight nine oh".split()  # noqa: SIM905
+_DIGIT_TOKENS = set(DIGIT_WORDS)
 _DW = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 SPOKEN = re.compile(rf"(?<!\w)(?:(?:{_DW})[\s,.-]+){{6,}}(?:{_DW})(?!\w)", re.I)
 
@@ -72,16 +73,33 @@ _MARKS = re.compile("[\u0300-\u036f]")
 _CONTEXT = re.compile(r"[^\W_]{2,}")
 
 
+def _fold_table() -> dict[int, str | None]:
+    """Base letters of accented Latin letters, by canonical decomposition; combining marks vanish."""
+    out: dict[int, str | None] = dict.fromkeys(range(0x300, 0x370))
+    for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(cp))[0]
+        if base.isascii():
+            out[cp] = base.lower()
+    return out
+
+
+_TABLE = _fold_table()
+_TOKEN = re.compile(rf"[^\W_{LOST}]+|[{LOST}\w]*{LOST}[{LOST}\w]*")
+_UPPER = re.compile(rf"(?<!\w)[^\W\d_a-zß-öø-ÿ]\w|{LOST}")
+_LONG_NUMBER = re.compile(r"\d(?:[\s.()\-]{0,2}\d){5}|\d{6}")
+_STREET_TOKENS = set("rua r avenida av avda alameda al travessa tv praca largo estrada rodovia calle c paseo plaza carrer camino carretera street st road rd avenue ave lane ln drive boulevard blvd court ct square terrace way place pl strasse".split())
+_AT_TOKENS = {"arroba", "at"}
+
+
 def _fold(s: str) -> str:
-    if s.isascii():
-        return s.lower()
-    return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).lower()
+    return s.lower() if s.isascii() else s.lower().translate(_TABLE)
 
 
-def _prepare(text: str) -> tuple[str, list[int] | None]:
+def _prepare(text: str, fillers: bool = True) -> tuple[str, list[int] | None]:
     """Text without invisible marks and hesitation sounds and with plain garbling undone, and the
     place of each character in the original (None if nothing changed)."""
-    if not (_FILLER.search(text) or _INVIS.search(text) or _MOJIBAKE.search(text) or _MARKS.search(text)):
+    odd = not text.isascii() and (_MOJIBAKE.search(text) or _INVIS.search(text) or _MARKS.search(text))
+    if not odd and not (fillers and _FILLER.search(text)):
         return text, None
     out, at = [], []
     for m in re.finditer(r"[ \n\r\t]+|[^ \n\r\t]+", text):
@@ -103,7 +121,7 @@ def _prepare(text: str) -> tuple[str, list[int] | None]:
                     at.append(base + i)
     clean = "".join(out)
     kept, places, last = [], [], 0
-    for m in _FILLER.finditer(clean):
+    for m in _FILLER.finditer(clean) if fillers else ():
         kept.append(clean[last : m.start()])
         places += at[last : m.start()]
         last = m.end()
@@ -125,13 +143,18 @@ class Finder:
         self.given, self.family = given, family
         self.masked = {w[:i] + LOST + w[i + 1 :] for w in given for i in range(len(w))}
 
-    def mentions(self, text: str) -> Iterator[tuple]:
-        """(kind, state, shape, l2, r2, key, start, end); state: sure, seed (sure and votes), open."""
-        t, at = _prepare(text)
+    def mentions(self, text: str, fillers: bool = True) -> Iterator[tuple]:
+        """(kind, state, shape, l2, r2, key, start, end); state: sure, seed (sure and votes), open.
+
+        fillers: hesitation sounds may interrupt what is said (speech). Each search runs only where
+        the words of the text leave room for a hit.
+        """
+        t, at = _prepare(text, fillers)
+        tokens = set(_TOKEN.findall(_fold(t)))
         where = (lambda i, j: (i, j)) if at is None else (lambda i, j: (at[i], at[j - 1] + 1 if j else 0))
         taken: list[tuple[int, int]] = []
         free = lambda i, j: all(j <= a or i >= b for a, b in taken)
-        if "@" in t or "＠" in t or "rroba" in t or "RROBA" in t or " at " in t or "(at" in t or "[at" in t:
+        if "@" in t or "＠" in t or not tokens.isdisjoint(_AT_TOKENS):
             for m in EMAIL.finditer(t):
                 plain = "@" in m[0] or "＠" in m[0]
                 spoken_at = re.search(r"\sat\s", m[0], re.I) and not re.search(r"dot|ponto|punto", m[0], re.I)
@@ -139,8 +162,7 @@ class Finder:
                     continue
                 taken.append(m.span())
                 yield ("email", "sure", "", "", "", "", *where(*m.span()))
-        digits = any(c.isdigit() for c in t)
-        if digits:
+        if not tokens.isdisjoint(_STREET_TOKENS):
             for rx in (ADDRESS_BEFORE, ADDRESS_AFTER):
                 for m in rx.finditer(t):
                     if rx is ADDRESS_BEFORE and not (_LOOSE.match(m[0]) or re.search(r"\s[A-ZÀ-ÞŒŠŽ]", m[0]) or m[0].isupper()):
@@ -148,6 +170,7 @@ class Finder:
                     if free(*m.span()):
                         taken.append(m.span())
                         yield ("address", "sure", "", "", "", "", *where(*m.span()))
+        if _LONG_NUMBER.search(t):
             for m in _NUMBER.finditer(t):
                 raw = m[0].strip()
                 n = sum(c.isdigit() for c in raw)
@@ -165,13 +188,14 @@ class Finder:
                 key = "".join(c for c in raw if c.isalnum()).upper()
                 shape = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", raw))
                 yield (kind or "", "seed" if kind else "open", shape, l2, r2, key, *where(*m.span()))
-        for m in SPOKEN.finditer(t):
+        for m in SPOKEN.finditer(t) if len(tokens & _DIGIT_TOKENS) > 2 else ():
             if free(*m.span()):
                 taken.append(m.span())
                 l2, r2 = _context(t, *m.span())
                 key = "".join(str(_digit(w)) for w in re.findall(r"\w+", m[0]))
                 yield ("", "open", "spoken", l2, r2, key, *where(*m.span()))
-        yield from self._names(t, taken, where)
+        if _UPPER.search(t) or not self.given.isdisjoint(tokens):
+            yield from self._names(t, taken, where)
 
     def _names(self, t: str, taken: list[tuple[int, int]], where) -> Iterator[tuple]:  # noqa: ANN001
         words = [(m[0], m.start(), m.end()) for m in _WORD.finditer(t)]
@@ -226,8 +250,10 @@ def seed_words(senders: DataFrame) -> DataFrame:
     A given name is the first word of three or more different full names, or a label of one word
     that names a speaker; family words are the other words of full names.
     """
+    # cut first: else the keys would be computed below the distinct, once for every row
+    senders = cut(senders.select("who").distinct())
     key = label_key(F.col("who"))
-    full = senders.select(key.alias("k")).filter("k is not null and k != '?' and not startswith(k, '#')").distinct()
+    full = cut(senders.select(key.alias("k")).distinct()).filter("k is not null and k != '?' and not startswith(k, '#')")
     parts = full.select("k", F.filter(F.split("k", r"[^\p{L}'’-]+"), lambda w: F.length(w) > 0).alias("w")).filter("size(w) > 0")
     first = parts.filter("size(w) > 1").groupBy(F.get("w", F.lit(0)).alias("word")).agg(F.count("*").alias("n")).filter(f"n >= {SUPPORT}").select("word")
     single = parts.filter("size(w) = 1").select(F.get("w", F.lit(0)).alias("word"))
@@ -253,7 +279,7 @@ def mentions(texts: DataFrame, seeds: DataFrame, block: int = BLOCK) -> DataFram
         def run(parts: Iterator[pd.DataFrame], b: object = b) -> Iterator[pd.DataFrame]:
             finder = Finder(*b.value)
             for pdf in parts:
-                rows = [(s, r, *m) for s, r, t in zip(pdf["src"], pdf["row_id"], pdf["text"]) for m in finder.mentions(t)]
+                rows = [(s, r, *m) for s, r, t in zip(pdf["src"], pdf["row_id"], pdf["text"]) for m in finder.mentions(t, s != "parsed")]
                 yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "state", "shape", "l2", "r2", "key", "start", "end"])
 
         part = plain.mapInPandas(run, MENTION)

@@ -91,5 +91,28 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+_INVIS = r"[\x{ad}\x{34f}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{fe00}-\x{fe0f}\x{feff}]"
+_KANA = r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]"
+_WHO = f"nullif(trim(regexp_replace(lower(strip_accents(regexp_replace(sender, '{_INVIS}', '', 'g'))), '[~\\s\\x{{a0}}]+', ' ', 'g')), '')"
+_STREAM = lambda c: f"regexp_extract_all(lower(strip_accents(regexp_replace({c}, '{_INVIS}', '', 'g'))), '[\\p{{L}}\\p{{N}}]+')"
+
+_SQL = {
+    # rows of one id once; then the three reasons in order
+    "p2_found": f"""
+WITH m AS (SELECT contact, message_id, min({{'q': seq, 't': CAST(replace(timestamp, 'T', ' ') AS TIMESTAMP), 'w': {_WHO}, 's': type IN ('text', 'media')}}) AS v FROM messages WHERE contact IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT contact, v.q AS q, v.t AS t, v.w AS w, v.s AS s, row_number() OVER (PARTITION BY contact ORDER BY v.q, v.t) AS n, lag(v.t) OVER (PARTITION BY contact ORDER BY v.q, v.t) AS p FROM m),
+g AS (SELECT contact, bool_or(q IS DISTINCT FROM n OR coalesce(t < p, false)) AS broken, min(w) FILTER (s) AS lo, max(w) FILTER (s) AS hi FROM r GROUP BY 1)
+SELECT * FROM (SELECT contact, CASE WHEN lo IS NULL THEN 'empty' WHEN broken THEN 'broken' WHEN lo = hi THEN 'no_reply' END AS reason FROM (SELECT DISTINCT contact FROM contacts WHERE contact IS NOT NULL) LEFT JOIN g USING (contact)) WHERE reason IS NOT NULL""",
+    # twelve words in a row, or twenty-four characters of a Japanese item
+    "p8_found": f"""
+WITH i AS (SELECT item_id, lang = 'ja' AS ja, {_STREAM('text')} AS w FROM eval_items), d AS (SELECT doc_id, {_STREAM('text')} AS w, regexp_matches(text, '{_KANA}') AS ja FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE NOT ja)),
+dw AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+ij AS (SELECT item_id, substr(s, k, 24) AS x FROM (SELECT item_id, s, unnest(range(1, length(s) - 22)) AS k FROM (SELECT item_id, array_to_string(w, '') AS s FROM i WHERE ja))),
+dj AS (SELECT doc_id, substr(s, k, 24) AS x FROM (SELECT doc_id, s, unnest(range(1, length(s) - 22)) AS k FROM (SELECT doc_id, array_to_string(w, '') AS s FROM d WHERE ja)))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (x) UNION SELECT DISTINCT doc_id, item_id FROM dj JOIN ij USING (x)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
