@@ -219,7 +219,7 @@ class Splitter:
             return False
         if c.islower():
             return False
-        if c.isdigit() and mark[0] == "." and self._abbreviation(p, i) == "title":
+        if c.isdigit() and mark == "." and (self._abbreviation(p, i) == "title" or re.search(r"(?<!\w)[^\W\d_]$", p[max(0, i - 2) : i])):
             return False
         cased = c.isupper()
         if quoted and not cased:
@@ -256,6 +256,8 @@ class Splitter:
             if lead.islower() and len(lead) >= 3:
                 return ""
             return "initial" if lead[:1].isupper() else ""
+        if len(w) == 1 and w.islower():
+            return "title"
         if low in TITLES:
             return "title" if low not in FINAL_ABBREVIATIONS else "final"
         if low in FINAL_ABBREVIATIONS:
