@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -95,6 +96,12 @@ def _fold(s: str) -> str:
     return s.lower() if s.isascii() else s.lower().translate(_TABLE)
 
 
+@lru_cache(maxsize=1 << 16)
+def _mended(token: str) -> str:
+    """A token with plain garbling undone; garbled tokens recur, so results are kept per worker."""
+    return repair(token, {}, -12.0, 2)[0]
+
+
 def _prepare(text: str, fillers: bool = True) -> tuple[str, list[int] | None]:
     """Text without invisible marks and hesitation sounds and with plain garbling undone, and the
     place of each character in the original (None if nothing changed)."""
@@ -104,7 +111,7 @@ def _prepare(text: str, fillers: bool = True) -> tuple[str, list[int] | None]:
     out, at = [], []
     for m in re.finditer(r"[ \n\r\t]+|[^ \n\r\t]+", text):
         piece, base = m[0], m.start()
-        fixed = repair(piece, {}, -12.0)[0] if _MOJIBAKE.search(piece) else piece
+        fixed = _mended(piece) if len(piece) < 500 and _MOJIBAKE.search(piece) else piece
         if fixed != piece:
             n, k = len(piece), len(fixed)
             out.append(fixed)
