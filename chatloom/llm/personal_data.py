@@ -111,7 +111,7 @@ def _prepare(text: str, fillers: bool = True) -> tuple[str, list[int] | None]:
     out, at = [], []
     for m in re.finditer(r"[ \n\r\t]+|[^ \n\r\t]+", text):
         piece, base = m[0], m.start()
-        fixed = _mended(piece) if len(piece) < 500 and _MOJIBAKE.search(piece) else piece
+        fixed = piece if not _MOJIBAKE.search(piece) else _mended(piece) if len(piece) < 500 else repair(piece, {}, -12.0, 2)[0]
         if fixed != piece:
             n, k = len(piece), len(fixed)
             out.append(fixed)
