@@ -42,7 +42,7 @@ AMBIGUOUS = r"(?:u+m+|h+a+n*|a+n+|e+r+|e|a+|o+h*|este)"
 
 _STAMP = r"(?:[\[(<]\s*\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\s*[\])>]|\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})\s*[-–—:])"
 _ANNOTATION = r"\[[^\[\]]{1,60}\]|<[^<>@]{1,60}>|\*[^*\n]{1,60}\*|\(\s*[\p{L}][\p{L} ,.'’-]{0,60}\)|[♪♫♬♩]+"
-_NAME = r"~?\s*(?:(?:[Dd][Rr][Aa]?|[Ss][Rr][Aa]?|[Mm][Rr][Ss]?)\.\s*)?[\p{L}'’.-]+(?: [\p{L}'’.-]+){0,4}(?: ?\([\p{L} ]{1,30}\))?|" + rf"(?i:{GENERIC})[ _-]?\d{{1,4}}"
+_NAME = r"~?\s*(?:(?:[Dd][Rr][Aa]?|[Ss][Rr][Aa]?|[Mm][Rr][Ss]?)\.\s*)?\p{L}[\p{L}'’.-]*(?: \p{L}[\p{L}'’.-]*){0,4}(?: ?\([\p{L} ]{1,30}\))?|" + rf"(?i:{GENERIC})[ _-]?\d{{1,4}}"
 
 
 def label_key(c: Column) -> Column:

@@ -21,8 +21,8 @@ def test_labels_stamps_and_noise(spark):
 
 
 def test_names_at_the_front_need_a_known_label(spark):
-    rows = [(1, "r", "Zélia", 0.0, 1.0, "oi"), (2, "r", None, 2.0, 3.0, "zelia - sim"), (3, "r", None, 4.0, 5.0, "Âncora do barco: pronto"), (4, "r", "~ZÉLIA (perícia)", 6.0, 7.0, "fim")]
-    assert [x[2:5] for x in turns(spark, rows)] == [(1, 1, 2), (2, 3, 3), (1, 4, 4)]
+    rows = [(1, "r", "Zélia", 0.0, 1.0, "oi"), (2, "r", None, 2.0, 3.0, "zelia - sim"), (3, "r", None, 4.0, 5.0, "Âncora do barco: pronto"), (4, "r", "~ZÉLIA (perícia)", 6.0, 7.0, "fim"), (5, "r", None, 8.0, 9.0, "ZÉLIA - Âncora do barco: sim"), (6, "r", "B", 9.0, 9.5, "algo"), (7, "r", None, 10.0, 11.0, "Zélia - ")]
+    assert [x[2:5] for x in turns(spark, rows)] == [(1, 1, 2), (2, 3, 3), (1, 4, 5), (3, 6, 6)]
 
 
 def test_repeats_units_nulls_and_empty(spark):
