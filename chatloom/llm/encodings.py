@@ -30,6 +30,8 @@ CHANNELS = ("cp1252", "cp1251", "cp437", "cp850", "mac_roman")
 NOISE = 2.0
 #: Gain over keeping a token that a repair needs without any known word.
 GAIN = 6.0
+# Punctuation that stands right behind a letter in ordinary text.
+AFTER_LETTERS = "…‘’“”–—»ª°º"
 _PUNCT = r"[\p{P}\p{S}\p{Z}\p{C}]+"
 
 
@@ -83,7 +85,7 @@ def viterbi(token: str, channel: str, logp: dict[str, float], floor: float, nois
             have = 1
             while have < size and i + have < n and 0x80 <= table.get(token[i + have], 0) <= 0xBF:
                 have += 1
-            if 2 <= have < size:
+            if 2 <= have < size and not (have == 2 and token[i + 1] in AFTER_LETTERS):
                 arc(i, i + have, lost, LOST, 1)
     parts, fixed, j = [], 0, n
     while j:

@@ -10,7 +10,7 @@ from chatloom.llm import mixing as X
 from chatloom.llm import personal_data as D
 from chatloom.llm import sentences as N
 
-TEXTS = ["não consigo ir amanhã", "você pode conferir a lâmpada", "SÃO 30 VAGAS, ATENÇÃO", "o café está à mesa", "Âncora do barco 👍", "plain text", "£ 3 e 30 €"]
+TEXTS = ["pode conferir hoje à…", "não consigo ir amanhã", "você pode conferir a lâmpada", "SÃO 30 VAGAS, ATENÇÃO", "o café está à mesa", "Âncora do barco 👍", "plain text", "£ 3 e 30 €"]
 
 
 def test_garbled_round_trip(spark):
