@@ -17,6 +17,7 @@ long, is gathered in one task.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -190,16 +191,29 @@ def speaker_turns(utts: DataFrame, *, unidentified: str = "own", model: SegmentM
     model = model or SegmentModel()
     u = clean_utterances(utts).withColumn("slice", F.floor(F.col("t") / slice_s).cast("long"))
 
-    def segment(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "utt_id"], kind="stable")
-        ids, said, end, t = pdf["utt_id"].tolist(), pdf["said"].tolist(), pdf["end"].tolist(), pdf["t"].tolist()
-        segs = model.segment(pdf["label"].tolist(), t, end, pdf["words"].tolist(), own)
-        return pd.DataFrame(
-            [(pdf["recording_id"].iloc[0], pdf["slice"].iloc[0], k, y, ids[i], ids[j], j - i + 1, t[i], max(end[i : j + 1]), s, " ".join(x for x in said[i : j + 1] if x)) for k, (i, j, y, s) in enumerate(segs)],
-            columns=["recording_id", "slice", "k", "label", "first_utt_id", "last_utt_id", "n", "start", "end", "score", "text"],
-        )
-
-    segs = cut(u.groupBy("recording_id", "slice").applyInPandas(segment, "recording_id string, slice long, k long, label string, first_utt_id long, last_utt_id long, n long, start double, end double, score double, text string"))
+    cols = ["recording_id", "slice", "k", "label", "first_utt_id", "last_utt_id", "n", "start", "end", "score", "text"]
+
+    def segment(key: tuple, rows: list[tuple]) -> list[tuple]:
+        ids, t, end, labels, words, said = zip(*rows)
+        segs = model.segment(list(labels), list(t), list(end), list(words), own)
+        return [(*key, k, y, ids[i], ids[j], j - i + 1, t[i], max(end[i : j + 1]), s, " ".join(x for x in said[i : j + 1] if x)) for k, (i, j, y, s) in enumerate(segs)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Slices one after another from sorted rows; one slice is in memory at a time."""
+        key, rows = None, []
+        for pdf in parts:
+            done: list[tuple] = []
+            for r in zip(*(pdf[c].tolist() for c in ("recording_id", "slice", "utt_id", "t", "end", "label", "words", "said"))):
+                if r[:2] != key:
+                    done += segment(key, rows) if rows else []
+                    key, rows = r[:2], []
+                rows.append(r[2:])
+            yield pd.DataFrame(done, columns=cols)
+        if rows:
+            yield pd.DataFrame(segment(key, rows), columns=cols)
+
+    u = u.repartition("recording_id", "slice").sortWithinPartitions("recording_id", "slice", "t", "utt_id")
+    segs = cut(u.mapInPandas(run, "recording_id string, slice long, k long, label string, first_utt_id long, last_utt_id long, n long, start double, end double, score double, text string"))
 
     # join slices: a slice's first segment continues the turn before it if the labels agree
     per = segs.groupBy("recording_id", "slice").agg(F.count("*").alias("segs"), F.min_by("label", "k").alias("first"), F.max_by("label", "k").alias("last"))
