@@ -34,14 +34,21 @@ def _any(c: Column, phrases: list[str]) -> Column:
     return out
 
 
-def start_line(line: Column) -> dict[str, Column]:
-    """date, time, half (AM/PM) and body of a message's first line; is_start tells if it is one.
+def start_parts(line: Column) -> Column:
+    """Array [form, date, time, half (AM/PM), body] of a message's first line, null for any other.
 
-    The bracketed form is tried first. A null line is no start.
+    The bracketed form is tried first. One replacement into a fixed layout per form keeps it to one
+    pass over the line; put it into a column of its own before taking fields from it.
     """
-    bracketed, dashed = F.coalesce(line.rlike(BRACKETED), F.lit(False)), F.coalesce(line.rlike(DASHED), F.lit(False))
-    pick = lambda b, d: F.when(bracketed, F.regexp_extract(line, BRACKETED, b) if b else F.lit("")).when(dashed, F.regexp_extract(line, DASHED, d))
-    return {"is_start": bracketed | dashed, "date": pick(1, 1), "time": pick(2, 2), "half": pick(0, 3), "body": pick(3, 4)}
+    may = line.rlike(r"^\[?\d")
+    made = F.when(line.rlike(BRACKETED), F.regexp_replace(line, BRACKETED, "b|$1|$2||$3")).when(line.rlike(DASHED), F.regexp_replace(line, DASHED, "d|$1|$2|$3|$4"))
+    return F.split(F.when(may, made), r"\|", 5)
+
+
+def start_fields(parts: Column) -> dict[str, Column]:
+    """is_start, date, time, half and body of a column made by start_parts."""
+    at = lambda i: F.get(parts, F.lit(i))
+    return {"is_start": parts.isNotNull(), "date": at(1), "time": at(2), "half": at(3), "body": at(4)}
 
 
 def resolve_timestamp(date: Column, time: Column, half: Column, fmt: Column) -> Column:

@@ -48,8 +48,8 @@ def _first_dated(dated: DataFrame) -> DataFrame:
 def blocks(lines: DataFrame) -> DataFrame:
     """source_zip, line_start, line_end, date, time, half, body: one row per message; lines before
     the first message have a null line_start (see warnings)."""
-    parts = chat.start_line(F.col("line"))
-    rows = lines.withColumns({f"m_{k}": v for k, v in parts.items()})
+    rows = lines.withColumn("m", chat.start_parts(F.col("line")))
+    rows = rows.withColumns({f"m_{k}": v for k, v in chat.start_fields(F.col("m")).items()}).drop("m")
     rows = last_before(rows, ["source_zip"], F.floor(F.col("line_no") / SLICE), ["line_no"], F.when(F.col("m_is_start"), F.col("line_no")), "line_start")
     piece = F.when(F.col("m_is_start"), F.col("m_body")).otherwise(F.col("line"))
     return rows.filter("line_start is not null").groupBy("source_zip", "line_start").agg(
@@ -61,7 +61,7 @@ def blocks(lines: DataFrame) -> DataFrame:
 
 def warnings(lines: DataFrame) -> DataFrame:
     """source_zip, line_no, warning for each line before a log's first message."""
-    rows = lines.withColumn("s", chat.start_line(F.col("line"))["is_start"])
+    rows = lines.withColumn("s", chat.start_parts(F.col("line")).isNotNull())
     first = rows.filter("s").groupBy("source_zip").agg(F.min("line_no").alias("first"))
     early = rows.join(first, "source_zip", "left").filter("first is null or line_no < first")
     return early.select("source_zip", "line_no", F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(": unparseable: "), F.col("line")).alias("warning"))

@@ -69,8 +69,8 @@ def detect_date_format(spark: SparkSession, d: str) -> DataFrame:
 def start_lines(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").filter("text is not null")
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    p = chat.start_line(F.col("line"))
-    return rows.filter(p["is_start"]).select("doc_id", F.col("i").cast("long").alias("line_no"), p["date"].alias("d"), p["time"].alias("t"), p["body"].alias("body"))
+    p = chat.start_fields(F.col("m"))
+    return rows.withColumn("m", chat.start_parts(F.col("line"))).filter("m is not null").select("doc_id", F.col("i").cast("long").alias("line_no"), p["date"].alias("d"), p["time"].alias("t"), p["body"].alias("body"))
 
 
 @query
