@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.functions.chat import message_id
@@ -21,8 +20,12 @@ def with_id(rows: DataFrame) -> DataFrame:
 
 
 def first_occurrence(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the given order."""
-    return rows.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__r = 1").drop("__r")
+    """The first row of each key in the given order.
+
+    An aggregate, so copies of a hot key are merged before the shuffle; a window would sort them.
+    """
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(*keys).agg(F.min_by(whole, F.struct(*order)).alias("__first")).select("__first.*")
 
 
 def fold_group(rows: list[tuple], policy: str = "reference") -> list[tuple]:
