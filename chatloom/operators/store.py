@@ -57,42 +57,46 @@ def fold_merge(index: list[tuple], new: list[tuple], other_ids: set, policy: str
     return out
 
 
-def merge_archive(index: DataFrame, new: DataFrame, contact: str, policy: str = "reference") -> DataFrame:
-    """What happens to each row of ``new`` (one archive, with message_id, slot) against ``index``:
-    pos, action (added, skipped, upgraded), seq; plus rows with action deleted and the old seq.
+def merge_archive(index: DataFrame, new: DataFrame, contact: str | None = None, policy: str = "reference") -> DataFrame:
+    """What happens to each row of ``new`` (with message_id, slot) against ``index``: pos, action
+    (added, skipped, upgraded), seq; plus rows with action deleted and the old seq.
 
     index: message_id, contact, seq, timestamp, sender, media_file and, for ``omitted_only``,
-    is_media_omitted. Added rows are numbered on from the contact's largest seq in archive order.
+    is_media_omitted. All rows of ``new`` go to ``contact``; without one each goes to the contact
+    in its own column, the contacts of a call merge one after the other by name, and the result has
+    a column contact. slot must be unique in a contact. Added rows are numbered on from their
+    contact's largest seq in archive order.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     omitted = F.coalesce("is_media_omitted", F.lit(False)) if "is_media_omitted" in index.columns else F.lit(False)
-    mine = F.col("contact") == contact
+    to = F.col("contact") if contact is None else F.lit(contact)
     keys = new.select("timestamp", "sender").distinct()
     old = index.join(keys, ["timestamp", "sender"], "left_semi").select(
-        "timestamp", "sender", F.when(mine, 0).otherwise(1).alias("side"), F.col("seq").alias("n"), "message_id", F.col("media_file").isNotNull().alias("m"), omitted.alias("o")
+        "timestamp", "sender", "contact", F.lit(0).alias("side"), F.col("seq").alias("n"), "message_id", F.col("media_file").isNotNull().alias("m"), omitted.alias("o")
     )
-    fresh = new.select("timestamp", "sender", F.lit(2).alias("side"), F.col("slot").cast("long").alias("n"), "message_id", F.col("media_file").isNotNull().alias("m"), F.coalesce("is_media_omitted", F.lit(False)).alias("o"))
+    fresh = new.select("timestamp", "sender", to.alias("contact"), F.lit(1).alias("side"), F.col("slot").cast("long").alias("n"), "message_id", F.col("media_file").isNotNull().alias("m"), F.coalesce("is_media_omitted", F.lit(False)).alias("o"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, idx, other, add = None, [], set(), []
+        key, idx, add = None, {}, {}
         done: list[tuple] = []
 
         def close() -> None:
-            if add:
-                done.extend(fold_merge(idx, add, other, policy))
+            ids = {r[1] for rows in idx.values() for r in rows}
+            for who, rows in sorted(add.items()):
+                mine = idx.get(who, [])
+                acts = fold_merge(mine, rows, ids, policy)
+                done.extend((who, *a) for a in acts)
+                by_seq, by_pos = {r[0]: r[1] for r in mine}, {r[0]: r[1] for r in rows}
+                ids -= {by_seq[seq] for act, _, seq in acts if act == "deleted"}
+                ids |= {by_pos[pos] for act, pos, _ in acts if act in ("added", "upgraded", "upgraded_new")}
 
         for pdf in parts:
             for r in pdf.itertuples(index=False):
                 if (r.timestamp, r.sender) != key:
                     close()
-                    key, idx, other, add = (r.timestamp, r.sender), [], set(), []
-                if r.side == 0:
-                    idx.append((r.n, r.message_id, r.m, r.o))
-                elif r.side == 1:
-                    other.add(r.message_id)
-                else:
-                    add.append((r.n, r.message_id, r.m, r.o))
+                    key, idx, add = (r.timestamp, r.sender), {}, {}
+                (add if r.side else idx).setdefault(r.contact, []).append((r.n, r.message_id, r.m, r.o))
             if done:
                 yield _frame(done)
                 done = []
@@ -101,18 +105,19 @@ def merge_archive(index: DataFrame, new: DataFrame, contact: str, policy: str =
             yield _frame(done)
 
     both = old.unionByName(fresh).repartition("timestamp", "sender").sortWithinPartitions("timestamp", "sender", "side", "n")
-    acts = both.mapInPandas(run, "action string, pos long, seq long")
-    top = index.filter(mine).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
-    numbered = acts.filter("action in ('added', 'upgraded_new')").withColumn("at", F.when(F.col("action") == "added", F.col("pos")).otherwise(F.col("seq"))).withColumn("k", F.lit(1))
-    numbered = number_rows(numbered, ["k"], F.floor(F.col("at") / SLICE), ["at"], "nth").join(F.broadcast(top))
-    added = numbered.select(F.when(F.col("action") == "added", "added").otherwise("upgraded").alias("action"), "pos", (F.col("top") + F.col("nth")).alias("seq"))
+    acts = both.mapInPandas(run, "contact string, action string, pos long, seq long")
+    top = index.groupBy("contact").agg(F.max("seq").alias("top"))
+    numbered = acts.filter("action in ('added', 'upgraded_new')").withColumn("at", F.when(F.col("action") == "added", F.col("pos")).otherwise(F.col("seq")))
+    numbered = number_rows(numbered, ["contact"], F.floor(F.col("at") / SLICE), ["at"], "nth").join(top, "contact", "left")
+    added = numbered.select("contact", F.when(F.col("action") == "added", "added").otherwise("upgraded").alias("action"), "pos", (F.coalesce("top", F.lit(0)) + F.col("nth")).alias("seq"))
     rest = acts.filter("action in ('skipped', 'upgraded', 'deleted')")
-    gone = acts.filter("action = 'replaced'").select(F.lit("skipped").alias("action"), "pos", F.col("seq"))
-    return added.unionByName(rest).unionByName(gone)
+    gone = acts.filter("action = 'replaced'").select("contact", F.lit("skipped").alias("action"), "pos", F.col("seq"))
+    out = added.unionByName(rest).unionByName(gone)
+    return out if contact is None else out.drop("contact")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["action", "pos", "seq"]).astype({"pos": "Int64", "seq": "Int64"})
+    return pd.DataFrame(rows, columns=["contact", "action", "pos", "seq"]).astype({"pos": "Int64", "seq": "Int64"})
 
 
 def apply_merge(index: DataFrame, new: DataFrame, acts: DataFrame, contact: str, interval: str = "1w") -> DataFrame:

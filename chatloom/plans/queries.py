@@ -15,7 +15,7 @@ from chatloom.operators.ordering import changes, islands, number_rows
 from chatloom.operators.timestamps import normalize_timestamps
 from chatloom.plans.oracles import ORACLES
 from chatloom.schemas import SPLITS
-from chatloom.session import read
+from chatloom.session import cut, read, small
 
 Query = Callable[[SparkSession, str], DataFrame]
 SLICE = 8192
@@ -152,13 +152,18 @@ def merge_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def merge_upsert_media(spark: SparkSession, d: str) -> DataFrame:
-    m = read(spark, d, "messages").filter("message_id is not null")
-    busiest = m.groupBy("contact").agg(F.count("*").alias("n")).groupBy().agg(F.max(F.struct("n", "contact"))["contact"].alias("contact")).first()
-    name = busiest["contact"] if busiest and busiest["contact"] else ""
-    m = m.filter(F.col("contact") == name).withColumn("sender", F.coalesce("sender", F.lit("")))
+    """The late archives' rows of every contact merged into the early ones' index; pos is a row's
+    place among its contact's late rows."""
+    m = read(spark, d, "messages").filter("message_id is not null and contact is not null").select(
+        "message_id", "contact", "seq", "timestamp", F.coalesce("sender", F.lit("")).alias("sender"), "media_file", "source_zip", ((F.col("type") == "media") & F.col("media_file").isNull()).alias("is_media_omitted")
+    )
+    # copies of one id may spell stamp or sender differently; they are one message and fold together
+    key = F.struct("timestamp", "sender")
+    same = cut(m.groupBy("contact", "message_id").agg(F.max(key).alias("key"), F.min(key).alias("other")).filter("key != other").drop("other"))
+    m = m.join(small(same), ["contact", "message_id"], "left").withColumns({c: F.coalesce(f"key.{c}", c) for c in ("timestamp", "sender")}).drop("key")
     late = F.col("source_zip").rlike(r"\(\d+\)\.zip$")
-    new = m.filter(late).withColumn("slot", F.col("seq").cast("int")).withColumn("is_media_omitted", F.lit(False))
-    return store.merge_archive(m.filter(~late), new, name).select("action", "pos", "seq")
+    new = number_rows(m.filter(late), ["contact"], F.floor(F.col("seq") / SLICE), ["seq", "message_id", "source_zip"], "slot")
+    return store.merge_archive(m.filter(~late), new).select("contact", "action", "pos", "seq")
 
 
 def _period_query(interval: str) -> Query:

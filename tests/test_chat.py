@@ -7,6 +7,7 @@ from chatloom.functions import chat
 from chatloom.functions.periods import lenient_date, period_boundaries, period_label
 from chatloom.functions.text import js_trim, remove_first, sender_key
 from chatloom.operators import dedup, parser, store
+from chatloom.plans import queries
 
 
 def parse(spark, text, **kw):
@@ -129,6 +130,42 @@ def test_merge(spark):
     assert got == [("added", 4, 3), ("skipped", 2, None), ("skipped", 3, None), ("upgraded", 1, 1)]
 
 
+def test_merge_every_contact(spark):
+    rng = random.Random(4)
+    cols = "message_id string, contact string, seq long, slot int, timestamp string, sender string, media_file string, is_media_omitted boolean"
+
+    def side(contacts):
+        rows = [(c, n, f"t{rng.randint(0, 3)}", rng.random() < 0.5) for c in contacts for n in range(1, 13)]
+        return [(f"{t}{media}{rng.choice(['', c])}{rng.randint(0, 9)}", c, n, n, t, "s", "f" if media else None, not media) for c, n, t, media in rows]
+
+    old, fresh = list({r[0]: r for r in side("ABCD")}.values()), side("ABCDE")  # E is not in the index yet
+    acts = store.merge_archive(spark.createDataFrame(old, cols), spark.createDataFrame(fresh, cols)).collect()
+    want, ids, added = [], {r[0] for r in old}, {}
+    for c in "ABCDE":
+        for t in ("t0", "t1", "t2", "t3"):
+            mine, rows = ([(r[2], r[0], r[6] is not None, r[7]) for r in side if r[1] == c and r[4] == t] for side in (old, fresh))
+            got = store.fold_merge(mine, rows, ids)
+            ids -= {r[1] for r in mine if ("deleted", None, r[0]) in got}
+            ids |= {r[1] for r in rows if any(a[1] == r[0] and a[0] in ("added", "upgraded", "upgraded_new") for a in got)}
+            want += [(c, a, pos) for a, pos, _ in got if a in ("skipped", "upgraded", "added")]
+            added.setdefault(c, []).extend(a for a in got if a[0] in ("added", "upgraded_new"))
+    assert set(want) <= {(r["contact"], r["action"], r["pos"]) for r in acts} and {r["contact"] for r in acts} == set("ABCDE")
+    for c in "ABCDE":
+        top = max((r[2] for r in old if r[1] == c), default=0)
+        fresh_seqs = sorted(r["seq"] for r in acts if r["contact"] == c and r["seq"] is not None and r["seq"] > top and r["action"] in ("added", "upgraded"))
+        assert fresh_seqs == [top + k for k in range(1, len(added[c]) + 1)]
+
+
+def test_merge_query_holds_every_contact(spark, tmp_path):
+    cols = "message_id string, seq long, timestamp string, sender string, contact string, type string, media_file string, source_zip string"
+    rows = [("a1", 1, "t1", "s", "A", "media", None, "A.zip"), ("a2", 2, "t2", "s", "A", "text", None, "A.zip"), ("a3", 3, "t3", None, "A", "text", None, "A.zip")]  # the busiest
+    rows += [("b1", 1, "t1", "s", "B", "media", None, "B.zip"), ("b2", 1, "t1", "s", "B", "media", "f.jpg", "B (1).zip"), ("b3", 2, "t2", "s", "B", "text", None, "B (1).zip")]
+    rows += [("b4", 3, "t4", "s", "B", "text", None, "B.zip"), ("b4", 3, "t4", "~ s", "B", "text", None, "B (1).zip")]  # one message
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "messages.parquet"))
+    got = {tuple(r) for r in queries.queries()["merge_upsert_media"](spark, str(tmp_path)).collect()}
+    assert got == {("B", "deleted", None, 1), ("B", "upgraded", 1, 1), ("B", "added", 2, 4), ("B", "skipped", 3, None)}
+
+
 def test_contact_facts(spark):
     p = spark.createDataFrame([("A", "me"), ("A", "x"), ("B", "me"), ("B", None), ("B", "")], "contact string, sender string")
     assert store.detect_self(p).first()["self_name"] == "me"
