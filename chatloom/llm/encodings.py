@@ -55,6 +55,27 @@ def _sequence(bs: list[int]) -> str | None:
     return s if len(s) == 1 else None
 
 
+def _space_leads() -> str:
+    """Characters whose sequence is à or a no-break space if the space behind them was a byte (0xA0)."""
+    tables = [t for t in map(byte_of, CHANNELS) if t.get("\xa0") == 0xA0]
+    return "".join(sorted({c for t in tables for c, b in t.items() if 0xC2 <= b <= 0xDF and _sequence([b, 0xA0]) in ("à", "\xa0")}))
+
+
+#: A lone lead between ASCII words in lower case: the byte behind it is now an ordinary space, or gone.
+LONE_LEAD = rf"(?:^|[a-z0-9][,.:;!?)]?[ \n\r\t]+)[{_space_leads()}](?=$|[ \n\r\t]+(?:$|[a-z0-9]))"
+
+
+def headless(token: str) -> str | None:
+    """token with U+FFFD for each two-byte lead inside a word in lower case whose second byte is gone
+    (followed by a letter in lower case or the end); None if there is none."""
+    out = list(token)
+    for i in range(1, len(token)):
+        ch, before, after = token[i], token[i - 1], token[i + 1 : i + 2]
+        if ("a" <= before <= "z") and (not after or "a" <= after <= "z") and not ch.islower() and 0xC2 <= byte_of("cp1252").get(ch, 0) <= 0xDF:
+            out[i] = LOST
+    return None if out == list(token) else "".join(out)
+
+
 def viterbi(token: str, channel: str, logp: dict[str, float], floor: float, noise: float = NOISE) -> tuple[str, float, int]:
     """(text, gain over keeping every character, repaired sequences) of the best path; a negative
     noise makes every sequence that can be repaired worth it."""
@@ -145,6 +166,7 @@ def token_repairs(odd: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             got = [repair(t, logp.value, floor) for t in pdf["token"]]
+            got = [(h, 0.0, 1) if not g[2] and (h := headless(t)) else g for t, g in zip(pdf["token"], got)]
             yield pd.DataFrame({"token": pdf["token"], "n": pdf["n"], "fixed": [g[0] for g in got], "gain": [g[1] for g in got], "seqs": [g[2] for g in got]})
 
     tried = cut(odd.mapInPandas(run, "token string, n long, fixed string, gain double, seqs long"))
@@ -183,6 +205,8 @@ def restore(rows: DataFrame, text: str = "content") -> DataFrame:
     hits = _tokens(suspects, "text").join(small(fixes), "token").groupBy("row_id").agg(
         F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", F.coalesce("fixed", "token"))))).alias("fix"), F.bool_and(F.col("fixed").isNotNull()).alias("complete")
     )
+    lone = suspects.filter(F.col("text").rlike(LONE_LEAD)).select("row_id", F.lit(True).alias("lone")).dropDuplicates(["row_id"])
+    hits = hits.join(lone, "row_id", "full").withColumn("complete", F.coalesce("complete", F.lit(True)) & F.col("lone").isNull())
     parts = F.split("text", r"(?<=[ \n\r\t])|(?=[ \n\r\t])")
     out = suspects.dropDuplicates(["row_id"]).join(hits, "row_id")
     return out.select("row_id", F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at("fix", t), t)), "").alias("restored"), "complete")

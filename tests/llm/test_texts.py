@@ -42,6 +42,16 @@ def test_garbled_round_trip(spark):
     assert E.restore(df.limit(0)).count() == 0
 
 
+
+def test_lone_leads_are_found(spark):
+    bad = ["chego Ã s 19:20", "hoje Ã noite", "vejo isso ontem Ã  tarde", "vou Ã", "a saÃda fica ao lado", "lÃ estava"]
+    good = ["É hoje", "hoje É dia", "a ÓPERA", "AMANHÃ NÃO", "MAÇÃ e pão", "Ônibus", "LETRA Ã NOVA", "на В поле"]
+    rows = list(enumerate(bad + good)) + [(100 + k, "a saída fica ao lado") for k in range(5)]
+    got = {r["row_id"]: r for r in E.restore(spark.createDataFrame(rows, "row_id long, content string")).collect()}
+    assert set(got) == set(range(len(bad))), set(got) ^ set(range(len(bad)))
+    assert got[4]["restored"] == "a saída fica ao lado" and not got[0]["complete"] and not got[3]["complete"]
+
+
 def test_long_token_is_linear():
     assert E.repair("Ã£" * 20_000, {"ã": -1.0}, -12.0)[0] == "ã" * 20_000
 
