@@ -23,6 +23,8 @@ from chatloom.session import cut
 
 #: Beta prior of sensitivity and of specificity: (successes, failures).
 SENSITIVITY, SPECIFICITY, PRIOR = (4.0, 2.0), (9.0, 1.0), 0.5
+#: Letters that a caption cut short must hold to count as a copy of a longer one.
+HEAD = 12
 
 
 def media_rows(parsed: DataFrame, archives: DataFrame, options: DataFrame) -> DataFrame:
@@ -39,14 +41,33 @@ def media_rows(parsed: DataFrame, archives: DataFrame, options: DataFrame) -> Da
     )
     text = F.regexp_replace(F.regexp_replace(F.coalesce("content", F.lit("")), f"[{INVISIBLE}]", ""), rf"^[{WS}]+|[{WS}]+\z", "")
     caption = F.regexp_replace(F.lower(fold_accents(text)), r"[^\p{L}\p{M}\p{N}]+", "")
-    rows = rows.withColumn("text_length", F.length(text)).withColumn("caption", F.substring(caption, 1, 12))
-    rows = cut(rows.select("row_id", "source_zip", "scope", "file", "listed", "text_length", "caption", "exported_at", "content", "media_file", "is_media_omitted", "subtype")).filter("scope is not null")
+    rows = rows.withColumn("text", text).withColumn("text_length", F.length(text)).withColumn("caption", caption)
+    rows = cut(rows.select("row_id", "source_zip", "scope", "file", "listed", "text", "text_length", "caption", "exported_at", "content", "media_file", "is_media_omitted", "subtype")).filter("scope is not null")
     per = rows.groupBy("scope").agg(F.min("file").alias("lo"), F.max("file").alias("hi"))
     several = F.col("lo") != F.col("hi")
-    named = rows.filter("file is not null and caption != ''").groupBy("scope", "caption").agg(F.min("file").alias("by_caption"), F.max("file").alias("other"))
-    rows = rows.join(per, "scope").join(named.filter("by_caption = other").drop("other"), ["scope", "caption"], "left")
+    named = rows.filter("file is not null and caption != ''").join(per.filter("lo != hi"), "scope", "left_semi").select("scope", _head(F.col("caption")).alias("head"), "file", F.col("caption").alias("c")).distinct()
+    bare = rows.filter("file is null and caption != ''").select("scope", _head(F.col("caption")).alias("head"), "caption").distinct()
+    hit = bare.join(named, ["scope", "head"]).filter(F.startswith("caption", "c") | F.startswith("c", "caption")).withColumn("exact", F.col("caption") == F.col("c"))
+    # the same caption decides before a copy cut short
+    hit = hit.groupBy("scope", "caption").agg(*[f(F.when(w, F.col("file"))).alias(n) for n, f, w in (("lo_e", F.min, F.col("exact")), ("hi_e", F.max, F.col("exact")), ("lo_p", F.min, F.lit(True)), ("hi_p", F.max, F.lit(True)))])
+    hit = hit.select("scope", "caption", F.when(F.col("lo_e").isNotNull(), F.when(F.col("lo_e") == F.col("hi_e"), F.col("lo_e"))).when(F.col("lo_p") == F.col("hi_p"), F.col("lo_p")).alias("by_caption"))
+    rows = rows.join(per, "scope").join(hit, ["scope", "caption"], "left")
     part = F.when(~F.coalesce(several, F.lit(False)), F.lit("")).otherwise(F.coalesce("file", "by_caption", F.concat(F.lit("\0row "), F.col("row_id").cast("string"))))
-    return rows.withColumn("group_id", F.concat_ws("|", "scope", part)).drop("lo", "hi", "by_caption")
+    rows = cut(rows.withColumn("group_id", F.concat_ws("|", "scope", part)).drop("lo", "hi", "by_caption"))
+    return rows.join(whole_captions(rows), ["group_id", "caption"], "left").withColumn("caption", F.coalesce("whole", "caption")).drop("whole")
+
+
+def _head(caption: Column) -> Column:
+    return F.substring(caption, 1, HEAD)
+
+
+def whole_captions(rows: DataFrame) -> DataFrame:
+    """group_id, caption, whole: copies cut short and the longest caption of their group they begin
+    (the smallest of equally long ones)."""
+    c = rows.filter("caption != ''").select("group_id", "caption", _head(F.col("caption")).alias("head")).distinct()
+    longer = c.withColumnRenamed("caption", "whole")
+    hit = c.filter(F.length("caption") >= HEAD).join(longer, ["group_id", "head"]).filter((F.length("whole") > F.length("caption")) & F.startswith("whole", "caption"))
+    return hit.groupBy("group_id", "caption").agg(F.min(F.struct(-F.length("whole"), "whole"))["whole"].alias("whole"))
 
 
 def assertions(rows: DataFrame, fields: tuple[str, ...] = ("file", "caption")) -> DataFrame:
@@ -85,15 +106,19 @@ def truths(claims: DataFrame, coverage: DataFrame, iterations: int = 3) -> tuple
     return values, sources
 
 
-def _best(rows: Column, *order: Column) -> Column:
-    """row_id of the best row under a condition: largest order, then smallest row_id."""
-    return F.max(F.when(rows, F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], (-F.col("row_id")).alias("neg"))))["neg"] * -1
+def _best(rows: Column, *order: Column, value: str = "row_id") -> Column:
+    """``value`` of the best row under a condition: largest order, then smallest row_id."""
+    place = F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], (-F.col("row_id")).alias("neg"))
+    return F.max_by(value, F.when(rows, place))
 
 
 def survivors(parsed: DataFrame, archives: DataFrame, options: DataFrame, iterations: int = 3) -> DataFrame:
     """One row per group of two or more copies: group_id, copies, first_row_id, media_row_id (the
     latest export whose named file is really there), text_row_id (the longest text, then the
-    latest export), files and captions judged true, trust (the mean quality of its sources).
+    latest export), files and captions judged true, trust (the mean quality of its sources); the media
+    row's media_file, is_media_omitted and subtype, and the text row's caption.
+
+    Captions are compared by their folded letters and put out as the best copy wrote them.
 
     Ties go to the smaller row_id; a null export date is earlier than any. Rows without chat,
     sender or readable time belong to no group. Empty tables give an empty result.
@@ -103,19 +128,22 @@ def survivors(parsed: DataFrame, archives: DataFrame, options: DataFrame, iterat
     rows = cut(rows.join(size, "group_id"))
     claims, coverage = cut(assertions(rows)), cut(rows.select("group_id", "source_zip").distinct())
     values, sources = truths(claims, coverage, iterations)
-    judged = values.groupBy("group_id").agg(
+    when = F.coalesce(F.col("exported_at"), F.lit("0001-01-01").cast("timestamp"))
+    written = rows.filter("caption != ''").groupBy("group_id", F.col("caption").alias("value")).agg(_best(F.lit(True), F.col("text_length"), when, value="text").alias("text")).withColumn("field", F.lit("caption"))
+    judged = values.join(written, ["group_id", "field", "value"], "left").groupBy("group_id").agg(
         F.collect_set(F.when((F.col("field") == "file") & (F.col("p") >= 0.5), F.col("value"))).alias("files"),
-        F.collect_set(F.when((F.col("field") == "caption") & (F.col("p") >= 0.5), F.col("value"))).alias("captions"),
+        F.collect_set(F.when((F.col("field") == "caption") & (F.col("p") >= 0.5), F.col("text"))).alias("captions"),
     )
     trust = coverage.join(sources, "source_zip").groupBy("group_id").agg(F.avg((F.col("sens") + F.col("spec")) / 2).alias("trust"))
     true_file = values.filter("field = 'file' and p >= 0.5").select("group_id", F.col("value").alias("file"), F.lit(True).alias("is_true"))
     rows = rows.join(true_file, ["group_id", "file"], "left")
-    when = F.coalesce(F.col("exported_at"), F.lit("0001-01-01").cast("timestamp"))
     out = rows.groupBy("group_id").agg(
         F.max("copies").alias("copies"),
         F.min("row_id").alias("first_row_id"),
         _best(F.col("listed") & F.col("is_true"), when).alias("media_row_id"),
         _best(F.lit(True), F.col("text_length"), when).alias("text_row_id"),
+        _best(F.lit(True), F.col("text_length"), when, value="text").alias("caption"),
+        *[_best(F.col("listed") & F.col("is_true"), when, value=c).alias(c) for c in ("media_file", "is_media_omitted", "subtype")],
     )
     return out.join(judged, "group_id", "left").join(trust, "group_id", "left")
 

@@ -81,6 +81,20 @@ def test_survivors(spark):
     assert S.found(*tables(spark, [])).count() == 0
 
 
+def test_survivors_keep_whole_captions(spark):
+    one, two = "O portão da garagem abriu", "O portão da garagem fechou"
+    rows = [(1, 0, "a", T, "x", one, "media", "f.jpg"), (2, 0, "b", T, "x", one[:22], "media", "f.jpg"), (3, 0, "c", T, "x", two, "media", "f.jpg")]
+    u = "2024-01-01T11:00:00"  # two files whose captions agree in twelve letters
+    rows += [(4, 0, "a", u, "x", one, "media", "f.jpg"), (5, 0, "b", u, "x", two, "media", "g.jpg"), (6, 0, "c", u, "x", two, "media", None), (7, 0, "c", u, "x", two[:24], "media", None)]
+    p, a, o = tables(spark, rows, ("a", "b", "c"), ("f.jpg", "g.jpg"))
+    r = S.media_rows(p, a, o).collect()
+    captions = {x["row_id"]: x["caption"] for x in r}
+    assert captions[1] == captions[2] == "oportaodagaragemabriu" and captions[3] == "oportaodagaragemfechou"
+    full = {x["first_row_id"]: x for x in S.survivors(p, a, o).collect()}
+    assert set(full) == {1, 5} and full[5]["copies"] == 3 and set(full[1]["captions"]) <= {one, two} and full[5]["captions"] == [two]
+    assert (full[5]["caption"], full[5]["media_file"], full[5]["is_media_omitted"]) == (two, "g.jpg", False)
+
+
 def test_truths_learn_a_bad_source(spark):
     claims = [(f"g{k}", "file", "true", s, True) for k in range(30) for s in ("good", "ok")] + [(f"g{k}", "file", f"bad{k}", "liar", False) for k in range(30)]
     c = spark.createDataFrame(claims, "group_id string, field string, value string, source_zip string, anchored boolean")
