@@ -210,7 +210,7 @@ def day_headers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def detect_self(spark: SparkSession, d: str) -> DataFrame:
-    """The owner among each owner's chats: the sender present in all contacts of one export owner."""
+    """The sender present in all contacts of one export owner, Portaria Central; other owners are not looked at."""
     m = read(spark, d, "messages").select("source_zip", "contact", "sender")
     o = read(spark, d, "ingest_options").filter("self = 'Portaria Central'").select("source_zip")
     return store.detect_self(m.join(o, "source_zip", "left_semi").select("contact", "sender"))
