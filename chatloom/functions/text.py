@@ -24,8 +24,13 @@ def remove_first(c: Column, needle: str) -> Column:
     return F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), F.substring(c, at + len(needle), F.length(c)))).otherwise(c)
 
 
+def is_ascii(c: Column) -> Column:
+    """As many bytes as characters: such texts need no pass for marks or accents."""
+    return F.octet_length(c) == F.length(c)
+
+
 def strip_invisible(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{INVISIBLE}]", "")
+    return F.when(is_ascii(c), c).otherwise(F.regexp_replace(c, f"[{INVISIBLE}]", ""))
 
 
 def _fold_table() -> tuple[str, str]:
@@ -44,7 +49,7 @@ _SRC, _DST = _fold_table()
 
 def fold_accents(c: Column) -> Column:
     """Base letters for accented Latin letters, composed or with combining marks."""
-    return F.translate(F.regexp_replace(c, r"[̀-ͯ]", ""), _SRC, _DST)
+    return F.when(is_ascii(c), c).otherwise(F.translate(F.regexp_replace(c, r"[̀-ͯ]", ""), _SRC, _DST))
 
 
 def sender_key(c: Column) -> Column:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.functions.text import INVISIBLE, WS
+from chatloom.functions.text import INVISIBLE, WS, is_ascii
+from chatloom.session import cut, small
 
 DEFAULT_ZONE = "America/Sao_Paulo"
 DEFAULT_ORDER = "DD/MM"
@@ -71,10 +72,56 @@ def _fields(ts: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern, roles in reversed(PATTERNS):
         layout = "|".join([name, *(f"${roles.index(r) + 1}" if r in roles else "" for r in ROLES)])
-        out = F.when(ts.rlike(pattern), F.regexp_replace(ts, pattern, layout)).otherwise(out)
+        out = F.when(_may(name, ts) & ts.rlike(pattern), F.regexp_replace(ts, pattern, layout)).otherwise(out)
     return F.split(out, r"\|")
 
 
+def _may(name: str, ts: Column) -> Column:
+    """A cheap test every text of the form passes, before its pattern is tried."""
+    if name.startswith("epoch"):
+        return F.length(ts) <= 16
+    mark = {"slash": "/", "slash_year": "/", "dots": ".", "iso": "-"}.get(name)
+    return ts.contains(mark) if mark else F.lit(True)
+
+
+def _clean(ts: Column) -> Column:
+    """The text without invisible marks and outer white space."""
+    wide = F.regexp_replace(F.regexp_replace(ts, f"[{INVISIBLE}]", ""), rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.when(is_ascii(ts), F.btrim(ts, F.lit(" \t\n\x0b\f\r"))).otherwise(wide)
+
+
+def _zone_abbreviations(spark: SparkSession, zones: list[str]) -> dict[str, int]:
+    """"zone ABBR" -> minutes, where a zone's own short name has another offset than ABBREVIATIONS says."""
+    tz, out = spark.sparkContext._jvm.java.util.TimeZone, {}
+    for name in zones:
+        if "/" not in name or name.startswith(("Etc/", "SystemV/")):
+            continue
+        z = tz.getTimeZone(name)
+        base = z.getRawOffset() // 60000
+        for summer in (False, True) if z.useDaylightTime() else (False,):
+            short = z.getDisplayName(summer, 0)
+            minutes = base + (z.getDSTSavings() // 60000 if summer else 0)
+            if ABBREVIATIONS.get(short, minutes) != minutes:
+                out[f"{name} {short}"] = minutes
+    return out
+
+
+def slash_orders(rows: DataFrame, key: str = "source_zip", ts: str = "timestamp") -> DataFrame:
+    """key, dm, md: whether every readable slash date of a key is a date day first, month first.
+
+    Keys without a slash date are left out. Tables of several parts of a key combine by bool_and.
+    """
+    pattern, layout = next((x, "$1|$2|$3") for n, x, _ in PATTERNS if n == "slash")
+    t = _clean(F.col(ts))
+    dated = rows.filter(F.contains(ts, F.lit("/"))).select(F.col(key), t.alias("t")).filter(F.col("t").rlike(pattern))
+    p = dated.select(key, F.split(F.regexp_replace("t", pattern, layout), r"\|").alias("p"))
+    at = lambda i: F.get("p", F.lit(i)).cast("int")
+    p = p.select(key, at(0).alias("a"), at(1).alias("b"), F.when(F.length(F.get("p", F.lit(2))) <= 2, at(2) + 2000).otherwise(at(2)).alias("y"))
+    a, b, y = F.col("a"), F.col("b"), F.col("y")
+    p = p.select(key, _possible(y, b, a).alias("dm"), _possible(y, a, b).alias("md")).filter("dm or md")
+    return p.groupBy(key).agg(F.bool_and("dm").alias("dm"), F.bool_and("md").alias("md"))
+
+
 def _possible(y: Column, m: Column, d: Column) -> Column:
     """A date of the calendar, by month length and leap years."""
     last = F.when(m == 2, F.when((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0)), 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
@@ -86,13 +133,14 @@ def _int(c: Column) -> Column:
     return F.when(c != "", c.cast("int"))
 
 
-def _offset_minutes(z: Column) -> Column:
-    """Minutes of an offset or abbreviation; null if there is none or it is unknown."""
+def _offset_minutes(z: Column, zone: Column, own: dict[str, int]) -> Column:
+    """Minutes of an offset or abbreviation (in ``zone`` first); null if there is none or it is unknown."""
     num = z.rlike(r"^[+-]\d{2}:?\d{2}\z")
     h, m = F.substring(z, 2, 2).try_cast("int"), F.substring(z, -2, 2).try_cast("int")
     minutes = F.when((h <= 14) & (m < 60), F.when(z.startswith("-"), -(h * 60 + m)).otherwise(h * 60 + m))
     table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    return F.when(num, minutes).otherwise(F.try_element_at(table, z))
+    of_zone = F.try_element_at(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), F.concat_ws(" ", zone, z)) if own else F.lit(None)
+    return F.when(num, minutes).otherwise(F.coalesce(of_zone, F.try_element_at(table, z)))
 
 
 def normalize_timestamps(
@@ -100,6 +148,7 @@ def normalize_timestamps(
     options: DataFrame,
     *,
     evidence: DataFrame | None = None,
+    orders: DataFrame | None = None,
     key: str = "source_zip",
     ts: str = "timestamp",
     default_zone: str = DEFAULT_ZONE,
@@ -113,36 +162,30 @@ def normalize_timestamps(
     the earlier instant, a skipped hour is read with the offset before the change. Slash dates
     follow ``date_format``; where that is null, the order under which every readable slash date of
     the key is valid, or ``default_order`` if both orders are. ``evidence`` has the rows that vote on
-    the order (df itself if None): pass the whole table when df is a part of it. A null, empty or over-long text is
-    unreadable; a null key is one export without options. Rows and all other columns stay; a
-    column that is already called ``out`` is replaced.
+    the order (df itself if None): pass the whole table when df is a part of it; ``orders`` gives the
+    result of that vote (slash_orders) where it is known already. An abbreviation is read as the
+    export's own zone uses it, else by ABBREVIATIONS. A null or empty text is unreadable; a null key
+    is one export without options. Rows and all other columns stay; a column that is already called
+    ``out`` is replaced. The side table of keys is cut and broadcast where it is small.
     """
     p = "__ts_"
     while any(c.startswith(p) for c in [*df.columns, *(evidence.columns if evidence is not None else [])]):
         p += "_"
-    text = F.regexp_replace(F.regexp_replace(F.col(ts), f"[{INVISIBLE}]", ""), rf"^[{WS}]+|[{WS}]+\z", "")
-    text = F.when(F.length(F.col(ts)) <= 80, text)
-    read_fields = lambda x: x.withColumn(f"{p}t", text).withColumn(f"{p}f", _fields(F.col(f"{p}t")))
-    df = read_fields(df)
-    votes = df if evidence is None else read_fields(evidence.select(key, ts))
+    votes = slash_orders(df if evidence is None else evidence, key, ts) if orders is None else orders
+    votes = votes.select(F.col(key).alias(f"{p}k"), F.col("dm").alias(f"{p}dm"), F.col("md").alias(f"{p}md"))
+    df = df.withColumn(f"{p}t", _clean(F.col(ts))).withColumn(f"{p}f", _fields(F.col(f"{p}t")))
     f = lambda name: F.col(f"{p}f")[0 if name == "form" else ROLES.index(name) + 1]
     zones = valid_zones(df.sparkSession)
 
     a, b, year = _int(f("a")), _int(f("b")), _int(f("y"))
     year = F.when(F.length(f("y")) <= 2, year + 2000).otherwise(year)
-    dm, md = _possible(year, b, a), _possible(year, a, b)
     slash = f("form") == "slash"
-    orders = (
-        votes.select(F.col(key).alias(f"{p}k"), F.when(slash & (dm | md), F.struct(dm.alias("dm"), md.alias("md"))).alias("v"))
-        .groupBy(f"{p}k")
-        .agg(F.bool_and("v.dm").alias(f"{p}dm"), F.bool_and("v.md").alias(f"{p}md"))
-    )
     opts = (
         options.groupBy(F.col(key).alias(f"{p}k"))
         .agg(F.min(F.struct("date_format", "timezone")).alias("o"))
         .select(f"{p}k", F.col("o.date_format").alias(f"{p}df"), F.col("o.timezone").alias(f"{p}tz"))
     )
-    side = opts.join(orders, f"{p}k", "full_outer").select(
+    side = opts.join(votes, f"{p}k", "full_outer").select(
         f"{p}k",
         F.coalesce(
             F.when(F.col(f"{p}df").isin("DD/MM", "MM/DD"), F.col(f"{p}df")),
@@ -152,6 +195,7 @@ def normalize_timestamps(
         _zone(F.col(f"{p}tz"), zones, default_zone).alias(f"{p}zone"),
         F.lit(True).alias(f"{p}known"),
     )
+    side = small(cut(side))
     df = df.join(side, df[key] == side[f"{p}k"], "left")
 
     day_first = F.coalesce(F.col(f"{p}order"), F.lit(default_order)) == "DD/MM"
@@ -178,7 +222,7 @@ def normalize_timestamps(
         F.when(f("form") == "epoch_s", e)
         .when(f("form") == "epoch_ms", (e - F.pmod(e, F.lit(1000))).cast("decimal(20,0)") / 1000)
         .when(f("form") == "epoch_us", (e - F.pmod(e, F.lit(1000000))).cast("decimal(20,0)") / 1000000)
-        .when(f("z") != "", secs - _offset_minutes(f("z")).cast("bigint") * 60)
+        .when(f("z") != "", secs - _offset_minutes(f("z"), zone, _zone_abbreviations(df.sparkSession, zones)).cast("bigint") * 60)
         .otherwise(by_zone)
     ).cast("bigint")
     keep = [c for c in df.columns if not c.startswith(p) and c.lower() != out.lower()]
