@@ -6,26 +6,35 @@ bits, a lost or added letter one and a swap none, and copies of a message lie wi
 The fingerprint is stored once per rotation, each time led by another of MAX_BITS + 1 blocks; two
 fingerprints within MAX_BITS share at least one whole block (pigeonhole), so exact lookups on
 (scope, view, rotation, block) lose no pair. Each hit is verified by Hamming distance and by text.
-A second view of each message, its first ``PREFIX`` letters, serves contents cut off by an
-ellipsis; cut contents shorter than that are looked up by their scope alone.
+View 0 is the whole content (its numbers and denials must agree, so they are part of the key).
+View 1, the first ``PREFIX`` letters, serves contents cut off by an ellipsis; only cut contents are
+looked up there. Cut contents with fewer letters go by view 2: their first three letters, and the
+fifth to eighth, one of which a slip leaves whole.
 
 Scale: exact copies are merged into classes before anything is paired, so a message that makes up
-a third of all rows is one class. The index holds eight small rows per class and is appended to;
-a new batch reads only the blocks it shares.
+a third of all rows is one class. Only classes whose scope holds another class are fingerprinted
+and paired. A batch reads the stored classes of its own scopes, never the history's rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.text import INVISIBLE, fold_accents
+from chatloom.functions.text import INVISIBLE, fold_accents, is_ascii
 from chatloom.llm.scopes import with_scope
-from chatloom.session import cut
+from chatloom.operators.timestamps import slash_orders
+from chatloom.session import cut, small
 
 MAX_BITS = 3
 BLOCKS = MAX_BITS + 1
 PREFIX = 12
+#: Letters from which on a slip counts as one; shorter contents that differ are different messages.
+SLIP_LETTERS = 4
+#: Letters that a content cut off must still hold; and those from which on it may hold a slip.
+CUT_LETTERS, CUT_SLIP_LETTERS = 3, 8
 
 # Marks that an edit or a "read more" fold leaves at the end of a content.
 EDIT_MARKS = r"(?iu)\s*(?:[<(\[‎]*\s*(?:this message was edited|mensagem editada|essa mensagem foi editada|esta mensagem foi editada|se edit[oó] este mensaje|mensaje editado|editada|editado|edited|bearbeitet)\s*[>)\]]+)\s*"
@@ -34,15 +43,23 @@ READ_MORE = r"(?iu)(?:…|\.{3,})\s*(?:ler mais|leia mais|read more|leer m[aá]s
 NEGATIONS = ["nao", "no", "not", "nunca", "never", "jamais", "nem", "ni", "sem", "sin", "without", "nada", "nothing", "ninguem", "nadie", "nobody", "t", "cant", "cannot", "dont", "wont", "didnt", "isnt", "tampouco", "tampoco", "none", "neither", "nor"]
 
 
-def content_columns(c: Column) -> dict[str, Column]:
-    """letters: folded letters and digits without spaces; digits; denials; cut: ended by an ellipsis."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), f"[{INVISIBLE}]", "")
-    t = F.regexp_replace(t, EDIT_MARKS, " ")
-    cut_off = t.rlike(READ_MORE)
-    t = F.regexp_replace(t, READ_MORE, "")
-    words = F.trim(F.regexp_replace(F.lower(fold_accents(t)), r"[^\p{L}\p{M}\p{N}]+", " "))
-    denials = F.array_join(F.filter(F.split(words, " "), lambda w: w.isin(NEGATIONS)), " ")
-    return {"letters": F.regexp_replace(words, " ", ""), "digits": F.regexp_replace(words, r"[^\p{Nd}]+", ""), "denials": denials, "is_cut": cut_off}
+def with_content(rows: DataFrame) -> DataFrame:
+    """rows plus letters (folded letters and digits without spaces), digits, denials, is_cut (ended
+    by an ellipsis) of ``content``. Each step is a column of its own, so none is evaluated twice;
+    a pattern runs only on texts that hold one of its marks."""
+    t = F.col("__t")
+    rows = rows.withColumn("__t", F.when(is_ascii(F.col("content")), F.col("content")).otherwise(F.regexp_replace(F.coalesce("content", F.lit("")), f"[{INVISIBLE}]", "")))
+    rows = rows.withColumn("__t", F.coalesce("__t", F.lit("")))
+    rows = rows.withColumn("__t", F.when(t.rlike(r"(?i)edit|bearbeitet"), F.regexp_replace(t, EDIT_MARKS, " ")).otherwise(t))
+    rows = rows.withColumn("is_cut", (t.contains("…") | t.contains("...")) & t.rlike(READ_MORE))
+    rows = rows.withColumn("__t", F.lower(F.when(F.col("is_cut"), F.regexp_replace(t, READ_MORE, "")).otherwise(t)))
+    rows = rows.withColumn("__w", fold_accents(t)).withColumn("__w", F.trim(F.regexp_replace("__w", r"[^\p{L}\p{M}\p{N}]+", " ")))
+    w = F.col("__w")
+    denials = F.array_join(F.filter(F.split(w, " "), lambda x: x.isin(NEGATIONS)), " ")
+    denied = w.rlike(rf"(?<= |^)(?:{'|'.join(NEGATIONS)})(?= |$)")
+    return rows.withColumns({
+        "letters": F.replace(w, F.lit(" "), F.lit("")), "digits": F.when(w.rlike(r"\p{Nd}"), F.regexp_replace(w, r"[^\p{Nd}]+", "")).otherwise(""), "denials": F.when(denied, denials).otherwise(""),
+    }).drop("__t", "__w")
 
 
 def fingerprint(letters: Column) -> Column:
@@ -53,70 +70,93 @@ def fingerprint(letters: Column) -> Column:
 
 def classes(rows: DataFrame) -> DataFrame:
     """One row per class of equal messages: class_id, scope, letters, digits, denials, is_cut, batch
-    and row_id (the earliest batch that holds it and its smallest row there), fp, fp_head."""
+    and row_id (the earliest batch that holds it and its smallest row there), last_batch."""
     got = rows.groupBy("class_id").agg(
-        F.min(F.struct("batch_no", "row_id")).alias("first"),
+        F.min(F.struct("batch_no", "row_id")).alias("first"), F.max("batch_no").alias("last_batch"),
         *[F.min(c).alias(c) for c in ("scope", "letters", "digits", "denials", "is_cut")],
-    )
-    return got.select(
-        "class_id", "scope", "letters", "digits", "denials", "is_cut", F.col("first.batch_no").alias("batch"), F.col("first.row_id").alias("row_id"),
-        fingerprint(F.col("letters")).alias("fp"), fingerprint(F.substring("letters", 1, PREFIX)).alias("fp_head"),
     )
+    return got.select("class_id", "scope", "letters", "digits", "denials", "is_cut", F.col("first.batch_no").alias("batch"), F.col("first.row_id").alias("row_id"), "last_batch")
+
+
+def with_fingerprints(cls: DataFrame) -> DataFrame:
+    return cls.withColumns({"fp": fingerprint(F.col("letters")), "fp_head": fingerprint(F.substring("letters", 1, PREFIX))})
 
 
 def block_table(cls: DataFrame, lookup: bool = False) -> DataFrame:
-    """Rotated block tables of classes: one row per class, view and rotation, keyed by ``block``.
+    """Rotated block tables of fingerprinted classes: class_id, block; one row per view and rotation.
 
-    As an index every class is stored in all views. As a lookup the head view is left out where
-    neither side can be cut; that is not known here, so lookups use all views too, and the short
-    cut contents and the index rows they need meet in view 2 (scope only).
+    cls has ``cut_here``: some class of its scope is cut; only there views 1 and 2 are stored. As a
+    lookup only cut classes stand in them.
     """
     width = 64 // BLOCKS
-    view = lambda n, fp: [F.struct(F.lit(n).alias("view"), F.lit(r).alias("rotation"), F.call_function("shiftrightunsigned", fp, F.lit(r * width)).bitwiseAND(F.lit((1 << width) - 1)).alias("lead")) for r in range(BLOCKS)]
-    full, head = F.array(*view(0, F.col("fp"))), F.array(*view(1, F.col("fp_head")))
-    scope_only = F.array(F.struct(F.lit(2).alias("view"), F.lit(0).alias("rotation"), F.lit(0).cast("long").alias("lead")))
-    slots = F.concat(F.when(F.col("is_cut") & (F.length("letters") < PREFIX), F.array().cast(full_type())).otherwise(F.concat(full, head)), scope_only)
-    return cls.withColumn("s", F.explode(slots)).select("class_id", "scope", F.xxhash64("scope", "s.view", "s.rotation", "s.lead").alias("block"), F.col("s.view").alias("view"))
-
-
-def full_type() -> str:
-    return "array<struct<view:int,rotation:int,lead:bigint>>"
+    n, short = F.length("letters"), F.length("letters") < PREFIX
+    no = F.array().cast("array<bigint>")
+    lead = lambda fp, r: F.call_function("shiftrightunsigned", fp, F.lit(r * width)).bitwiseAND(F.lit((1 << width) - 1))
+    whole = [F.xxhash64("scope", F.lit(0), F.lit(r), lead(F.col("fp"), r), "digits", "denials") for r in range(BLOCKS)]
+    head = [F.xxhash64("scope", F.lit(1), F.lit(r), lead(F.col("fp_head"), r)) for r in range(BLOCKS)]
+    front = F.xxhash64("scope", F.lit(2), F.substring("letters", 1, 3))
+    piece = lambda at: F.xxhash64("scope", F.lit(3), F.substring("letters", at, 4))
+    if lookup:
+        cut_slots = F.when(~F.col("is_cut"), no).when(~short, F.array(*head)).otherwise(F.concat(F.array(front), F.when(n >= CUT_SLIP_LETTERS, F.array(*[piece(k) for k in (4, 5, 6)])).otherwise(no)))
+    else:
+        cut_slots = F.when(~F.col("cut_here"), no).otherwise(F.concat(F.array(*head), F.array(front, piece(5))))
+    return cls.select("class_id", F.explode(F.concat(F.array(*whole), cut_slots)).alias("block"))
 
 
 def same_text(a: str, b: str) -> Column:
-    """One content apart from a slip of a letter, or one is the other cut off."""
+    """One content apart from a slip of a letter, or one is the other cut off.
+
+    A slip counts from SLIP_LETTERS letters on. A content cut off must hold CUT_LETTERS letters, and
+    may hold a slip from CUT_SLIP_LETTERS on.
+    """
     la, lb = F.col(f"{a}.letters"), F.col(f"{b}.letters")
     n = F.least(F.length(la), F.length(lb))
     bits = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp")))
     head_bits = F.bit_count(F.col(f"{a}.fp_head").bitwiseXOR(F.col(f"{b}.fp_head")))
     near = F.levenshtein(la, lb, 2)
     slip = (near == 1) | ((near == 2) & (bits == 0) & (F.length(la) == F.length(lb)))
-    whole = (bits <= MAX_BITS) & (F.col(f"{a}.digits") == F.col(f"{b}.digits")) & (F.col(f"{a}.denials") == F.col(f"{b}.denials")) & ((la == lb) | (slip & (n >= 4)))
+    whole = (bits <= MAX_BITS) & (F.col(f"{a}.digits") == F.col(f"{b}.digits")) & (F.col(f"{a}.denials") == F.col(f"{b}.denials")) & ((la == lb) | ((n >= SLIP_LETTERS) & slip))
     ca, cb = F.col(f"{a}.is_cut"), F.col(f"{b}.is_cut")
     shorter_cut = (ca & (F.length(la) <= F.length(lb))) | (cb & (F.length(lb) <= F.length(la)))
     ha, hb = F.substring(la, F.lit(1), n), F.substring(lb, F.lit(1), n)
     head_digits = F.regexp_replace(ha, r"[^\p{Nd}]+", "") == F.regexp_replace(hb, r"[^\p{Nd}]+", "")
-    cut_off = shorter_cut & (n >= 3) & ((ha == hb) | ((n >= 8) & (head_bits <= MAX_BITS) & head_digits & (F.levenshtein(ha, hb, 2) <= 1) & (F.levenshtein(ha, hb, 2) >= 0)))
+    cut_off = shorter_cut & (n >= CUT_LETTERS) & ((ha == hb) | ((n >= CUT_SLIP_LETTERS) & (head_bits <= MAX_BITS) & head_digits & F.levenshtein(ha, hb, 1).between(0, 1)))
     return whole | cut_off
 
 
 def match(new: DataFrame, index: DataFrame) -> DataFrame:
-    """class_id of ``new`` and the earliest (batch, row_id) of the index classes that are its message."""
-    n, i = block_table(new, lookup=True), block_table(index)
-    short = new.filter(F.col("is_cut") & (F.length("letters") < PREFIX)).select("scope").unionByName(index.filter(F.col("is_cut") & (F.length("letters") < PREFIX)).select("scope")).distinct()
-    wanted = lambda t: t.filter("view < 2").unionByName(t.filter("view = 2").join(short, "scope", "left_semi"))
-    a, b = wanted(n).select(F.col("class_id").alias("x"), "block"), wanted(i).select(F.col("class_id").alias("y"), "block")
-    pairs = a.join(b, "block").filter("x != y").select("x", "y").distinct()
-    full = pairs.join(new.alias("n"), F.col("x") == F.col("n.class_id")).join(index.alias("i"), F.col("y") == F.col("i.class_id"))
+    """class_id of ``new`` and ``first``: the earliest (batch, row_id) of the other index classes that
+    are its message and were seen before it."""
+    facts = (
+        index.select("scope", "class_id", "is_cut", F.lit(False).alias("asks"))
+        .unionByName(new.select("scope", "class_id", "is_cut", F.lit(True).alias("asks")))
+        .groupBy("scope").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.bool_or("asks").alias("asks"), F.bool_or("is_cut").alias("cut_here"))
+        .filter("asks and lo != hi").select("scope", "cut_here")
+    )
+    facts = cut(facts)
+    n, i = (cut(with_fingerprints(t.join(small(facts), "scope"))) for t in (new, index))
+    a, b = block_table(n, lookup=True).withColumnRenamed("class_id", "x"), block_table(i).withColumnRenamed("class_id", "y")
+    # a class cut off may be the longer content's earlier copy or its later one
+    pairs = a.join(b, "block").filter("x != y").select("x", "y")
+    cuts = block_table(i, lookup=True).withColumnRenamed("class_id", "y").join(block_table(n).withColumnRenamed("class_id", "x"), "block").filter("x != y").select("x", "y")
+    pairs = pairs.unionByName(cuts).distinct()
+    full = pairs.join(n.alias("n"), F.col("x") == F.col("n.class_id")).join(i.alias("i"), F.col("y") == F.col("i.class_id"))
     earlier = F.struct(F.col("i.batch"), F.col("i.row_id")) < F.struct(F.col("n.batch"), F.col("n.row_id"))
     same = (F.col("n.scope") == F.col("i.scope")) & same_text("n", "i")
     return full.filter(earlier & same).groupBy(F.col("x").alias("class_id")).agg(F.min(F.struct(F.col("i.batch").alias("batch"), F.col("i.row_id").alias("row_id"))).alias("first"))
 
 
-def message_rows(parsed: DataFrame, archives: DataFrame, options: DataFrame) -> DataFrame:
-    """Text rows of parsed with scope and class_id; rows without id, batch, sender, time or chat are left out."""
-    p = parsed.filter("type = 'text' and row_id is not null and batch_no is not null").select("row_id", "batch_no", "source_zip", "timestamp", "sender", "content")
-    rows = with_scope(p, parsed, archives, options).withColumns(content_columns(F.col("content")))
+ROW = ("row_id", "batch_no", "source_zip", "timestamp", "sender", "content")
+
+
+def text_rows(parsed: DataFrame) -> DataFrame:
+    """Text rows with id and batch."""
+    return parsed.filter("type = 'text' and row_id is not null and batch_no is not null").select(*ROW)
+
+
+def message_rows(texts: DataFrame, archives: DataFrame, options: DataFrame, *, evidence: DataFrame | None = None, orders: DataFrame | None = None) -> DataFrame:
+    """Text rows with scope and class_id; rows without sender, time or chat are left out."""
+    rows = with_content(with_scope(texts, evidence, archives, options, orders=orders))
     rows = rows.withColumn("class_id", F.xxhash64("scope", "letters", F.col("denials"), F.col("is_cut"))).select(
         "row_id", "batch_no", "scope", "letters", "digits", "denials", "is_cut", "class_id"
     )
@@ -126,31 +166,91 @@ def message_rows(parsed: DataFrame, archives: DataFrame, options: DataFrame) ->
 def find_repeats(parsed: DataFrame, archives: DataFrame, options: DataFrame) -> DataFrame:
     """row_id_a, row_id_b for every text row that repeats a message of an earlier batch.
 
-    All batches are looked up at once: each class looks for classes seen before it.
+    All batches are looked up at once: each class that a later batch holds looks for classes seen
+    before it, those of batch 0 too.
     """
-    rows = message_rows(parsed, archives, options)
+    rows = message_rows(text_rows(parsed), archives, options, evidence=parsed)
     cls = cut(classes(rows))
-    late = cls.filter("batch > 0")
-    best = match(late, cls)
-    own = cls.select("class_id", F.struct("batch", "row_id").alias("own")).join(best, "class_id", "left")
-    own = own.select("class_id", F.least(F.col("own"), F.coalesce("first", "own")).alias("first"))
-    hit = rows.select("row_id", "batch_no", "class_id").join(own, "class_id").filter("batch_no > first.batch")
+    best = match(cls.filter("last_batch > 0"), cls)
+    own = cls.filter("last_batch > 0").select("class_id", "last_batch", F.struct("batch", "row_id").alias("own")).join(best, "class_id", "left")
+    own = own.select("class_id", "last_batch", F.least(F.col("own"), F.coalesce("first", "own")).alias("first")).filter("last_batch > first.batch").drop("last_batch")
+    hit = rows.filter("batch_no > 0").select("row_id", "batch_no", "class_id").join(own, "class_id").filter("batch_no > first.batch")
     return hit.select(F.col("first.row_id").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
 
 
-def ingest_batch(batch: DataFrame, index: DataFrame | None, archives: DataFrame, options: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeats, new index rows) of one batch against a stored index of classes.
+@dataclass
+class History:
+    """What is kept of all accepted batches.
 
-    Append the second result to the index; the history itself is never read again.
+    classes: one row per different message; orders: each export's slash-date votes so far; held:
+    text rows whose slash dates can still be read both ways. Held rows are put into the lookup under
+    the order known at the time and join the classes for good once their export is decided.
     """
-    rows = message_rows(batch, archives, options)
-    cls = classes(rows)
-    if index is None:
-        return rows.select(F.lit(None).cast("long").alias("row_id_a"), F.col("row_id").alias("row_id_b")).limit(0), cls
-    known = index.select("class_id", F.struct("batch", "row_id").alias("known"))
-    best = match(cls, index)
-    first = cls.select("class_id").join(known, "class_id", "left").join(best, "class_id", "left")
-    first = first.select("class_id", F.least("known", "first").alias("first"), F.col("known").isNotNull().alias("stored"))
-    hit = rows.select("row_id", "batch_no", "class_id").join(first, "class_id").filter("batch_no > first.batch")
-    fresh = cls.join(first.filter("not stored").select("class_id"), "class_id", "left_semi")
-    return hit.select(F.col("first.row_id").alias("row_id_a"), F.col("row_id").alias("row_id_b")), fresh
+
+    classes: DataFrame
+    orders: DataFrame
+    held: DataFrame
+
+    def write(self, root: str) -> None:
+        for name in ("classes", "orders", "held"):
+            getattr(self, name).write.parquet(f"{root}/{name}")
+
+    @classmethod
+    def read(cls, spark, root: str) -> History:  # noqa: ANN001
+        return cls(*(spark.read.parquet(f"{root}/{n}") for n in ("classes", "orders", "held")))
+
+
+def _merged(classes_: DataFrame, more: DataFrame) -> DataFrame:
+    """Class rows of two sources as one row a class."""
+    key = F.struct("batch", "row_id")
+    rest = [F.min(c).alias(c) for c in ("scope", "letters", "digits", "denials", "is_cut")]
+    got = classes_.unionByName(more).groupBy("class_id").agg(F.min(key).alias("f"), F.max("last_batch").alias("last_batch"), *rest)
+    return got.select("class_id", "scope", "letters", "digits", "denials", "is_cut", "f.batch", "f.row_id", "last_batch")
+
+
+def ingest_batch(batch: DataFrame, history: History | None, archives: DataFrame, options: DataFrame) -> tuple[DataFrame, History]:
+    """(repeats, history with the batch) of one batch of parsed rows; batches come in order.
+
+    The accepted rows are never read again but for held ones. Answers follow the slash-date votes of
+    this and all earlier batches: they equal find_repeats over the whole table unless a later batch
+    decides an export's order; then the rows held of it move, answers given before stand.
+    """
+    spark = batch.sparkSession
+    orders = slash_orders(batch)
+    if history is not None:
+        orders = history.orders.unionByName(orders).groupBy("source_zip").agg(F.bool_and("dm").alias("dm"), F.bool_and("md").alias("md"))
+    orders = cut(orders)
+    told = options.groupBy("source_zip").agg(F.min(F.struct("date_format", "timezone"))["date_format"].alias("df")).filter("df in ('DD/MM', 'MM/DD')").select("source_zip")
+    undecided = orders.filter("dm and md").select("source_zip").join(told, "source_zip", "left_anti")
+    texts = text_rows(batch)
+    old = history.held if history is not None else spark.createDataFrame([], texts.schema)
+    both = cut(texts.withColumn("is_new", F.lit(True)).unionByName(old.withColumn("is_new", F.lit(False))).withColumn("open", F.contains(F.coalesce("timestamp", F.lit("")), F.lit("/"))))
+    both = cut(both.join(small(undecided.withColumn("u", F.lit(True))), "source_zip", "left").withColumn("held", F.col("open") & F.col("u").isNotNull()).drop("u", "open"))
+    rows = message_rows(both.select(*ROW), archives, options, orders=orders)
+    flags = both.select("row_id", "is_new", "held")
+    rows = cut(rows.join(flags, "row_id"))
+    cls = cut(classes(rows.filter("is_new")))
+    held_before = classes(rows.filter("not is_new"))
+    known = held_before if history is None else _merged(history.classes, held_before)
+    here = cls.select("scope").distinct()
+    known = cut(known.join(here, "scope", "left_semi"))
+    best = match(cls, known)
+    first = cls.select("class_id").join(known.select("class_id", F.struct("batch", "row_id").alias("known")), "class_id", "left").join(best, "class_id", "left")
+    first = first.select("class_id", F.least("known", "first").alias("first")).filter("first is not null")
+    hit = rows.filter("is_new").select("row_id", "batch_no", "class_id").join(first, "class_id").filter("batch_no > first.batch")
+    settled = classes(rows.filter("not held"))
+    kept = History(
+        cut(settled if history is None else _merged(history.classes, settled)), orders, cut(both.filter("held").select(*ROW)),
+    )
+    return cut(hit.select(F.col("first.row_id").alias("row_id_a"), F.col("row_id").alias("row_id_b"))), kept
+
+
+def find_repeats_by_batch(parsed: DataFrame, archives: DataFrame, options: DataFrame) -> DataFrame:
+    """find_repeats as a run of batches would give it: each in turn through ingest_batch. The loop is
+    over batch numbers, of which a table holds few."""
+    numbers = sorted(r["batch_no"] for r in parsed.select("batch_no").filter("batch_no is not null").distinct().collect())
+    history, out = None, None
+    for b in numbers:
+        hits, history = ingest_batch(parsed.filter(F.col("batch_no") == b), history, archives, options)
+        out = hits if out is None else out.unionByName(hits)
+    return out if out is not None else parsed.select(F.col("row_id").alias("row_id_a"), F.col("row_id").alias("row_id_b")).limit(0)

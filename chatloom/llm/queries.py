@@ -62,6 +62,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return batches.find_repeats(read(spark, d, "parsed"), read(spark, d, "archives"), read(spark, d, "ingest_options"))
 
 
+def p6_incremental(spark: SparkSession, d: str) -> DataFrame:
+    return batches.find_repeats_by_batch(read(spark, d, "parsed"), read(spark, d, "archives"), read(spark, d, "ingest_options"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     leaks = evaluation_leaks.find_leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
     return leaks.filter("distance = 0").select("doc_id", "item_id")

@@ -55,16 +55,63 @@ def test_recall_against_brute_force(spark):
     assert len(B.find_repeats(*tables(spark, rows)).collect()) >= want
 
 
+def by_batch(p, a, o):
+    index, got = None, set()
+    for b in sorted({r["batch_no"] for r in p.select("batch_no").distinct().collect()}):
+        hits, index = B.ingest_batch(p.filter(f"batch_no = {b}"), index, a, o)
+        got |= {tuple(r) for r in hits.collect()}
+    assert got == {tuple(r) for r in B.find_repeats_by_batch(p, a, o).collect()}
+    return got, index
+
+
 def test_incremental_equals_at_once(spark):
     rows = [(k, k % 4, "z", f"2024-01-01T10:{k % 7:02d}:00", "a", f"texto numero {k % 5} da obra") for k in range(40)]
     p, a, o = tables(spark, rows)
     at_once = {tuple(r) for r in B.find_repeats(p, a, o).collect()}
-    index, step = None, set()
-    for b in range(4):
-        hits, fresh = B.ingest_batch(p.filter(f"batch_no = {b}"), index, a, o)
-        step |= {tuple(r) for r in hits.collect()}
-        index = B.cut(fresh if index is None else index.unionByName(fresh))
-    assert step == at_once and at_once
+    assert by_batch(p, a, o)[0] == at_once and at_once
+
+
+def test_earliest_variant_of_the_first_batch(spark):
+    """A slip inside batch 0 doesn't hide the message's earliest row; slash dates of one export in several batches."""
+    stamp = "25/03/2024 10:00:30"
+    rows = [(1, 0, "z", stamp, "a", "o pacote chegou"), (2, 0, "z", stamp, "a", "o pacote chegu"), (3, 1, "z", stamp, "a", "o pacote chegu")]
+    t = tables(spark, rows)
+    assert {tuple(r) for r in B.find_repeats(*t).collect()} == by_batch(*t)[0] == {(1, 3)}
+    # the export is month first, which batch 0 shows; the copies of the later batches fit both orders
+    rows = [(1, 0, "z", "3/25/2024 10:00:30", "a", "x"), (2, 0, "y", "2024-03-04 10:00:10", "a", "um texto longo"), (3, 1, "z", "3/4/2024 10:00:30", "a", "um texto longo"), (4, 2, "z", "3/4/2024 10:00:30", "a", "um texto longu")]
+    t = tables(spark, rows, ("z", "y"))
+    got, index = by_batch(*t)
+    assert {tuple(r) for r in B.find_repeats(*t).collect()} == got == {(2, 3), (2, 4)} and index.held.count() == 0
+
+
+def test_open_slash_dates_move_when_decided(spark):
+    rows = [(1, 0, "z", "3/4/2024 10:00:30", "a", "um texto longo"), (2, 1, "z", "3/25/2024 09:00:00", "a", "outro"), (3, 2, "y", "2024-03-04 10:00:10", "a", "um texto longo")]
+    t = tables(spark, rows, ("z", "y"))
+    got, index = by_batch(*t)
+    assert got == {tuple(r) for r in B.find_repeats(*t).collect()} == {(1, 3)} and index.held.count() == 0
+    early = B.ingest_batch(t[0].filter("batch_no = 0"), None, *t[1:])[1]
+    assert early.held.count() == 1 and early.classes.count() == 0
+
+
+def test_one_scope_with_many_texts(spark):
+    """All texts in one chat, sender and minute: blocks must find exactly the pairs that brute force finds."""
+    rng = random.Random(9)
+    words = "portão garagem chave obra gato água conta rua casa porta mesa pedra não 12 47".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    rows = [(k, 0, "z", T, "a", t) for k, t in enumerate(texts)]
+    for k, t in enumerate(texts):
+        i = rng.randrange(len(t))
+        rows.append((100 + k, 1, "z", T, "a", [t[:i] + t[i + 1 :], t[:i] + "q" + t[i:], t[: max(5, len(t) // 2)] + "…", t[:7] + "…", t.upper()][k % 5]))
+    p, a, o = tables(spark, rows)
+    got = {tuple(r) for r in B.find_repeats(p, a, o).collect()}
+    c = B.with_fingerprints(B.classes(B.message_rows(B.text_rows(p), a, o, evidence=p)))
+    x, y = c.alias("n"), c.alias("i")
+    pairs = x.crossJoin(y).filter("n.class_id != i.class_id").filter(B.same_text("n", "i")).select("n.class_id", "i.class_id", "i.batch", "i.row_id").collect()
+    best = {r["class_id"]: (r["batch"], r["row_id"]) for r in c.collect()}
+    for n, _, batch, row in pairs:
+        best[n] = min(best[n], (batch, row))
+    of = {r["row_id"]: (r["class_id"], r["batch_no"]) for r in B.message_rows(B.text_rows(p), a, o, evidence=p).collect()}
+    assert got == {(best[k][1], r) for r, (k, b) in of.items() if b > best[k][0]} and len(got) > 40
 
 
 def test_survivors(spark):
