@@ -2,11 +2,14 @@
 
 Method: pigeonhole edit matching. A passage of ``min_words`` words with at most ``errors`` edits
 must contain, untouched, one of the aligned pieces an item is cut into (a window holds at least
-errors + 1 whole pieces). One automaton finds exact piece hits in each document; each hit is
-verified with Myers' bit-parallel edit distance, and an exact run count follows.
-
-Scale: one pass over the documents, no shuffle. Items are a stated query set; they reach the
-workers in blocks of ``block`` items, so their number isn't bounded by memory.
+errors + 1 whole pieces). One automaton finds exact piece hits in each document. A hit grows to the
+whole run that agrees on its diagonal; a window that leaves the run on k sides has k edits or more,
+so the windows with at most ``errors`` such sides are all there is to verify. Each is compared by
+Myers' bit-parallel edit distance, and an exact count of the run's words follows.
+
+Scale: one pass over the documents, no shuffle. Word places are worked out only for documents with
+a hit. Items are a stated query set; they are broadcast in blocks of ``block`` items, so their
+number isn't bounded by memory.
 """
 
 from __future__ import annotations
@@ -25,6 +28,19 @@ from chatloom.functions.text import INVISIBLE
 _DROP = re.compile(f"[{INVISIBLE}\u0300-\u036f\u3099\u309a]")
 _WORD = re.compile(r"[^\W_]+")
 _SPACELESS = re.compile(r"[぀-ヿ㐀-鿿]")
+#: Marks of letters and punctuation that is no part of a word: without them most text is ASCII.
+_BARE = re.compile(f"[{INVISIBLE}\u0300-\u036f\u3099\u309a\u2010-\u2027\u2030-\u203e\u00a1\u00a7\u00ab\u00b0\u00b7\u00bb\u00bf\u20ac]+")
+_NO_WORD = bytes(b for b in range(128) if not chr(b).isalnum())
+_NO_WORDS = re.compile(r"[\W_]+")
+
+
+def letters(text: str) -> str:
+    """The letters and digits of stream(), without the places of words; most texts take byte operations only."""
+    if not text.isascii():
+        text = _BARE.sub("", unicodedata.normalize("NFKD", text))
+    if text.isascii():
+        return text.encode().lower().translate(None, _NO_WORD).decode()
+    return _NO_WORDS.sub("", text).casefold()
 
 
 def stream(text: str) -> tuple[str, list[int]]:
@@ -83,15 +99,27 @@ class Item:
             yield self.text[self.at[k] : self.at[k + self.size]], self.at[k]
 
 
-def _verify(it: Item, doc: str, bounds: list[int], i: int, j: int, errors: int) -> tuple[int, int, int] | None:
-    """(distance, units, first doc position) of the passage around item position i = doc position j."""
-    a, lo, hi = it.text, 0, 0
+def _agree(a: str, i: int, b: str, j: int) -> int:
+    """How many characters of a from i and b from j agree."""
+    n, most = 0, min(len(a) - i, len(b) - j)
+    step = 16
+    while n < most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+        n += step
+        step *= 2
+    n = min(n, most)
+    while n < most and a[i + n] == b[j + n]:
+        n += 1
+    return n
+
+
+def _run(it: Item, doc: str, bounds: list[int], i: int, j: int) -> tuple[int, int, int, int]:
+    """(begin, end, first, last): the run that agrees around item position i = document position j,
+    and the units of the item that stand whole in it."""
+    a = it.text
+    lo = 0
     while i - lo > 0 and j - lo > 0 and a[i - lo - 1] == doc[j - lo - 1]:
         lo += 1
-    n, m = len(a) - i, len(doc) - j
-    while hi < n and hi < m and a[i + hi] == doc[j + hi]:
-        hi += 1
-    i0, i1, shift = i - lo, i + hi, j - i
+    i0, i1, shift = i - lo, i + _agree(a, i, doc, j), j - i
     first, last = bisect_left(it.at, i0), bisect_right(it.at, i1) - 1
     if not it.spaceless:
         known = lambda p: bounds[min(bisect_left(bounds, p), len(bounds) - 1)] == p
@@ -99,20 +127,63 @@ def _verify(it: Item, doc: str, bounds: list[int], i: int, j: int, errors: int)
             first += 1
         while last > first and not known(it.at[last] + shift):
             last -= 1
-    run = last - first
-    if run >= it.need:
-        return 0, run, it.at[first] + shift
-    if errors and run * (errors + 1) >= it.need - errors:
-        best = None
-        for k in range(max(0, last - it.need - errors), min(first + errors, len(it.at) - 1 - it.need) + 1):
-            window = a[it.at[k] : it.at[k + it.need]]
-            start = it.at[k] + shift
-            region = doc[max(0, start - errors) : start + len(window) + errors]
-            dist = myers(window, region)
-            if 0 < dist <= errors and (best is None or dist < best[0]):
-                best = (dist, it.need, max(0, start))
-        return best
-    return None
+    return i0, i1, first, last
+
+
+def _windows(it: Item, first: int, last: int, errors: int) -> Iterator[int]:
+    """First units of the windows around a run of units that leave it on at most ``errors`` sides.
+    Of those that leave it on one side only, the window that leaves it least decides."""
+    lo, hi = max(0, last - it.need), min(first, len(it.at) - 1 - it.need)
+    for k in range(lo, hi + 1):
+        if (k < first) + (k + it.need > last) <= errors:
+            yield k
+
+
+def _verify(it: Item, doc: str, shift: int, first: int, last: int, errors: int) -> tuple[int, int, int] | None:
+    """(distance, units, document position) of the best window around a run that is too short itself."""
+    best = None
+    for k in _windows(it, first, last, errors):
+        window, start = it.text[it.at[k] : it.at[k + it.need]], it.at[k] + shift
+        region = doc[max(0, start - errors) : max(0, start) + len(window) + errors]
+        # what the run leaves over holds at most ``errors`` edits, so one of errors + 1 parts of it is whole
+        over = [x for x in (window[: max(0, it.at[first] - it.at[k])], window[max(0, it.at[last] - it.at[k]) :]) if x]
+        if not all(_part_whole(x, region, errors) for x in over):
+            continue
+        dist = myers(window, region)
+        if dist <= errors and (best is None or dist < best[0]):
+            best = (max(dist, 1), it.need, max(0, start))
+    return best
+
+
+def _part_whole(x: str, region: str, errors: int) -> bool:
+    cuts = [len(x) * k // (errors + 1) for k in range(errors + 2)]
+    return len(x) <= errors or any(x[a:b] in region for a, b in zip(cuts, cuts[1:]))
+
+
+def leaks_of(text: str, items: list[Item], auto: object, errors: int) -> dict[int, tuple[int, int, int]]:
+    """Place in items -> (distance, units, position) of the passages one document holds."""
+    doc = letters(text)
+    hits = list(auto.iter(doc))
+    if not hits:
+        return {}
+    bounds = stream(text)[1]
+    best: dict[int, tuple[int, int, int]] = {}
+    seen: dict[tuple[int, int], int] = {}  # (item, diagonal) -> end of the last run looked at
+    for end, (length, places) in hits:
+        j = end - length + 1
+        for n, i in places:
+            if i < seen.get((n, j - i), -1):  # another piece of the same run
+                continue
+            it = items[n]
+            _, i1, first, last = _run(it, doc, bounds, i, j)
+            seen[n, j - i] = i1
+            if last - first >= it.need:
+                got = (0, last - first, it.at[first] + j - i)
+            else:
+                got = _verify(it, doc, j - i, first, last, errors) if errors else None
+            if got and (n not in best or (got[0], -got[1]) < (best[n][0], -best[n][1])):
+                best[n] = got
+    return best
 
 
 def find_leaks(
@@ -135,10 +206,12 @@ def find_leaks(
     def flush(part: list[tuple[int, str]]) -> None:
         nonlocal found
 
-        def run(batches: Iterator[pd.DataFrame], part: list = part) -> Iterator[pd.DataFrame]:
+        sent = documents.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pd.DataFrame], sent: object = sent) -> Iterator[pd.DataFrame]:
             import ahocorasick
 
-            its = [Item(k, t, min_words, min_chars, errors) for k, t in part]
+            its = [Item(k, t, min_words, min_chars, errors) for k, t in sent.value]
             where: dict[str, list[tuple[int, int]]] = {}
             for n, it in enumerate(its):
                 for piece, at in it.pieces():
@@ -151,20 +224,7 @@ def find_leaks(
             for pdf in batches:
                 out = []
                 for d, t in zip(pdf["doc_id"], pdf["text"]) if where else ():
-                    doc, bounds = stream(t)
-                    best: dict[int, tuple[int, int, int]] = {}
-                    done: set[tuple[int, int]] = set()
-                    for end, (length, places) in auto.iter(doc):
-                        j = end - length + 1
-                        for n, i in places:
-                            if (n, j - i) in done:  # another piece of the same exact run
-                                continue
-                            got = _verify(its[n], doc, bounds, i, j, errors)
-                            if got and (n not in best or (got[0], -got[1]) < (best[n][0], -best[n][1])):
-                                best[n] = got
-                            if got and got[0] == 0:
-                                done.add((n, j - i))
-                    out += [(d, its[n].id, *v) for n, v in best.items()]
+                    out += [(d, its[n].id, *v) for n, v in leaks_of(t, its, auto, errors).items()]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "units", "at"])
 
         part_found = docs.mapInPandas(run, "doc_id long, item_id long, distance long, units long, at long")

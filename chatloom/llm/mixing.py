@@ -50,11 +50,11 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "tokens", tokeniz
 def water_fill(targets: dict[str, tuple[float, float, int]], total: float | None = None) -> dict[str, float]:
     """Tokens to take of each source. targets: source -> (share, tokens available, max repeats).
 
-    total None: the largest total at which every source can hold its share exactly. A source with
-    share 0 or nothing available gets 0 (its share goes to the rest if a total is given).
+    total None: the largest total at which every source that has tokens can hold its share exactly.
+    A source with share 0, nothing available or no repeats gets 0; its share goes to the rest.
     """
     caps = {s: max(0, n * r) for s, (_, n, r) in targets.items()}
-    live = {s: w for s, (w, _, _) in targets.items() if w and w > 0}
+    live = {s: w for s, (w, _, _) in targets.items() if w and w > 0 and caps[s] > 0}
     if total is None:
         norm = sum(live.values())
         total = min((caps[s] * norm / w for s, w in live.items()), default=0.0)

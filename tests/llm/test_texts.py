@@ -88,11 +88,48 @@ def test_leaks(spark):
     assert L.find_leaks(df, items.limit(0)).count() == 0 and L.find_leaks(df.limit(0), items).count() == 0
 
 
+def test_one_edit_is_always_found():
+    """Every window of twelve words with one edit, at every offset and of every kind, and none with three."""
+    import ahocorasick
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(40)]
+    for errors in (1, 2):
+        it = L.Item(1, " ".join(words), 12, 24, errors)
+        auto = ahocorasick.Automaton()
+        for piece, at in it.pieces():
+            auto.add_word(piece, (len(piece), [(0, at)]))
+        auto.make_automaton()
+        for _ in range(1500):
+            k = rng.randint(0, len(words) - 12)
+            part = words[k : k + 12]
+            for _ in range(rng.randint(0, errors)):
+                n = rng.randrange(12)
+                w = part[n]
+                p = rng.randrange(len(w))
+                part[n] = rng.choice([w[:p] + "z" + w[p + 1 :], w[:p] + "z" + w[p:], w[:p] + w[p + 1 :]])
+            text = " ".join(["Yx", *part, "Yz"])
+            assert 0 in L.leaks_of(text, [it], auto, errors), (errors, k, part)
+        for _ in range(300):
+            k = rng.randint(0, len(words) - 12)
+            part = [w if n % 3 else "Q" + w[1:] + "Q" for n, w in enumerate(words[k : k + 12])]
+            assert not L.leaks_of(" ".join(part), [it], auto, errors)
+
+
+def test_letters_are_those_of_the_stream():
+    rng = random.Random(3)
+    alphabet = "aÁçß İıñ_-–“”…º½ﬁ漢カﾞが\u0301\u200b9٣Ω\n€"
+    for _ in range(500):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 20)))
+        assert L.letters(t) == L.stream(t)[0], t
+
+
 def test_water_fill():
     got = X.water_fill({"a": (0.5, 100, 1), "b": (0.3, 1000, 1), "c": (0.2, 10, 3), "d": (0.0, 50, 1)}, 600)
     assert got["a"] == 100 and got["c"] == 30 and abs(got["b"] - 470) < 1e-6 and got["d"] == 0
     exact = X.water_fill({"a": (0.5, 100, 1), "b": (0.5, 1000, 1)})
     assert exact == {"a": 100.0, "b": 100.0} and X.water_fill({}) == {} and X.water_fill({"a": (1.0, 0, 2)}) == {"a": 0.0}
+    assert X.water_fill({"a": (0.4, 100, 1), "b": (0.4, 50, 2), "none": (0.2, 0, 3), "never": (0.1, 9, 0)}) == {"a": 100.0, "b": 100.0, "none": 0.0, "never": 0.0}
 
 
 def test_mix(spark):
