@@ -1,7 +1,9 @@
 """Rebuilding conversations from message rows (problem 2).
 
 Method: sessionize. Rows of a contact are put in time order, cut where the silence is longer than
-a gap calibrated on the corpus, given roles, and sessions without reciprocal replies are marked.
+a gap calibrated on the corpus and given roles; sessions without reciprocal replies are dropped.
+``drop_reasons`` judges whole contacts, as the data's own rule does: their sessions' speakers are
+put together, so there the place of a cut has no effect.
 
 Scale: nothing is ordered over a whole contact at once. Order checks run in slices (contact, run
 of ``SLICE`` sequence numbers) and (contact, day); what crosses a slice border is compared in a
@@ -15,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import sender_key
+from chatloom.operators.ordering import number_rows
 from chatloom.session import cut
 
 SLICE = 1024
@@ -27,8 +30,10 @@ def _seconds(c: Column) -> Column:
 
 
 def distinct_messages(messages: DataFrame) -> DataFrame:
-    """One row per (contact, message_id), the smallest (seq, timestamp); rows without an id stay."""
-    key = F.coalesce(F.unhex("message_id"), F.encode(F.coalesce("message_id", F.concat(F.lit("row "), F.uuid())), "utf-8"))
+    """One row per (contact, message_id), the smallest (seq, timestamp). Rows without an id are one
+    message if they agree in everything."""
+    row = F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in ("seq", "timestamp", "sender", "type", "source_zip")])
+    key = F.coalesce(F.unhex("message_id"), F.encode(F.coalesce("message_id", F.concat(F.lit("row "), row)), "utf-8"))
     m = messages.select(
         "contact",
         key.alias("id"),
@@ -38,6 +43,7 @@ def distinct_messages(messages: DataFrame) -> DataFrame:
             sender_key(F.col("sender")).alias("who"),
             F.col("type").isin("text", "media").alias("said"),
             F.col("source_zip"),
+            F.col("message_id"),
         ).alias("v"),
     ).filter("contact is not null")
     return m.groupBy("contact", "id").agg(F.min("v").alias("v")).select("contact", "v.*")
@@ -45,10 +51,11 @@ def distinct_messages(messages: DataFrame) -> DataFrame:
 
 def order_faults(rows: DataFrame) -> DataFrame:
     """Per contact: is seq not 1, 2, 3 … without hole or repetition, or does t run backwards?"""
-    rows = rows.withColumn("slice", F.floor(F.coalesce("seq", F.lit(0)) / SLICE))
+    nameless = rows.filter("seq is null").select("contact", F.lit(True).alias("bad"))
+    rows = rows.filter("seq is not null").withColumn("slice", F.floor(F.col("seq") / SLICE))
     w = W.partitionBy("contact", "slice").orderBy("seq", "t")
     step, back = F.col("seq") - F.lag("seq").over(w), F.col("t") < F.lag("t").over(w)
-    local = rows.select("contact", "slice", "seq", "t", (F.coalesce(step != 1, F.lit(False)) | F.coalesce(back, F.lit(False)) | F.col("seq").isNull()).alias("bad"))
+    local = rows.select("contact", "slice", "seq", "t", (F.coalesce(step != 1, F.lit(False)) | F.coalesce(back, F.lit(False))).alias("bad"))
     per = local.groupBy("contact", "slice").agg(
         F.bool_or("bad").alias("bad"),
         F.min("seq").alias("lo"),
@@ -58,9 +65,11 @@ def order_faults(rows: DataFrame) -> DataFrame:
     )
     v = W.partitionBy("contact").orderBy("slice")
     hole = F.col("lo") != F.coalesce(F.lag("hi").over(v), F.lit(0)) + 1
-    back = F.col("t_lo") < F.lag("t_hi").over(v)
+    # the last time before a slice, also over slices without any
+    back = F.col("t_lo") < F.last("t_hi", ignorenulls=True).over(v.rowsBetween(W.unboundedPreceding, -1))
     return (
         per.select("contact", (F.col("bad") | F.coalesce(hole, F.lit(True)) | F.coalesce(back, F.lit(False))).alias("bad"))
+        .unionByName(nameless)
         .groupBy("contact")
         .agg(F.bool_or("bad").alias("broken"))
     )
@@ -129,20 +138,23 @@ def owners(rows: DataFrame, options: DataFrame | None = None) -> DataFrame:
     return out.select("contact", F.col("seen_owner").alias("owner"))
 
 
+def _said() -> Column:
+    return F.col("said") & F.col("who").isNotNull()
+
+
 def rebuild_conversations(messages: DataFrame, options: DataFrame | None = None, gap: int | None = None) -> DataFrame:
     """One row per session: contact, session_no, first and last second, rows, owner_rows,
     other_rows, two_sided (at least two senders said something), lo_who and hi_who (smallest and
-    largest sender key, enough to merge reciprocity over sessions).
+    largest sender key, enough to merge reciprocity over sessions), reason (empty or no_reply where
+    a session is to be dropped).
 
     Null contacts are left out; rows without readable time belong to no session. Repeated rows
     count once. An empty table gives an empty result. Extra columns are ignored.
     """
-    rows = distinct_messages(messages)
-    s = sessions(rows, gap)
-    own = owners(rows, options)
-    said = F.col("said") & F.col("who").isNotNull()
-    s = s.join(own, "contact", "left")
-    return s.groupBy("contact", "session_no").agg(
+    rows = cut(distinct_messages(messages))
+    s = sessions(rows, gap).join(owners(rows, options), "contact", "left")
+    said = _said()
+    per = s.groupBy("contact", "session_no").agg(
         F.min("t").alias("first_sec"),
         F.max("t").alias("last_sec"),
         F.count("*").alias("rows"),
@@ -151,6 +163,28 @@ def rebuild_conversations(messages: DataFrame, options: DataFrame | None = None,
         F.min(F.when(said, F.col("who"))).alias("lo_who"),
         F.max(F.when(said, F.col("who"))).alias("hi_who"),
     ).withColumn("two_sided", F.coalesce(F.col("lo_who") != F.col("hi_who"), F.lit(False)))
+    return per.withColumn("reason", F.when(F.col("lo_who").isNull(), "empty").when(~F.col("two_sided"), "no_reply"))
+
+
+def ordered_conversations(contacts: DataFrame, messages: DataFrame, options: DataFrame | None = None, gap: int | None = None) -> DataFrame:
+    """One row per message of the usable conversations, once and in order: contact, session_no,
+    place (from 1 in its session), message_id, seq, t, who, role (owner, other, or system where
+    nobody speaks).
+
+    Dropped are contacts with a reason of drop_reasons, contacts that ``contacts`` doesn't list, and
+    of the others the sessions in which nobody replies (rebuild_conversations gives their reason).
+    """
+    rows = cut(distinct_messages(messages))
+    bad = _reasons(contacts, rows, gap)
+    usable = contacts.select("contact").filter("contact is not null").distinct().join(bad, "contact", "left_anti")
+    said = _said()
+    s = cut(sessions(rows, gap).join(usable, "contact", "left_semi").join(owners(rows, options), "contact", "left"))
+    per = s.groupBy("contact", "session_no").agg(F.min(F.when(said, F.col("who"))).alias("lo"), F.max(F.when(said, F.col("who"))).alias("hi")).filter("lo != hi")
+    s = s.join(per.select("contact", "session_no"), ["contact", "session_no"], "left_semi")
+    role = F.when(~said, "system").when(F.col("who").eqNullSafe(F.col("owner")), "owner").otherwise("other")
+    # seq runs 1, 2, 3 in a usable contact, and time with it: a session is a run of seq
+    out = number_rows(s, ["contact", "session_no"], F.floor(F.col("seq") / SLICE), ["seq"], "place")
+    return out.select("contact", "session_no", "place", "message_id", "seq", "t", "who", role.alias("role"))
 
 
 def drop_reasons(contacts: DataFrame, messages: DataFrame, gap: int | None = None) -> DataFrame:
@@ -159,29 +193,15 @@ def drop_reasons(contacts: DataFrame, messages: DataFrame, gap: int | None = Non
     Sessions carry who spoke; a contact has replies if its sessions together have two senders.
     Rows without a readable time are in no session, so their senders are added directly.
     """
-    rows = distinct_messages(messages)
-    said = F.col("said") & F.col("who").isNotNull()
-    per_session = (
-        sessions(rows, gap)
-        .groupBy("contact", "session_no")
-        .agg(F.min(F.when(said, F.col("who"))).alias("lo"), F.max(F.when(said, F.col("who"))).alias("hi"))
-    )
-    timeless = rows.filter(F.col("t").isNull() & said).groupBy("contact").agg(F.min("who").alias("lo"), F.max("who").alias("hi"))
-    spoke = (
-        per_session.select("contact", "lo", "hi")
-        .unionByName(timeless)
-        .groupBy("contact")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    )
+    return _reasons(contacts, cut(distinct_messages(messages)), gap)
+
+
+def _reasons(contacts: DataFrame, rows: DataFrame, gap: int | None) -> DataFrame:
+    said = _said()
+    ends = (F.min(F.when(said, F.col("who"))).alias("lo"), F.max(F.when(said, F.col("who"))).alias("hi"))
+    per_session = sessions(rows, gap).groupBy("contact", "session_no").agg(*ends).select("contact", "lo", "hi")
+    timeless = rows.filter("t is null").groupBy("contact").agg(*ends)
+    spoke = per_session.unionByName(timeless).groupBy("contact").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     all_contacts = contacts.select("contact").filter("contact is not null").distinct()
-    reason = (
-        F.when(F.col("lo").isNull(), "empty")
-        .when(F.coalesce("broken", F.lit(False)), "broken")
-        .when(F.col("lo") == F.col("hi"), "no_reply")
-    )
-    return (
-        all_contacts.join(spoke, "contact", "left")
-        .join(order_faults(rows), "contact", "left")
-        .select("contact", reason.alias("reason"))
-        .filter("reason is not null")
-    )
+    reason = F.when(F.col("lo").isNull(), "empty").when(F.coalesce("broken", F.lit(False)), "broken").when(F.col("lo") == F.col("hi"), "no_reply")
+    return all_contacts.join(spoke, "contact", "left").join(order_faults(rows), "contact", "left").select("contact", reason.alias("reason")).filter("reason is not null")

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,22 +76,27 @@ def water_fill(targets: dict[str, tuple[float, float, int]], total: float | None
 
 
 def mix(
-    documents: DataFrame, targets: DataFrame, *, total: float | None = None, seed: int = 42, source: str = "source", text: str = "text",
-    doc_id: str = "doc_id", tokenizer: str = TOKENIZER,
+    documents: DataFrame, targets: DataFrame, *, total: float | None = None, share_of_all: float | None = None, seed: int = 42, source: str = "source",
+    text: str = "text", doc_id: str = "doc_id", tokenizer: str = TOKENIZER, size: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mix, report). mix: doc_id, source, tokens, copies (>= 1), one row per record used.
     report: source, target_share, max_repeats, available, wanted, taken, share.
 
+    Sizes are tokens, or ``size`` if it is given. The wanted total is ``total``, or ``share_of_all``
+    of the size of all usable records; without both, the largest at which every source holds its share.
     Records without a source of ``targets``, without id or without tokens are not used (the report
     counts what is available). Each source's fraction ends at the last whole record that fits, so
     it falls short by less than one record. Repeated target rows count once (the smallest).
     """
     t = targets.filter("source is not null").groupBy("source").agg(F.min(F.struct("target_share", "max_repeats")).alias("v")).select("source", "v.*")
-    docs = count_tokens(documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")), tokenizer=tokenizer).drop("text")
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), (F.lit(None) if size is None else size).cast("long").alias("tokens"))
+    docs = (count_tokens(docs, tokenizer=tokenizer) if size is None else docs).drop("text")
     docs = docs.filter("doc_id is not null and tokens > 0").join(small(t.select("source")), "source", "left_semi")
     docs = cut(docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS))))
     have = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     rows = t.collect()
+    if share_of_all is not None:
+        total = share_of_all * sum(have.values())
     wanted = water_fill({r["source"]: (r["target_share"] or 0.0, have.get(r["source"], 0), r["max_repeats"] or 0) for r in rows}, total)
     plan = []
     for r in rows:
@@ -114,6 +119,7 @@ def mix(
     )
     out = taken.select("doc_id", "source", "tokens", (F.col("whole") + F.col("extra")).alias("copies")).filter("copies > 0")
     got = out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken"))
-    report = p.drop("whole", "quota").join(small(got), "source", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    # one row per target at most, and the targets are in the driver already
+    report = p.drop("whole", "quota").join(F.broadcast(got), "source", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     total_taken = F.sum("taken").over(W.partitionBy())
     return out, report.withColumn("share", F.when(total_taken > 0, F.col("taken") / total_taken).otherwise(0.0))

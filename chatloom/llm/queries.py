@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chatloom.llm import (
     batches,
@@ -34,6 +35,10 @@ def p2_sessions(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild_conversations(read(spark, d, "messages"), read(spark, d, "ingest_options"))
 
 
+def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.ordered_conversations(read(spark, d, "contacts"), read(spark, d, "messages"), read(spark, d, "ingest_options"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return personal_data.found(read(spark, d, "parsed"), read(spark, d, "utterances"))
 
@@ -83,6 +88,12 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read(spark, d, "documents"), read(spark, d, "source_targets"))[1]
 
 
+def p9_capped(spark: SparkSession, d: str) -> DataFrame:
+    """A total of four fifths of everything, where small sources reach their caps; sizes in code points."""
+    report = mixing.mix(read(spark, d, "documents"), read(spark, d, "source_targets"), share_of_all=0.8, size=F.length("text"))[1]
+    return report.select("source", "available", F.round("wanted", 3).alias("wanted"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.found(read(spark, d, "documents"))
 
@@ -107,6 +118,14 @@ WITH m AS (SELECT contact, message_id, min({{'q': seq, 't': CAST(replace(timesta
 r AS (SELECT contact, v.q AS q, v.t AS t, v.w AS w, v.s AS s, row_number() OVER (PARTITION BY contact ORDER BY v.q, v.t) AS n, lag(v.t) OVER (PARTITION BY contact ORDER BY v.q, v.t) AS p FROM m),
 g AS (SELECT contact, bool_or(q IS DISTINCT FROM n OR coalesce(t < p, false)) AS broken, min(w) FILTER (s) AS lo, max(w) FILTER (s) AS hi FROM r GROUP BY 1)
 SELECT * FROM (SELECT contact, CASE WHEN lo IS NULL THEN 'empty' WHEN broken THEN 'broken' WHEN lo = hi THEN 'no_reply' END AS reason FROM (SELECT DISTINCT contact FROM contacts WHERE contact IS NOT NULL) LEFT JOIN g USING (contact)) WHERE reason IS NOT NULL""",
+    # sources in the order in which they fill up: those before the first that doesn't are at their caps
+    "p9_capped": """
+WITH a AS (SELECT t.source, target_share AS w, CAST(coalesce(sum(length(text)) FILTER (doc_id IS NOT NULL), 0) AS BIGINT) AS available, max_repeats FROM source_targets t LEFT JOIN documents d USING (source) GROUP BY ALL),
+g AS (SELECT 0.8 * sum(available) AS total FROM a), b AS (SELECT *, available * max_repeats AS cap FROM a),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before, sum(w) OVER (ORDER BY cap / w DESC, source DESC) AS w_left FROM b WHERE cap > 0 AND w > 0),
+c AS (SELECT *, cap <= (total - full_before) * w / w_left AS capped FROM o, g),
+r AS (SELECT (any_value(total) - coalesce(sum(cap) FILTER (capped), 0)) / sum(w) FILTER (NOT capped) AS level FROM c)
+SELECT b.source, b.available, round(CASE WHEN c.source IS NULL THEN 0.0 WHEN capped THEN b.cap ELSE level * b.w END, 3) AS wanted FROM b LEFT JOIN c USING (source), r""",
     # twelve words in a row, or twenty-four characters of a Japanese item
     "p8_found": f"""
 WITH i AS (SELECT item_id, lang = 'ja' AS ja, {_STREAM('text')} AS w FROM eval_items), d AS (SELECT doc_id, {_STREAM('text')} AS w, regexp_matches(text, '{_KANA}') AS ja FROM documents WHERE text IS NOT NULL),

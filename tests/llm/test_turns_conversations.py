@@ -87,3 +87,20 @@ def test_sessions_and_roles(spark):
     got = [(r["contact"], r["session_no"], r["owner_rows"], r["other_rows"], r["two_sided"]) for r in C.rebuild_conversations(messages(spark, rows), gap=3600).orderBy("contact", "session_no").collect()]
     assert got == [("A", 1, 1, 1, True), ("A", 2, 1, 0, False), ("B", 1, 1, 0, False)]
     assert C.rebuild_conversations(messages(spark, [])).count() == 0 and C.drop_reasons(spark.createDataFrame([], "contact string"), messages(spark, [])).count() == 0
+
+
+def test_ordered_conversations(spark):
+    rows = [(str(k), k, f"2024-01-0{1 + k // 4}T10:0{k % 4}:00", w, "A", t, "z") for k, (w, t) in enumerate([("me", "text"), ("x", "media"), ("", "system"), ("me", "text"), ("me", "text"), ("x", "text")], 1)]
+    rows += [rows[0], ("7", 7, "2024-01-05T10:00:00", "x", "A", "text", "z"), ("b", 1, "2024-01-01T10:00:00", "me", "B", "text", "z"), ("c", 2, "2024-01-01T10:00:00", "me", "C", "text", "z")]
+    contacts = spark.createDataFrame([("A",), ("B",), ("C",)], "contact string")
+    options = spark.createDataFrame([("z", "ME ")], "source_zip string, self string")
+    got = [tuple(r) for r in C.ordered_conversations(contacts, messages(spark, rows), options, gap=3600).select("contact", "session_no", "place", "message_id", "role").orderBy("seq").collect()]
+    assert got == [("A", 1, 1, "1", "owner"), ("A", 1, 2, "2", "other"), ("A", 1, 3, "3", "system"), ("A", 2, 1, "4", "owner"), ("A", 2, 2, "5", "owner"), ("A", 2, 3, "6", "other")]
+    s = {r["session_no"]: r["reason"] for r in C.rebuild_conversations(messages(spark, rows), options, gap=3600).filter("contact = 'A'").collect()}
+    assert s == {1: None, 2: None, 3: "no_reply"}
+
+
+def test_rows_without_id_or_sequence(spark):
+    rows = [(None, 1, "2024-01-01T10:00:00", "a", "A", "text", "z"), (None, 1, "2024-01-01T10:00:00", "a", "A", "text", "z"), (None, 2, "2024-01-01T10:01:00", "b", "A", "text", "z"), ("n", None, None, "b", "N", "text", "z")]
+    contacts = spark.createDataFrame([("A",), ("N",)], "contact string")
+    assert [tuple(r) for r in C.drop_reasons(contacts, messages(spark, rows)).collect()] == [("N", "broken")]
