@@ -27,6 +27,12 @@ def p1_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.speaker_turns(read(spark, d, "utterances"))
 
 
+def p1_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """Turns in which unidentified utterances take the speaker a fitted model gives them."""
+    utts = read(spark, d, "utterances")
+    return turns.speaker_turns(utts, unidentified="infer", model=turns.fit_model(utts))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.drop_reasons(read(spark, d, "contacts"), read(spark, d, "messages"))
 

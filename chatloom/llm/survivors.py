@@ -1,11 +1,12 @@
 """Best representative of each duplicate group (problem 4).
 
 Method: a latent two-sided quality model. Each export is a source that, for the messages it holds,
-asserts values (a media file, a caption) or keeps silent. Expectation-maximisation infers each
-source's sensitivity (true values it asserts) and specificity (false values it keeps out) and each
-value's probability of being true. Files really present in an archive are anchored as true. Fields
-with several values keep every value judged true; single fields come from the copy that has them
-best.
+asserts values (a media file, a caption) or keeps silent; the list of files really present in its
+archive is a second source, which bears out the files its messages name or doesn't.
+Expectation-maximisation infers each source's sensitivity (true values it asserts) and specificity
+(false values it keeps out) and each value's probability of being true, until no probability moves
+by more than ``TOLERANCE``. Fields with several values keep every value judged true; single fields
+come from the copy that has them best among those with a true value.
 
 Scale: silence is never spelled out as rows. Sums over a group's sources and corrections for the
 asserted values give the same likelihood, so an iteration is linear in the number of assertions,
@@ -21,8 +22,13 @@ from chatloom.functions.text import INVISIBLE, WS, fold_accents
 from chatloom.llm.scopes import with_scope
 from chatloom.session import cut
 
-#: Beta prior of sensitivity and of specificity: (successes, failures).
+#: Beta priors of sensitivity and of specificity: (successes, failures). A list of files seldom holds
+#: a file that isn't there, but lacks many, as exports leave media out.
 SENSITIVITY, SPECIFICITY, PRIOR = (4.0, 2.0), (9.0, 1.0), 0.5
+LIST_SENSITIVITY, LIST_SPECIFICITY = (1.0, 1.0), (999.0, 1.0)
+#: The model has settled when no probability moves by more than this; at the latest after ROUNDS.
+TOLERANCE, ROUNDS = 0.01, 12
+LIST = "\0list"
 #: Letters that a caption cut short must hold to count as a copy of a longer one.
 HEAD = 12
 
@@ -70,40 +76,55 @@ def whole_captions(rows: DataFrame) -> DataFrame:
     return hit.groupBy("group_id", "caption").agg(F.min(F.struct(-F.length("whole"), "whole"))["whole"].alias("whole"))
 
 
-def assertions(rows: DataFrame, fields: tuple[str, ...] = ("file", "caption")) -> DataFrame:
-    """group_id, field, value, source_zip, anchored: what each source asserts, repeats once."""
-    one = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), (F.col("listed") if f == "file" else F.lit(False)).alias("anchored")) for f in fields])).alias("a")
-    a = rows.select("group_id", "source_zip", one).select("group_id", "source_zip", "a.*").filter("value is not null and value != ''")
-    return a.groupBy("group_id", "field", "value", "source_zip").agg(F.bool_or("anchored").alias("anchored"))
+def assertions(rows: DataFrame, fields: tuple[str, ...] = ("file", "caption")) -> tuple[DataFrame, DataFrame]:
+    """(claims, coverage). claims: group_id, field, value, source: what each source asserts, repeats
+    once. coverage: the distinct group_id, field, source that could assert something.
+
+    A message without its file says nothing about which file it was, so it doesn't cover the field;
+    an archive's list covers a group whose messages name a file.
+    """
+    one = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.col("source_zip").alias("source"), F.lit(True).alias("says")) for f in fields]
+    listed = F.struct(F.lit("file").alias("field"), F.col("file").alias("value"), F.concat("source_zip", F.lit(LIST)).alias("source"), F.col("listed").alias("says"))
+    a = rows.select("group_id", F.explode(F.array(*one, *([listed] if "file" in fields else []))).alias("a")).select("group_id", "a.*")
+    a = a.groupBy("group_id", "field", "value", "source").agg(F.bool_or("says").alias("says"))
+    covers = a.filter((F.col("field") != "file") | F.col("value").isNotNull()).select("group_id", "field", "source").distinct()
+    return a.filter("says and value is not null and value != ''").drop("says"), covers
 
 
-def truths(claims: DataFrame, coverage: DataFrame, iterations: int = 3) -> tuple[DataFrame, DataFrame]:
+def truths(claims: DataFrame, coverage: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """(values, sources): probability of each (group_id, field, value); sensitivity and specificity
-    of each source. coverage: the distinct (group_id, source_zip)."""
+    of each source. Stops when no probability moves by more than ``tolerance``."""
     clip = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), c))
-    se0, sp0 = SENSITIVITY[0] / sum(SENSITIVITY), SPECIFICITY[0] / sum(SPECIFICITY)
-    sources = coverage.select("source_zip").distinct().select("source_zip", F.lit(se0).alias("sens"), F.lit(sp0).alias("spec"))
-    values = None
-    for _ in range(iterations):
+    pick = lambda lst, msg, i: F.when(F.col("source").endswith(LIST), lst[i]).otherwise(msg[i])
+    se = [pick(LIST_SENSITIVITY, SENSITIVITY, i) for i in (0, 1)]
+    sp = [pick(LIST_SPECIFICITY, SPECIFICITY, i) for i in (0, 1)]
+    names = cut(coverage.select("source").distinct())
+    sources = names.select("source", (se[0] / (se[0] + se[1])).alias("sens"), (sp[0] / (sp[0] + sp[1])).alias("spec"))
+    values, key = None, ["group_id", "field"]
+    for _ in range(rounds):
         silent = F.log((1 - F.col("sens")) / F.col("spec"))
         spoken = F.log(F.col("sens") / (1 - F.col("spec")))
-        base = coverage.join(sources, "source_zip").groupBy("group_id").agg(F.sum(silent).alias("base"))
-        said = claims.join(sources, "source_zip").groupBy("group_id", "field", "value").agg(F.sum(spoken - silent).alias("said"), F.bool_or("anchored").alias("anchored"))
-        odds = F.lit(PRIOR / (1 - PRIOR))
-        post = 1 / (1 + F.exp(-(F.log(odds) + F.col("base") + F.col("said"))))
-        values = cut(said.join(base, "group_id").select("group_id", "field", "value", F.when(F.col("anchored"), 1.0).otherwise(post).alias("p")))
-        mass = values.groupBy("group_id").agg(F.sum("p").alias("true_mass"), F.sum(1 - F.col("p")).alias("false_mass"))
-        could = coverage.join(mass, "group_id").groupBy("source_zip").agg(F.sum("true_mass").alias("t"), F.sum("false_mass").alias("f"))
-        did = claims.join(values, ["group_id", "field", "value"]).groupBy("source_zip").agg(F.sum("p").alias("dt"), F.sum(1 - F.col("p")).alias("df"))
+        base = coverage.join(sources, "source").groupBy(*key).agg(F.sum(silent).alias("base"))
+        said = claims.join(sources, "source").groupBy(*key, "value").agg(F.sum(spoken - silent).alias("said"))
+        post = 1 / (1 + F.exp(-(F.log(F.lit(PRIOR / (1 - PRIOR))) + F.col("base") + F.col("said"))))
+        now = said.join(base, key).select(*key, "value", post.alias("p"))
+        was = F.lit(0.0) if values is None else F.col("was")
+        now = now if values is None else now.join(values.select(*key, "value", F.col("p").alias("was")), [*key, "value"])
+        values = cut(now.select(*key, "value", "p", F.abs(F.col("p") - was).alias("moved")))
+        mass = values.groupBy(*key).agg(F.sum("p").alias("true_mass"), F.sum(1 - F.col("p")).alias("false_mass"))
+        could = coverage.join(mass, key).groupBy("source").agg(F.sum("true_mass").alias("t"), F.sum("false_mass").alias("f"))
+        did = claims.join(values, [*key, "value"]).groupBy("source").agg(F.sum("p").alias("dt"), F.sum(1 - F.col("p")).alias("df"))
         z = F.lit(0.0)
         sources = cut(
-            coverage.select("source_zip").distinct().join(could, "source_zip", "left").join(did, "source_zip", "left").select(
-                "source_zip",
-                clip((F.coalesce("dt", z) + SENSITIVITY[0]) / (F.coalesce("t", z) + sum(SENSITIVITY))).alias("sens"),
-                clip(1 - (F.coalesce("df", z) + SPECIFICITY[1]) / (F.coalesce("f", z) + sum(SPECIFICITY))).alias("spec"),
+            names.join(could, "source", "left").join(did, "source", "left").select(
+                "source",
+                clip((F.coalesce("dt", z) + se[0]) / (F.coalesce("t", z) + se[0] + se[1])).alias("sens"),
+                clip(1 - (F.coalesce("df", z) + sp[1]) / (F.coalesce("f", z) + sp[0] + sp[1])).alias("spec"),
             )
         )
-    return values, sources
+        if (values.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            break
+    return values.drop("moved"), sources
 
 
 def _best(rows: Column, *order: Column, value: str = "row_id") -> Column:
@@ -112,40 +133,47 @@ def _best(rows: Column, *order: Column, value: str = "row_id") -> Column:
     return F.max_by(value, F.when(rows, place))
 
 
-def survivors(parsed: DataFrame, archives: DataFrame, options: DataFrame, iterations: int = 3) -> DataFrame:
-    """One row per group of two or more copies: group_id, copies, first_row_id, media_row_id (the
-    latest export whose named file is really there), text_row_id (the longest text, then the
-    latest export), files and captions judged true, trust (the mean quality of its sources); the media
-    row's media_file, is_media_omitted and subtype, and the text row's caption.
+def survivors(parsed: DataFrame, archives: DataFrame, options: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """One surviving record per group of two or more copies, built field by field.
 
-    Captions are compared by their folded letters and put out as the best copy wrote them.
+    group_id, copies; first_row_id; media_row_id: the latest export whose named file is really there
+    and judged true; text_row_id: the longest text, then the latest export. The record: media_file
+    and subtype of the media row (else of the most trusted copy that has one), is_media_omitted (no
+    copy has a true file), content as the text row has it, sent (source_zip of the media or text
+    row). files and captions: every value judged true; trust: the mean quality of the sources.
 
-    Ties go to the smaller row_id; a null export date is earlier than any. Rows without chat,
-    sender or readable time belong to no group. Empty tables give an empty result.
+    Captions are compared by their folded letters and put out as the best copy wrote them. Ties go to
+    the smaller row_id; a null export date is earlier than any. Rows without chat, sender or readable
+    time belong to no group. Empty tables give an empty result.
     """
-    rows = cut(media_rows(parsed, archives, options))
+    rows = media_rows(parsed, archives, options)
     size = rows.groupBy("group_id").agg(F.count("*").alias("copies")).filter("copies > 1")
     rows = cut(rows.join(size, "group_id"))
-    claims, coverage = cut(assertions(rows)), cut(rows.select("group_id", "source_zip").distinct())
-    values, sources = truths(claims, coverage, iterations)
+    claims, coverage = (cut(x) for x in assertions(rows))
+    values, sources = truths(claims, coverage, rounds)
     when = F.coalesce(F.col("exported_at"), F.lit("0001-01-01").cast("timestamp"))
     written = rows.filter("caption != ''").groupBy("group_id", F.col("caption").alias("value")).agg(_best(F.lit(True), F.col("text_length"), when, value="text").alias("text")).withColumn("field", F.lit("caption"))
     judged = values.join(written, ["group_id", "field", "value"], "left").groupBy("group_id").agg(
         F.collect_set(F.when((F.col("field") == "file") & (F.col("p") >= 0.5), F.col("value"))).alias("files"),
         F.collect_set(F.when((F.col("field") == "caption") & (F.col("p") >= 0.5), F.col("text"))).alias("captions"),
     )
-    trust = coverage.join(sources, "source_zip").groupBy("group_id").agg(F.avg((F.col("sens") + F.col("spec")) / 2).alias("trust"))
+    quality = sources.filter(~F.col("source").endswith(LIST)).select(F.col("source").alias("source_zip"), ((F.col("sens") + F.col("spec")) / 2).alias("quality"))
     true_file = values.filter("field = 'file' and p >= 0.5").select("group_id", F.col("value").alias("file"), F.lit(True).alias("is_true"))
-    rows = rows.join(true_file, ["group_id", "file"], "left")
+    rows = rows.join(true_file, ["group_id", "file"], "left").join(quality, "source_zip", "left").withColumn("quality", F.coalesce("quality", F.lit(0.5)))
+    there, any_, longest = F.col("listed") & F.coalesce("is_true", F.lit(False)), F.lit(True), F.col("text_length")
     out = rows.groupBy("group_id").agg(
         F.max("copies").alias("copies"),
         F.min("row_id").alias("first_row_id"),
-        _best(F.col("listed") & F.col("is_true"), when).alias("media_row_id"),
-        _best(F.lit(True), F.col("text_length"), when).alias("text_row_id"),
-        _best(F.lit(True), F.col("text_length"), when, value="text").alias("caption"),
-        *[_best(F.col("listed") & F.col("is_true"), when, value=c).alias(c) for c in ("media_file", "is_media_omitted", "subtype")],
-    )
-    return out.join(judged, "group_id", "left").join(trust, "group_id", "left")
+        _best(there, when).alias("media_row_id"),
+        _best(any_, longest, when).alias("text_row_id"),
+        F.coalesce(_best(there, when, value="media_file"), _best(F.col("file").isNotNull(), F.col("quality"), when, value="media_file")).alias("media_file"),
+        (~F.bool_or(there)).alias("is_media_omitted"),
+        F.coalesce(_best(there, when, value="subtype"), _best(F.col("subtype").isNotNull(), F.col("quality"), when, value="subtype")).alias("subtype"),
+        _best(any_, longest, when, value="content").alias("content"),
+        F.coalesce(_best(there, when, value="source_zip"), _best(any_, longest, when, value="source_zip")).alias("sent"),
+        F.avg("quality").alias("trust"),
+    )
+    return out.join(judged, "group_id", "left")
 
 
 def found(parsed: DataFrame, archives: DataFrame, options: DataFrame) -> DataFrame:

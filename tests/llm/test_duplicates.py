@@ -139,13 +139,49 @@ def test_survivors_keep_whole_captions(spark):
     assert captions[1] == captions[2] == "oportaodagaragemabriu" and captions[3] == "oportaodagaragemfechou"
     full = {x["first_row_id"]: x for x in S.survivors(p, a, o).collect()}
     assert set(full) == {1, 5} and full[5]["copies"] == 3 and set(full[1]["captions"]) <= {one, two} and full[5]["captions"] == [two]
-    assert (full[5]["caption"], full[5]["media_file"], full[5]["is_media_omitted"]) == (two, "g.jpg", False)
+    assert (full[5]["content"], full[5]["media_file"], full[5]["is_media_omitted"]) == (two, "g.jpg", False)
 
 
 def test_truths_learn_a_bad_source(spark):
-    claims = [(f"g{k}", "file", "true", s, True) for k in range(30) for s in ("good", "ok")] + [(f"g{k}", "file", f"bad{k}", "liar", False) for k in range(30)]
-    c = spark.createDataFrame(claims, "group_id string, field string, value string, source_zip string, anchored boolean")
-    v, q = S.truths(c, c.select("group_id", "source_zip").distinct())
+    claims = [(f"g{k}", "file", "true", s) for k in range(30) for s in ("good", "ok")] + [(f"g{k}", "file", f"bad{k}", "liar") for k in range(30)]
+    c = spark.createDataFrame(claims, "group_id string, field string, value string, source string")
+    v, q = S.truths(c, c.select("group_id", "field", "source").distinct())
     assert v.filter("value like 'bad%' and p >= 0.5").count() == 0 and v.filter("value = 'true' and p < 0.5").count() == 0
-    spec = {r["source_zip"]: r["spec"] for r in q.collect()}
+    spec = {r["source"]: r["spec"] for r in q.collect()}
     assert spec["liar"] < spec["good"]
+
+
+def test_truths_match_a_plain_model(spark):
+    """The sums over asserted values only give what a loop over every source and value gives."""
+    import math
+
+    rng = random.Random(4)
+    claims = {(f"g{rng.randint(0, 5)}", f"f{rng.randint(0, 2)}", rng.choice(["a", "b", "c" + S.LIST])) for _ in range(40)}
+    cover = {(g, s) for g, _, s in claims} | {(f"g{k}", "c" + S.LIST) for k in range(6)}
+    prior = lambda s: (S.LIST_SENSITIVITY, S.LIST_SPECIFICITY) if s.endswith(S.LIST) else (S.SENSITIVITY, S.SPECIFICITY)
+    q = {s: tuple(x[0] / sum(x) for x in prior(s)) for _, s in cover}
+    clip = lambda x: min(1 - 1e-4, max(1e-4, x))
+    for _ in range(3):
+        p = {}
+        for g, v in {(g, v) for g, v, _ in claims}:
+            odds = sum(math.log(q[s][0] / (1 - q[s][1]) if (g, v, s) in claims else (1 - q[s][0]) / q[s][1]) for h, s in cover if h == g)
+            p[g, v] = 1 / (1 + math.exp(-odds))
+        new = {}
+        for s in q:
+            mine = [(p[g, v], (g, v, s) in claims) for g, v in p if (g, s) in cover]
+            (a, b), (c, e) = prior(s)
+            new[s] = (clip((sum(x for x, y in mine if y) + a) / (sum(x for x, _ in mine) + a + b)), clip(1 - (sum(1 - x for x, y in mine if y) + e) / (sum(1 - x for x, _ in mine) + c + e)))
+        q = new
+    cl = spark.createDataFrame([(g, "file", v, s) for g, v, s in claims], "group_id string, field string, value string, source string")
+    co = spark.createDataFrame([(g, "file", s) for g, s in cover], "group_id string, field string, source string")
+    v, src = S.truths(cl, co, rounds=3, tolerance=0.0)
+    assert all(abs(r["p"] - p[r["group_id"], r["value"]]) < 1e-9 for r in v.collect()) and all(abs(r["sens"] - q[r["source"]][0]) < 1e-9 for r in src.collect())
+
+
+def test_an_unlisted_name_loses(spark):
+    """A file that exports name but no archive holds is judged by its sources, one that is there is true."""
+    rows = [(1, 0, "a", T, "x", "", "media", "gone.jpg"), (2, 0, "b", T, "x", "", "media", None), (3, 0, "a", "2024-01-01T11:00:00", "x", "", "media", "f.jpg"), (4, 0, "b", "2024-01-01T11:00:00", "x", "", "media", None)]
+    p, a, o = tables(spark, rows, ("a", "b"), ("f.jpg",))
+    got = {r["first_row_id"]: r for r in S.survivors(p, a, o).collect()}
+    assert got[1]["media_row_id"] is None and got[1]["is_media_omitted"] and got[1]["media_file"] == "gone.jpg"
+    assert got[3]["media_row_id"] == 3 and not got[3]["is_media_omitted"] and got[3]["files"] == ["f.jpg"]

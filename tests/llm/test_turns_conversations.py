@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from chatloom.llm import conversations as C
@@ -48,6 +49,77 @@ def test_unidentified_may_be_inferred():
     assert [(i, j, y) for i, j, y, _ in segs] == [(0, 1, "#0"), (2, 2, "#1")]
 
 
+def score_by_definition(model, path, labels, sure, t, end, words):
+    bags = [set(w.split()) for w in words]
+    f = model.features(path, labels, sure, t, end, bags)
+    s = model.turn * f["turn"] + model.pause * f["pause"] + model.lexical * f["lexical"] + sum(model.length[a - 1] * f.get(f"len{a}", 0.0) for a in range(1, T.AGE + 1))
+    return s + model.decisive * sum(k and y == x for k, x, y in zip(sure, labels, path))
+
+
+def test_segmentation_is_the_best_of_all():
+    """Against every labelling: the segments' scores, not the labels alone, must decide."""
+    rng = random.Random(11)
+    model = T.SegmentModel(0.7, 0.9, 0.4, tuple(rng.uniform(-0.5, 0.5) for _ in range(T.AGE)))
+    for _ in range(60):
+        n = rng.randint(2, 7)
+        labels = [rng.choice(["#0", "#1", T.UNKNOWN, T.UNKNOWN]) for _ in range(n)]
+        labels[0] = labels[0] if labels[0] != T.UNKNOWN else "#0"
+        t = [sum(rng.uniform(0, 4) for _ in range(1)) + 3 * k for k in range(n)]
+        end, words, sure = [x + 1 for x in t], [" ".join(rng.choice("abcde") for _ in range(3)) for _ in range(n)], [y != T.UNKNOWN for y in labels]
+        path = [y for i, j, y, _ in model.segment(labels, t, end, words, own=False) for _ in range(i, j + 1)]
+        near = [{y for y in (labels[k] if sure[k] else None, next((labels[i] for i in range(k - 1, -1, -1) if sure[i]), None), next((labels[i] for i in range(k + 1, n) if sure[i]), None)) if y} for k in range(n)]
+        best = max(score_by_definition(model, list(p), labels, sure, t, end, words) for p in itertools.product(*near))
+        assert abs(score_by_definition(model, path, labels, sure, t, end, words) - best) < 1e-9
+        assert all(p == y for p, y, k in zip(path, labels, sure) if k)
+
+
+def talk(rng, n, names=("S0", "S1")):
+    """Speakers with words of their own, who pause when the turn passes on."""
+    rows, at, who = [], 0.0, 0
+    while len(rows) < n:
+        who = 1 - who
+        at += rng.uniform(2.0, 5.0)
+        for _ in range(rng.randint(1, 5)):
+            rows.append((names[who], at, at + 1.0, " ".join(f"{'ab'[who]}{rng.randint(0, 12)}" for _ in range(5))))
+            at += 1.0 + rng.uniform(0.0, 0.6)
+    return rows[:n]
+
+
+def test_fitted_model_restores_hidden_labels():
+    rng = random.Random(5)
+    model = T.SegmentModel.fit([talk(rng, 40) for _ in range(30)])
+    right = before = possible = 0  # a hidden turn between two turns of the other speaker can't be told
+    for _ in range(20):
+        rows = talk(rng, 40)
+        truth, t, end, words = (list(x) for x in zip(*rows))
+        shown = [y if k == 0 or rng.random() > 0.3 else T.UNKNOWN for k, y in enumerate(truth)]
+        got = [y for i, j, y, _ in model.segment(shown, t, end, words, own=False) for _ in range(i, j + 1)]
+        last = None
+        for k, (x, y, g) in enumerate(zip(truth, shown, got)):
+            if y == T.UNKNOWN:
+                after = next((z for z in shown[k + 1 :] if z != T.UNKNOWN), None)
+                right, before, possible = right + (g == x), before + (last == x), possible + (x in (last, after))
+            else:
+                last = y
+    assert right >= 0.8 * possible and right > 1.1 * before, (right, before, possible)
+
+
+def test_inference_does_not_depend_on_slices(spark):
+    rng = random.Random(6)
+    rows = [(k, "r", y if rng.random() > 0.5 else None, a, b, w) for k, (y, a, b, w) in enumerate(talk(rng, 120))]
+    rows += [(200 + k, "n", None, k * 30.0, k * 30.0 + 1, f"w{k}") for k in range(9)]  # nobody is named
+    whole, parts = turns(spark, rows, unidentified="infer", slice_s=1e9), turns(spark, rows, unidentified="infer", slice_s=15.0)
+    assert whole == parts and len(whole) > 10 and [x[1:5] for x in whole if x[0] == "n"] == [(1, 1, 200, 208)]
+
+
+def test_long_annotations_and_units(spark):
+    rows = [(1, "r", "S0", 0.0, 400.0, "palavra " * 300), (2, "r", "S1", 400.0, 800.0, "outra " * 300 + "[" + "ruído de fundo muito longo " * 9 + "]"), (3, "r", "S0", 800.0, 1200.0, "palavra " * 300)]
+    got = T.speaker_turns(spark.createDataFrame([(*r, None) for r in rows], U)).orderBy("turn_no").collect()
+    assert [(r["speaker_no"], r["start"], r["end"]) for r in got] == [(1, 0.0, 400.0), (2, 400.0, 800.0), (1, 800.0, 1200.0)] and "ruído" not in got[1]["text"]
+    ms = [(1, "m", "S0", 1000.0, 4000.0, "bom dia a todos"), (2, "m", "S1", 150000.0, 153000.0, "como vai você")]
+    assert [r["start"] for r in T.speaker_turns(spark.createDataFrame([(*r, None) for r in ms], U)).orderBy("turn_no").collect()] == [1.0, 150.0]
+
+
 def test_long_text(spark):
     assert turns(spark, [(1, "r", "S0", 0.0, 1.0, "palavra " * 50_000)])[0][1:5] == (1, 1, 1, 1)
 
