@@ -183,3 +183,23 @@ def clock(seconds: Column) -> Column:
     mins = F.floor(seconds / 60).cast("string")
     mins = F.when(F.length(mins) < 2, F.lpad(mins, 2, "0")).otherwise(mins)
     return F.coalesce(F.concat(mins, F.lit(":"), part(seconds % 60), F.lit("."), part((seconds % 1) * 100)), F.lit("--:--"))
+
+
+def iso_time(ts: Column) -> Column:
+    """UTC with milliseconds, as in 2026-01-16T10:09:00.000Z (session time zone UTC)."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def day_and_time(ts: Column) -> Column:
+    """16/01/2026 às 10:09:00."""
+    return F.date_format(ts, "dd/MM/yyyy 'às' HH:mm:ss")
+
+
+def percent(p: Column) -> Column:
+    """A probability in percent with one decimal; ties go up."""
+    return F.format_string("%.1f%%", p * 100)
+
+
+def image_payload(content: Column) -> Column:
+    """Bytes as one line of base64."""
+    return F.regexp_replace(F.base64(content), r"[\r\n]", "")

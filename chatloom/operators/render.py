@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from chatloom.functions import chat
 from chatloom.functions.periods import day_header, lenient_date
 from chatloom.functions.text import js_trim
+from chatloom.operators.ordering import islands
+
+SLICE = 8192
 
 # Labels of the documents.
 MEDIA_LABELS = {
@@ -20,6 +23,8 @@ LEGEND = [
     "- 📎 Anexo de mídia", "- ✓ Enviada | ✓✓ Entregue | ✓✓ (lida) Visualizada", "", "---", "", "*Transcrito automaticamente de captura de tela do WhatsApp*", "",
 ]
 FULL_TEXT = "## Texto Integral (sem formatação)"
+LEGAL = "> **Aviso Legal:**"
+INFERRED_NOTE = ' mensagem(ns) com data inferida a partir de "HOJE"/"ONTEM" e data do arquivo.'
 
 
 def _map(table: dict[str, str], c: Column, default: Column) -> Column:
@@ -59,29 +64,30 @@ def message_markdown(who: Column) -> Column:
 
 
 def day_bodies(messages: DataFrame, who: Column) -> DataFrame:
-    """contact, period, day, header, body, messages: the messages of one day, in seq order.
+    """contact, period, run, header, body, messages: runs of messages of one day (day and month), in
+    seq order; a day that comes back after another is a run of its own.
 
-    Days, not whole documents, are gathered first, so a task holds one day of one chat.
+    Runs, not whole documents, are gathered first, so a task holds one day of one chat.
     """
-    d = lenient_date(F.col("timestamp"))
-    rows = messages.select("contact", "period", "seq", d.alias("day"), message_markdown(who).alias("md"))
-    return rows.groupBy("contact", "period", "day").agg(
-        F.min("seq").alias("first_seq"),
+    rows = messages.select("contact", "period", "seq", "message_id", lenient_date(F.col("timestamp")).alias("day"), F.substring("timestamp", 6, 5).alias("label"), message_markdown(who).alias("md"))
+    rows = islands(rows, ["contact", "period"], F.floor(F.col("seq") / SLICE), ["seq", "message_id"], F.col("label"), "run")
+    order = F.struct("seq", "message_id")
+    return rows.groupBy("contact", "period", "run").agg(
+        F.min_by("day", order).alias("day"),
         F.count("*").alias("messages"),
-        F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "md"))), lambda x: x["md"]), "\n\n"), F.lit("\n")).alias("body"),
+        F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message_id", "md"))), lambda x: x["md"]), "\n\n"), F.lit("\n")).alias("body"),
     ).withColumn("header", F.concat(F.lit("## "), day_header(F.col("day"))))
 
 
 def period_documents(messages: DataFrame, contacts: DataFrame, who: Column, disclaimer: str | None = None) -> DataFrame:
     """contact, period, path parts and body of each period document.
 
-    A chat's days follow seq; rows whose order goes back and forth between days are shown under one
-    header per day. contacts: contact, type, source_zips, sanitized_name.
+    A chat's messages follow seq, with a header at each change of day. contacts: contact, type, source_zips, sanitized_name.
     """
     days = day_bodies(messages, who)
     docs = days.groupBy("contact", "period").agg(
         F.sum("messages").alias("messages"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_seq", F.concat("header", F.lit("\n\n"), "body").alias("x")))), lambda s: s["x"]), "\n").alias("text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", F.concat("header", F.lit("\n\n"), "body").alias("x")))), lambda s: s["x"]), "\n").alias("text"),
     )
     docs = docs.join(contacts.select("contact", "type", "source_zips", "sanitized_name"), "contact")
     show = lambda i: F.concat_ws("/", *[F.get(F.split(F.get(F.split("period", "-"), F.lit(i)), r"\."), F.lit(k)) for k in (2, 1, 0)])
@@ -120,6 +126,31 @@ def speech_markdown(utterances: DataFrame, keys: list[str]) -> DataFrame:
     return utterances.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("utterance_no", line.alias("x")))), lambda s: s["x"]), "\n").alias("body"))
 
 
+def _file_items(done: str) -> tuple[list[Column], list[Column]]:
+    """Front matter and list of a file's facts (columns file, created, modified, processed)."""
+    quoted = lambda k, c: F.concat(F.lit(f'{k}: "'), c, F.lit('"'))
+    front = [quoted("arquivo_origem", F.col("file")), quoted("data_criacao_arquivo", chat.iso_time(F.col("created"))), quoted("data_modificacao_arquivo", chat.iso_time(F.col("modified"))), quoted(done, chat.iso_time(F.col("processed")))]
+    item = lambda label, c: F.concat(F.lit(f"- **{label}:** "), c)
+    facts = [item("Arquivo de origem", F.concat(F.lit("`"), "file", F.lit("`"))), item("Data de criação do arquivo", chat.day_and_time(F.col("created"))), item("Data de modificação do arquivo", chat.day_and_time(F.col("modified")))]
+    return front, facts
+
+
+def audio_documents(files: DataFrame, bodies: DataFrame, keys: list[str], model: str, disclaimer: str | None = None) -> DataFrame:
+    """keys, body: whole speech documents. files: keys, file, created, modified, processed,
+    language_code, language_probability; bodies: the result of speech_markdown (a file without
+    utterances has none)."""
+    front, facts = _file_items("data_transcricao")
+    sure = chat.percent(F.col("language_probability"))
+    head = F.concat_ws(
+        "\n", F.lit("---"), *front, F.concat(F.lit('idioma_detectado: "'), "language_code", F.lit('"')), F.concat(F.lit("probabilidade_idioma: "), sure), F.lit(f'modelo: "{model}"'),
+        F.lit("---"), F.lit(""), F.lit("# Transcrição de Áudio"), F.lit(""), F.lit("## Metadados"), F.lit(""), *facts,
+        F.concat(F.lit("- **Data da transcrição:** "), chat.day_and_time(F.col("processed"))), F.concat(F.lit("- **Idioma detectado:** "), "language_code", F.lit(" ("), sure, F.lit(" de confiança)")),
+        F.lit(""), F.lit("---"), F.lit(""), F.lit("## Transcrição Completa"), F.lit(""), F.lit(""),
+    )
+    tail = f"\n---\n\n{disclaimer}\n" if disclaimer else ""
+    return files.join(bodies.select(*keys, F.col("body").alias("said")), keys, "left").select(*keys, F.concat(head, F.coalesce("said", F.lit("")), F.lit(tail)).alias("body"))
+
+
 def screenshot_message(m: Column) -> Column:
     """One message struct of a screenshot as Markdown."""
     no = F.lit("")
@@ -133,15 +164,26 @@ def screenshot_message(m: Column) -> Column:
 
 
 def screenshot_documents(shots: DataFrame, keys: list[str], disclaimer: str | None = None) -> DataFrame:
-    """keys, body of screenshots (schema SCREENSHOT): metadata, messages, legend."""
+    """keys, body of screenshots (schema SCREENSHOT): metadata, messages, legend. Where shots has the
+    file's facts (file, created, modified, processed), the front matter and those facts too."""
     inferred = F.size(F.filter("messages", lambda m: F.coalesce(m["date_inferred"], F.lit(False))))
     item = lambda label, c: F.concat(F.lit(f"- **{label}:** "), c)
     seps = F.coalesce("visible_date_separators", F.array().cast("array<string>"))
+    front, facts = [], []
+    if "file" in shots.columns:
+        front, facts = _file_items("data_extracao")
+        value = lambda k, c: F.concat(F.lit(f"{k}: "), c)
+        text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+        front = [
+            F.lit("---"), *front, value("chat", text(F.col("chat_name"))), value("tipo_chat", text(F.col("chat_type"))), value("total_mensagens", F.size("messages").cast("string")),
+            value("datas_inferidas", inferred.cast("string")), F.lit("---"), F.lit(""), F.lit("# Transcrição de Captura WhatsApp"), F.lit(""),
+        ]
+        facts.append(F.concat(F.lit("- **Data da extração:** "), chat.day_and_time(F.col("processed"))))
     head = F.concat_ws(
-        "\n", F.lit("## Metadados"), F.lit(""), item("Chat", F.col("chat_name")), item("Tipo", F.when(F.col("chat_type") == "group", "Grupo").otherwise("Conversa individual")), item("Total de mensagens", F.size("messages").cast("string")),
+        "\n", *front, F.lit("## Metadados"), F.lit(""), *facts, item("Chat", F.col("chat_name")), item("Tipo", F.when(F.col("chat_type") == "group", "Grupo").otherwise("Conversa individual")), item("Total de mensagens", F.size("messages").cast("string")),
         F.when(F.coalesce("participant_count", F.lit(0)) != 0, item("Participantes", F.col("participant_count").cast("string"))),
         F.when(F.size(seps) > 0, item("Separadores de data visíveis", F.array_join(seps, ", "))),
-        F.when(inferred > 0, F.concat(F.lit("\n> ⚠️ **Nota:** "), inferred.cast("string"), F.lit(' mensagem(ns) com data inferida a partir de "HOJE"/"ONTEM" e data do arquivo.'))),
+        F.when(inferred > 0, F.concat(F.lit("\n> ⚠️ **Nota:** "), inferred.cast("string"), F.lit(INFERRED_NOTE))),
         F.lit(""),
         F.when(F.coalesce("screenshot_context", F.lit("")) != "", F.concat(F.lit("## Contexto do Sistema\n\n> "), "screenshot_context", F.lit("\n"))),
         F.lit("---"), F.lit(""), F.lit("## Mensagens"), F.lit(""),
@@ -159,6 +201,6 @@ def drop_full_text(body: Column) -> Column:
     before = F.substring(body, F.lit(1), at - 1)
     after = F.substring(body, at + 4, F.length(body))
     nxt = F.regexp_instr(after, F.lit(r"\n---\n\n(?!## Texto Integral)"))
-    legal = F.regexp_extract(body, r"(?s)> \*\*Aviso Legal:\*\*.+\z", 0)
+    legal = F.regexp_extract(body, rf"(?s){LEGAL.replace('*', chr(92) + '*')}.+\z", 0)
     out = F.when(nxt > 0, F.concat(before, F.substring(after, nxt, F.length(after)))).when(legal != "", F.concat(before, F.lit("---\n\n"), legal, F.lit("\n"))).otherwise(before)
     return F.when(at > 0, F.when(out.endswith("\n"), out).otherwise(F.concat(out, F.lit("\n")))).otherwise(body)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Iterator
 
@@ -15,122 +14,203 @@ from chatloom.functions import chat
 from chatloom.functions.periods import lenient_date, period_label
 from chatloom.operators.dedup import POLICIES
 from chatloom.operators.ordering import number_rows
+from chatloom.session import cut
+from chatloom.sources import files
 
 SLICE = 8192
 
 
-def fold_merge(index: list[tuple], new: list[tuple], other_ids: set, policy: str = "reference") -> list[tuple]:
-    """One (timestamp, sender) of a contact. index: (seq, id, has_media, omitted) by seq; new: (pos,
-    id, has_media, omitted) by pos. Returns (action, pos, seq): added, skipped, upgraded; and
-    (deleted, None, seq) for replaced index rows."""
-    ids = {r[1] for r in index} | other_ids
-    cur = next((r for r in index if r[2]), index[-1] if index else None)
-    out: list[tuple] = []
-    place: dict = {}  # id -> (seq or None, pos) of what stands in the store
-    for r in index:
-        place[r[1]] = (r[0], None)
-    for pos, rid, media, omitted in new:
-        if rid in ids:
-            out.append(("skipped", pos, None))
-            continue
-        free = cur is not None and not cur[2] and (policy == "reference" or cur[3])
-        if media and free:
-            seq, old = place.pop(cur[1])
-            ids.discard(cur[1])
-            if old is None:
-                out.append(("deleted", None, seq))
-                out.append(("upgraded", pos, seq))
-            else:  # a row of this batch gives its place away
-                k = next(i for i, o in enumerate(out) if o[1] == old and o[0] in ("added", "upgraded"))
-                was = out[k]
-                out[k] = ("replaced", old, None)
-                out.append(("upgraded", pos, was[2]) if was[0] == "upgraded" else ("upgraded_new", pos, old))
-            place[rid] = (seq, pos)
-        elif omitted and cur is not None and cur[2]:
-            out.append(("skipped", pos, None))
-            continue
+class Fold:
+    """What merging does to the messages of one (timestamp, sender), in order: first the index's rows,
+    then new rows archive by archive. An id holds timestamp and sender, so nothing outside matters.
+
+    Only ids and, per contact, the rows that the next one may be compared with are kept.
+    """
+
+    def __init__(self, policy: str) -> None:
+        self.policy = policy
+        self.ids: set[str] = set()
+        self.media: dict[str, dict] = {}  # contact -> a row that has its file
+        self.last: dict[str, dict] = {}  # contact -> the row that came last
+        self.now: tuple | None = None  # (contact, archive) being merged
+        self.cur: dict | None = None  # the row a media row may replace
+
+    def _keep(self, contact: str, row: dict) -> None:
+        self.ids.add(row["id"])
+        self.last[contact] = row
+        if row["media"]:
+            self.media.setdefault(contact, row)
+
+    def old(self, contact: str, seq: int, rid: str, media: bool, omitted: bool) -> None:
+        self._keep(contact, {"id": rid, "media": media, "omitted": omitted, "row": None, "seq": seq, "at": (None, None)})
+
+    def new(self, contact: str, archive: int, pos: int, rid: str, media: bool, omitted: bool) -> list[tuple]:
+        """Events (contact, action, archive, pos, seq, at_archive, at_pos); ``at`` is the place in this
+        run that a row has, its own or that of the row it replaces."""
+        if (contact, archive) != self.now:
+            self.now, self.cur = (contact, archive), self.media.get(contact) or self.last.get(contact)
+        cur, out = self.cur, []
+        if rid in self.ids:
+            return [(contact, "skipped", archive, pos, None, None, None)]
+        row = {"id": rid, "media": media, "omitted": omitted, "row": (archive, pos)}
+        if media and cur is not None and not cur["media"] and (self.policy == "reference" or cur["omitted"]):
+            self.ids.discard(cur["id"])
+            row |= {"seq": cur["seq"], "at": cur["at"]}
+            out = [(contact, "deleted", None, None, cur["seq"], None, None) if cur["row"] is None else (contact, "replaced", *cur["row"], None, None, None)]
+            out.append((contact, "upgraded", archive, pos, cur["seq"], *cur["at"]))
+        elif omitted and cur is not None and cur["media"]:
+            return [(contact, "skipped", archive, pos, None, None, None)]
         else:
-            out.append(("added", pos, None))
-            place[rid] = (None, pos)
-        ids.add(rid)
-        cur = (None, rid, media, omitted)
-    return out
+            row |= {"seq": None, "at": (archive, pos)}
+            out = [(contact, "added", archive, pos, None, archive, pos)]
+        self._keep(contact, row)
+        self.cur = row
+        return out
 
 
-def merge_archive(index: DataFrame, new: DataFrame, contact: str | None = None, policy: str = "reference") -> DataFrame:
-    """What happens to each row of ``new`` (with message_id, slot) against ``index``: pos, action
-    (added, skipped, upgraded), seq; plus rows with action deleted and the old seq.
-
-    index: message_id, contact, seq, timestamp, sender, media_file and, for ``omitted_only``,
-    is_media_omitted. All rows of ``new`` go to ``contact``; without one each goes to the contact
-    in its own column, the contacts of a call merge one after the other by name, and the result has
-    a column contact. slot must be unique in a contact. Added rows are numbered on from their
-    contact's largest seq in archive order.
+ACTS = "contact string, action string, archive int, pos long, seq long, at_archive int, at_pos long"
+
+
+def merge_archives(index: DataFrame, new: DataFrame, policy: str = "reference") -> DataFrame:
+    """What happens to the rows of ``new`` when their archives are merged into ``index`` one after the
+    other, in one pass: contact, archive, pos, action, seq.
+
+    new: message_id, contact, archive (its order), slot, timestamp, sender, media_file,
+    is_media_omitted. index: message_id, contact, seq, timestamp, sender, media_file and, for
+    ``omitted_only``, is_media_omitted. Actions: added, skipped, upgraded (takes the place of a row
+    without its file), replaced (a row of this run that gave its place away), deleted (an index row
+    that did; no archive). seq is the row's place: added rows are numbered on from their contact's
+    largest seq in the order of archives and slots. (contact, archive, slot) must be unique.
+
+    Only groups with both rows that have files and rows that have none need the ordered fold; the
+    rest are first occurrences and anti joins.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     omitted = F.coalesce("is_media_omitted", F.lit(False)) if "is_media_omitted" in index.columns else F.lit(False)
-    to = F.col("contact") if contact is None else F.lit(contact)
-    keys = new.select("timestamp", "sender").distinct()
-    old = index.join(keys, ["timestamp", "sender"], "left_semi").select(
-        "timestamp", "sender", "contact", F.lit(0).alias("side"), F.col("seq").alias("n"), "message_id", F.col("media_file").isNotNull().alias("m"), omitted.alias("o")
-    )
-    fresh = new.select("timestamp", "sender", to.alias("contact"), F.lit(1).alias("side"), F.col("slot").cast("long").alias("n"), "message_id", F.col("media_file").isNotNull().alias("m"), F.coalesce("is_media_omitted", F.lit(False)).alias("o"))
+    none = lambda kind: F.lit(None).cast(kind)
+    keys = ["timestamp", "sender"]
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    fresh = new.select(*keys, "contact", F.col("archive").cast("int").alias("archive"), F.col("slot").cast("long").alias("n"), "message_id", F.col("media_file").isNotNull().alias("m"), F.coalesce("is_media_omitted", F.lit(False)).alias("o"))
+    old = index.select(*keys, "contact", none("int").alias("archive"), F.col("seq").cast("long").alias("n"), "message_id", F.col("media_file").isNotNull().alias("m"), omitted.alias("o"))
+    asked = fresh.select(*keys).distinct()
+    old = old.join(asked, same(old, asked), "left_semi")
+    both = cut(old.unionByName(fresh))
+    mixed = both.groupBy(*keys).agg(F.bool_or("m").alias("some"), F.bool_and("m").alias("every"), F.bool_or(F.col("archive").isNotNull()).alias("new")).filter("some and not every and new").select(*keys)
+
+    calm = both.join(mixed, same(both, mixed), "left_anti")
+    place = F.struct("archive", "contact", "n")
+    held = calm.filter("archive is null").select("message_id").distinct().withColumn("held", F.lit(True))
+    first = calm.filter("archive is not null").groupBy("message_id").agg(F.min(place).alias("first"))
+    plain = calm.filter("archive is not null").join(held, "message_id", "left").join(first, "message_id")
+    is_new = F.col("held").isNull() & (place == F.col("first"))
+    plain = plain.select("contact", F.when(is_new, "added").otherwise("skipped").alias("action"), "archive", F.col("n").alias("pos"), none("long").alias("seq"), F.when(is_new, F.col("archive")).alias("at_archive"), F.when(is_new, F.col("n")).alias("at_pos"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, idx, add = None, {}, {}
-        done: list[tuple] = []
-
-        def close() -> None:
-            ids = {r[1] for rows in idx.values() for r in rows}
-            for who, rows in sorted(add.items()):
-                mine = idx.get(who, [])
-                acts = fold_merge(mine, rows, ids, policy)
-                done.extend((who, *a) for a in acts)
-                by_seq, by_pos = {r[0]: r[1] for r in mine}, {r[0]: r[1] for r in rows}
-                ids -= {by_seq[seq] for act, _, seq in acts if act == "deleted"}
-                ids |= {by_pos[pos] for act, pos, _ in acts if act in ("added", "upgraded", "upgraded_new")}
-
+        key, fold = object(), Fold(policy)
         for pdf in parts:
-            for r in pdf.itertuples(index=False):
-                if (r.timestamp, r.sender) != key:
-                    close()
-                    key, idx, add = (r.timestamp, r.sender), {}, {}
-                (add if r.side else idx).setdefault(r.contact, []).append((r.n, r.message_id, r.m, r.o))
-            if done:
-                yield _frame(done)
-                done = []
-        close()
-        if done:
+            done: list[tuple] = []
+            for ts, who, contact, archive, n, rid, m, o in zip(*(pdf[c].tolist() for c in (*keys, "contact", "archive", "n", "message_id", "m", "o"))):
+                if (ts, who) != key:
+                    key, fold = (ts, who), Fold(policy)
+                if archive is None or archive != archive:
+                    fold.old(contact, n, rid, m, o)
+                else:
+                    done += fold.new(contact, int(archive), n, rid, m, o)
             yield _frame(done)
 
-    both = old.unionByName(fresh).repartition("timestamp", "sender").sortWithinPartitions("timestamp", "sender", "side", "n")
-    acts = both.mapInPandas(run, "contact string, action string, pos long, seq long")
+    busy = both.join(mixed, same(both, mixed), "left_semi").repartition(*keys).sortWithinPartitions(*keys, F.col("archive").asc_nulls_first(), "contact", "n")
+    acts = cut(plain.unionByName(busy.mapInPandas(run, ACTS)))
+    # a row that is added and then gives its place away is only replaced
+    row = ["contact", "archive", "pos"]
+    gone = acts.filter("action = 'replaced'").select(*row)
+    acts = acts.filter("action in ('replaced', 'deleted', 'skipped')").unionByName(acts.filter("action in ('added', 'upgraded')").join(gone, row, "left_anti"))
+    # each place of the run is numbered once, whichever row has it in the end
     top = index.groupBy("contact").agg(F.max("seq").alias("top"))
-    numbered = acts.filter("action in ('added', 'upgraded_new')").withColumn("at", F.when(F.col("action") == "added", F.col("pos")).otherwise(F.col("seq")))
-    numbered = number_rows(numbered, ["contact"], F.floor(F.col("at") / SLICE), ["at"], "nth").join(top, "contact", "left")
-    added = numbered.select("contact", F.when(F.col("action") == "added", "added").otherwise("upgraded").alias("action"), "pos", (F.coalesce("top", F.lit(0)) + F.col("nth")).alias("seq"))
-    rest = acts.filter("action in ('skipped', 'upgraded', 'deleted')")
-    gone = acts.filter("action = 'replaced'").select("contact", F.lit("skipped").alias("action"), "pos", F.col("seq"))
-    out = added.unionByName(rest).unionByName(gone)
+    places = acts.filter("at_archive is not null").select("contact", "at_archive", "at_pos").distinct()
+    places = number_rows(places, ["contact"], F.struct("at_archive", F.floor(F.col("at_pos") / SLICE)), ["at_archive", "at_pos"], "nth").join(top, "contact", "left")
+    places = places.select("contact", "at_archive", "at_pos", (F.coalesce("top", F.lit(0)) + F.col("nth")).alias("place"))
+    out = acts.join(places, ["contact", "at_archive", "at_pos"], "left")
+    return out.select("contact", "archive", "pos", "action", F.coalesce("seq", "place").alias("seq"))
+
+
+def merge_archive(index: DataFrame, new: DataFrame, contact: str | None = None, policy: str = "reference") -> DataFrame:
+    """merge_archives of one archive: pos, action, seq; all rows of ``new`` go to ``contact``. Without
+    one each goes to the contact in its own column, the contacts merge one after the other by name,
+    and the result has a column contact."""
+    to = F.col("contact") if contact is None else F.lit(contact)
+    out = merge_archives(index, new.withColumn("contact", to).withColumn("archive", F.lit(1)), policy).drop("archive")
     return out if contact is None else out.drop("contact")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["contact", "action", "pos", "seq"]).astype({"pos": "Int64", "seq": "Int64"})
+    names = [c.split()[0] for c in ACTS.split(", ")]
+    whole = {n: "Int64" for n in ("archive", "pos", "seq", "at_archive", "at_pos")}
+    return pd.DataFrame(rows, columns=names).astype(whole)
 
 
-def apply_merge(index: DataFrame, new: DataFrame, acts: DataFrame, contact: str, interval: str = "1w") -> DataFrame:
-    """The index after a merge (schema MESSAGES plus content and is_media_omitted if present)."""
-    deleted = acts.filter("action = 'deleted'").select(F.lit(contact).alias("contact"), "seq")
-    kept = index.join(deleted, ["contact", "seq"], "left_anti")
-    rows = new.join(acts.filter("action in ('added', 'upgraded')").select(F.col("pos").cast("int").alias("slot"), "seq"), "slot")
-    rows = rows.withColumns({
-        "contact": F.lit(contact), "media_processed": F.lit(False), "period": period_label(lenient_date(F.col("timestamp")), interval),
-    })
+def apply_merge(index: DataFrame, new: DataFrame, acts: DataFrame, interval: str = "1w") -> DataFrame:
+    """The index after merge_archives (schema MESSAGES plus content and is_media_omitted if present)."""
+    kept = index.join(acts.filter("action = 'deleted'").select("contact", "seq"), ["contact", "seq"], "left_anti")
+    stay = acts.filter("action in ('added', 'upgraded')").select("contact", "archive", F.col("pos").alias("slot"), "seq")
+    rows = new.join(stay, ["contact", "archive", "slot"]).withColumns({"media_processed": F.lit(False), "period": period_label(lenient_date(F.col("timestamp")), interval)})
     return kept.unionByName(rows.select(*[c for c in index.columns if c in rows.columns]), allowMissingColumns=True)
 
 
+def resolve_contacts(index: DataFrame, new: DataFrame, archives: DataFrame, threshold: float = 0.3) -> dict[str, str]:
+    """source_zip -> contact its messages go to: the one that already holds more than ``threshold`` of
+    them, else the archive's own name.
+
+    Archives are taken in order, and each may go where an earlier one of this run went. The joins are
+    on ids; what reaches the driver is one count per archive and holder, of the archives of one run.
+    An id counts for its earliest holder.
+    """
+    ids = new.groupBy("source_zip", "message_id").agg(F.min("slot").alias("slot"), F.count("*").alias("n")).join(archives.select("source_zip", "zip_order"), "source_zip")
+    known = index.groupBy("message_id").agg(F.min("contact").alias("contact"))
+    first = ids.groupBy("message_id").agg(F.min(F.struct("zip_order", "source_zip")).alias("h"))
+    votes = ids.join(known, "message_id", "left").join(first, "message_id")
+    votes = votes.filter("contact is not null or h.zip_order < zip_order").withColumn("holder", F.when(F.col("contact").isNull(), F.col("h.source_zip")))
+    got: dict[str, list] = {}
+    for r in votes.groupBy("source_zip", "contact", "holder").agg(F.sum("n").alias("votes"), F.min("slot").alias("first")).collect():
+        got.setdefault(r["source_zip"], []).append(r)
+    total = {r["source_zip"]: r["n"] for r in new.groupBy("source_zip").agg(F.count("*").alias("n")).collect()}
+    went: dict[str, str] = {}
+    for a in archives.orderBy("zip_order").select("source_zip", "contact_name").collect():
+        name, sums = a["contact_name"], {}
+        for r in got.get(a["source_zip"], ()):
+            at = r["contact"] or went[r["holder"]]
+            if at != name:
+                n, first_slot = sums.get(at, (0, r["first"]))
+                sums[at] = (n + r["votes"], min(first_slot, r["first"]))
+        best = max(sums, key=lambda c: (sums[c][0], -sums[c][1], c), default=None)
+        went[a["source_zip"]] = best if best is not None and sums[best][0] / total[a["source_zip"]] > threshold else name
+    return went
+
+
+def register_media(known: DataFrame, entries: DataFrame) -> DataFrame:
+    """The media table with entries (contact, filename, source_zip, zip_order, stored_name) that it
+    doesn't hold yet, as pending; of several archives the first gives the entry."""
+    fresh = entries.join(known.select("contact", "filename"), ["contact", "filename"], "left_anti")
+    one = fresh.groupBy("contact", "filename").agg(F.min(F.struct("zip_order", "source_zip", "stored_name")).alias("v"))
+    rows = one.select("contact", "filename", F.lit("pending").alias("status"), chat.media_subtype(F.col("filename")).alias("type"), "v.source_zip", "v.stored_name", F.lit(None).cast("string").alias("transcription"), F.lit(None).cast("string").alias("error"))
+    return known.unionByName(rows)
+
+
+def update_media(media: DataFrame, results: DataFrame) -> DataFrame:
+    """The media table after processing; results: contact, filename, status, transcription, error."""
+    r = results.select("contact", "filename", F.col("status").alias("s"), F.col("transcription").alias("t"), F.col("error").alias("e"))
+    joined = media.join(r, ["contact", "filename"], "left")
+    hit = F.col("s").isNotNull()
+    return joined.withColumns({"status": F.coalesce("s", "status"), "transcription": F.when(hit, F.col("t")).otherwise(F.col("transcription")), "error": F.when(hit, F.col("e")).otherwise(F.col("error"))}).drop("s", "t", "e")
+
+
+def attach_media(messages: DataFrame, media: DataFrame) -> DataFrame:
+    """messages with transcription (of processed files), media_exists and stored_name (the name a file
+    was staged under; its own if that was free), by (contact, media_file)."""
+    m = media.select("contact", F.col("filename").alias("media_file"), "stored_name", F.when(F.col("status") == "processed", F.col("transcription")).alias("transcription"), F.lit(True).alias("__there"))
+    return messages.join(m, ["contact", "media_file"], "left").withColumn("media_exists", F.coalesce("__there", F.lit(False))).withColumn("stored_name", F.coalesce("stored_name", "media_file")).drop("__there")
+
+
 def contact_counts(messages: DataFrame) -> DataFrame:
     """contact, message_count, max_seq."""
     return messages.groupBy("contact").agg(F.count("*").alias("message_count"), F.max("seq").alias("max_seq"))
@@ -141,6 +221,22 @@ def contact_periods(messages: DataFrame) -> DataFrame:
     return messages.select("contact", "period").distinct()
 
 
+def periods_of(messages: DataFrame, contact: str) -> DataFrame:
+    """The periods of one contact, in order."""
+    return messages.filter(F.col("contact") == contact).select("period").distinct().orderBy("period")
+
+
+def messages_of(messages: DataFrame, contact: str, period: str | None = None) -> DataFrame:
+    """The messages of one contact, or of one of its periods, by seq."""
+    scope = F.col("contact") == contact
+    return messages.filter(scope if period is None else scope & (F.col("period") == period)).orderBy("seq")
+
+
+def contact_ids(messages: DataFrame, contact: str) -> DataFrame:
+    """The message ids of one contact."""
+    return messages.filter(F.col("contact") == contact).select("message_id").distinct()
+
+
 def detect_self(pairs: DataFrame) -> DataFrame:
     """The one sender present in all contacts (contact, sender), if there is more than one contact;
     an empty result where there is none or several. Empty senders don't count."""
@@ -184,21 +280,17 @@ def save_snapshot(tables: dict[str, DataFrame], root: str) -> str:
     """Write tables as a new snapshot and switch the pointer; what is read is never overwritten."""
     name = f"v{time.time_ns()}"
     for table, df in tables.items():
-        df.write.parquet(os.path.join(root, name, table))
-    os.makedirs(root, exist_ok=True)
-    tmp = os.path.join(root, ".current.tmp")
-    with open(tmp, "w") as f:
-        json.dump({"version": 1, "snapshot": name}, f)
-    os.replace(tmp, os.path.join(root, "current.json"))
+        df.write.parquet(files.join(root, name, table))
+    pointer = {"version": 1, "snapshot": name, "tables": sorted(tables)}
+    files.write_bytes(files.join(root, "current.json"), json.dumps(pointer).encode())
     return name
 
 
 def load_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame] | None:
     """The tables of the current snapshot, None if there is none."""
-    pointer = os.path.join(root, "current.json")
-    if not os.path.exists(pointer):
+    pointer = files.join(root, "current.json")
+    if not files.exists(pointer):
         return None
-    with open(pointer) as f:
-        name = json.load(f)["snapshot"]
-    base = os.path.join(root, name)
-    return {t: spark.read.parquet(os.path.join(base, t)) for t in sorted(os.listdir(base))}
+    at = json.loads(files.read_bytes(pointer))
+    base = files.join(root, at["snapshot"])
+    return {t: spark.read.parquet(files.join(base, t)) for t in at.get("tables") or files.listing(base)}

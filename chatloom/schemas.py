@@ -13,9 +13,12 @@ MESSAGES = (
     "media_processed boolean, reply_to string, edited boolean, source_zip string, line_start int, line_end int, period string"
 )
 CONTACTS = "contact string, type string, source_zips array<string>, message_count bigint, sanitized_name string, date_format string, encoding string"
-MEDIA = "contact string, filename string, status string, type string, source_zip string, transcription string"
+MEDIA = "contact string, filename string, status string, type string, source_zip string, stored_name string, transcription string, error string"
+RUNS = "archives bigint, failed bigint, added bigint, skipped bigint, upgraded bigint, replaced bigint, warnings bigint, at timestamp"
+WARNINGS = "source_zip string, line_no int, warning string"
 CONFIG = "split string, layout string, timezone string, self string, aliases map<string,string>"
 WORDS = "array<struct<type:string,speaker_id:string,start:double,end:double,text:string>>"
+SPEECH = f"text string, language_code string, language_probability double, words {WORDS}"
 SCREENSHOT_MESSAGE = (
     "struct<date:string,time:string,sender:string,content:string,media_type:string,media_description:string,message_status:string,"
     "is_forwarded:boolean,is_edited:boolean,is_reply:boolean,reply_preview:string,date_inferred:boolean>"

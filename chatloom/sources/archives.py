@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import zipfile
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions import chat
+from chatloom.session import small
+from chatloom.sources import files as fl
 
 # Names a chat log goes by, in order of priority.
 LOG_NAMES = ["_chat.txt", "_conversa.txt"]
@@ -27,7 +30,7 @@ def scan_archives(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
     paths = sorted(r["path"] for r in files.select("path").toLocalIterator())
     order = spark.createDataFrame([(p, i) for i, p in enumerate(paths, 1)], "path string, zip_order int")
-    return files.join(F.broadcast(order), "path").select(chat.file_name(F.col("path")).alias("source_zip"), "path", "zip_order", "content")
+    return files.join(small(order), "path").select(chat.file_name(F.col("path")).alias("source_zip"), "path", "zip_order", "content")
 
 
 def pick_log(names: list[str]) -> str | None:
@@ -90,6 +93,27 @@ def extract_archives(archives: DataFrame) -> DataFrame:
     return got.withColumn("contact_name", chat.contact_from_zip(F.col("source_zip")))
 
 
+def media_entries(archives: DataFrame) -> DataFrame:
+    """source_zip, zip_order, filename, size, archive_hash of every file beside the log (archives of
+    scan_archives). Broken archives have none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(r.content)) as z:
+                        infos = [i for i in z.infolist() if not i.is_dir()]
+                        log = pick_log([os.path.basename(i.filename) for i in infos])
+                        digest = hashlib.sha256(r.content).hexdigest()
+                        rows += [(r.source_zip, r.zip_order, os.path.basename(i.filename), i.file_size, digest) for i in infos if os.path.basename(i.filename) != log]
+                except (zipfile.BadZipFile, OSError, ValueError):
+                    continue
+            yield pd.DataFrame(rows, columns=["source_zip", "zip_order", "filename", "size", "archive_hash"])
+
+    return archives.select("source_zip", "zip_order", "content").mapInPandas(run, "source_zip string, zip_order int, filename string, size long, archive_hash string")
+
+
 def media_names(entries: DataFrame) -> DataFrame:
     """entries (source_zip, zip_order, filename, size, archive_hash) with stored_name: a name taken by
     a file of another size gets the first four hash digits of its archive in front."""
@@ -99,11 +123,39 @@ def media_names(entries: DataFrame) -> DataFrame:
     return rows.withColumn("stored_name", F.when(clash, F.concat(F.substring("archive_hash", 1, 4), F.lit("_"), "filename")).otherwise(F.col("filename"))).drop("first")
 
 
+def stage_media(archives: DataFrame, names: DataFrame, folder: str) -> DataFrame:
+    """source_zip, filename, stored_name, path of the files written below folder; files already there
+    are left. Workers open their own archives; folder must be one that all of them share."""
+    per = names.groupBy("source_zip").agg(F.collect_list(F.struct("filename", "stored_name")).alias("files"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                with zipfile.ZipFile(io.BytesIO(r.content)) as z:
+                    full = {os.path.basename(n): n for n in z.namelist()}
+                    for f in r.files:
+                        at = fl.join(folder, f["stored_name"])
+                        if not fl.exists(at):
+                            fl.write_bytes(at, z.read(full[f["filename"]]))
+                        rows.append((r.source_zip, f["filename"], f["stored_name"], at))
+            yield pd.DataFrame(rows, columns=["source_zip", "filename", "stored_name", "path"])
+
+    return archives.select("source_zip", "content").join(per, "source_zip").mapInPandas(run, "source_zip string, filename string, stored_name string, path string")
+
+
 def scan_media(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
-    """path of all files below folder with one of the extensions, in lower or upper case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    """path, modified, length of all files below folder with one of the extensions, in lower or upper
+    case (mixed case doesn't count). Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     both = [e for x in extensions for e in (x.lower(), x.upper())]
-    return files.filter(F.element_at(F.split("path", r"\."), -1).isin(both)).distinct()
+    files = files.filter(F.element_at(F.split("path", r"\."), -1).isin(both))
+    return files.select("path", F.col("modificationTime").alias("modified"), "length").distinct()
+
+
+def scan_sidecars(spark: SparkSession, folder: str) -> DataFrame:
+    """path of all Markdown files below folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder).select("path")
 
 
 def pending(paths: DataFrame, existing: DataFrame) -> DataFrame:
@@ -120,19 +172,32 @@ def write_documents(docs: DataFrame, root: str, path: Column) -> int:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for p, body in zip(pdf["path"], pdf["body"]):
-                at = os.path.join(root, p)
-                os.makedirs(os.path.dirname(at), exist_ok=True)
-                tmp = f"{at}.{os.getpid()}.tmp"
-                with open(tmp, "w", encoding="utf-8") as f:
-                    f.write(body)
-                os.replace(tmp, at)  # a retried task writes the same file again
+                fl.write_bytes(fl.join(root, p), body.encode())
             yield pd.DataFrame({"n": [len(pdf)]})
 
     got = rows.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()
     return got[0]["n"]
 
 
-def media_placement(messages: DataFrame, staged: DataFrame, placed: DataFrame) -> DataFrame:
-    """contact, period, media_file to copy: named by a message, staged, not placed yet."""
+def media_placement(messages: DataFrame, staged: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """contact, period, media_file to copy: named by a message, staged (contact, media_file), and not
+    placed yet where ``placed`` tells."""
     want = messages.filter("media_file is not null").select("contact", "period", "media_file").distinct()
-    return want.join(staged.select("media_file").distinct(), "media_file", "left_semi").join(placed, ["contact", "period", "media_file"], "left_anti")
+    want = want.join(staged.select("contact", "media_file").distinct(), ["contact", "media_file"], "left_semi")
+    return want if placed is None else want.join(placed, ["contact", "period", "media_file"], "left_anti")
+
+
+def place_media(wanted: DataFrame) -> int:
+    """Copy files (source, target: whole paths) whose target isn't there yet; the number copied."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            n = 0
+            for a, b in zip(pdf["source"], pdf["target"]):
+                if fl.exists(a) and not fl.exists(b):
+                    fl.write_bytes(b, fl.read_bytes(a))
+                    n += 1
+            yield pd.DataFrame({"n": [n]})
+
+    got = wanted.select("source", "target").distinct().mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()
+    return got[0]["n"]
