@@ -74,7 +74,7 @@ def dedup_archive(rows: DataFrame, policy: str = "reference") -> DataFrame:
     need = rows.groupBy(*keys).agg((F.bool_or("is_media_omitted") & (F.count("*") > 1)).alias("__fold")).filter("__fold")
     null_safe = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
     calm = rows.join(need, null_safe(rows, need), "left_anti")
-    calm = first_occurrence(calm, ["source_zip", "message_id"], ["pos"]).withColumn("slot", F.col("pos"))
+    calm = first_occurrence(calm, ["source_zip", "message_id"], ["pos"]).withColumn("slot", F.col("pos").cast("long"))
     busy = rows.join(need, null_safe(rows, need), "left_semi").select(*keys, "pos", "message_id", F.col("media_file").isNotNull().alias("m"), F.coalesce("is_media_omitted", F.lit(False)).alias("o"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,5 +99,5 @@ def dedup_archive(rows: DataFrame, policy: str = "reference") -> DataFrame:
         if done:
             yield pd.DataFrame(done, columns=["source_zip", "slot", "pos"])
 
-    kept = busy.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInPandas(run, "source_zip string, slot int, pos int")
+    kept = busy.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInPandas(run, "source_zip string, slot long, pos long")
     return calm.unionByName(rows.join(kept, ["source_zip", "pos"]))

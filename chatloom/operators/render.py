@@ -200,7 +200,8 @@ def drop_full_text(body: Column) -> Column:
     at = F.instr(body, mark)
     before = F.substring(body, F.lit(1), at - 1)
     after = F.substring(body, at + 4, F.length(body))
-    nxt = F.regexp_instr(after, F.lit(r"\n---\n\n(?!## Texto Integral)"))
+    # not by position: a pattern's positions count UTF-16 units, those of a substring code points
+    rest = F.regexp_extract(after, r"(?s)\n---\n\n(?!## Texto Integral).*\z", 0)
     legal = F.regexp_extract(body, rf"(?s){LEGAL.replace('*', chr(92) + '*')}.+\z", 0)
-    out = F.when(nxt > 0, F.concat(before, F.substring(after, nxt, F.length(after)))).when(legal != "", F.concat(before, F.lit("---\n\n"), legal, F.lit("\n"))).otherwise(before)
+    out = F.when(rest != "", F.concat(before, rest)).when(legal != "", F.concat(before, F.lit("---\n\n"), legal, F.lit("\n"))).otherwise(before)
     return F.when(at > 0, F.when(out.endswith("\n"), out).otherwise(F.concat(out, F.lit("\n")))).otherwise(body)

@@ -157,21 +157,27 @@ def apply_merge(index: DataFrame, new: DataFrame, acts: DataFrame, interval: str
     return kept.unionByName(rows.select(*[c for c in index.columns if c in rows.columns]), allowMissingColumns=True)
 
 
+def overlap_votes(index: DataFrame, new: DataFrame, archives: DataFrame) -> DataFrame:
+    """source_zip, contact, holder, votes, first: how many messages of each archive (of ``new``) a
+    contact of the index holds already or, where none does, an earlier archive of ``new`` (the first
+    that holds the id), and the first slot of them. archives: source_zip, zip_order."""
+    ids = new.groupBy("source_zip", "message_id").agg(F.min("slot").alias("slot"), F.count("*").alias("n")).join(archives.select("source_zip", "zip_order"), "source_zip")
+    known = index.groupBy("message_id").agg(F.min("contact").alias("contact"))
+    first = ids.groupBy("message_id").agg(F.min(F.struct("zip_order", "source_zip")).alias("h"))
+    votes = ids.join(known, "message_id", "left").join(first, "message_id")
+    votes = votes.filter("contact is not null or h.zip_order < zip_order").withColumn("holder", F.when(F.col("contact").isNull(), F.col("h.source_zip")))
+    return votes.groupBy("source_zip", "contact", "holder").agg(F.sum("n").alias("votes"), F.min("slot").alias("first"))
+
+
 def resolve_contacts(index: DataFrame, new: DataFrame, archives: DataFrame, threshold: float = 0.3) -> dict[str, str]:
     """source_zip -> contact its messages go to: the one that already holds more than ``threshold`` of
     them, else the archive's own name.
 
     Archives are taken in order, and each may go where an earlier one of this run went. The joins are
     on ids; what reaches the driver is one count per archive and holder, of the archives of one run.
-    An id counts for its earliest holder.
     """
-    ids = new.groupBy("source_zip", "message_id").agg(F.min("slot").alias("slot"), F.count("*").alias("n")).join(archives.select("source_zip", "zip_order"), "source_zip")
-    known = index.groupBy("message_id").agg(F.min("contact").alias("contact"))
-    first = ids.groupBy("message_id").agg(F.min(F.struct("zip_order", "source_zip")).alias("h"))
-    votes = ids.join(known, "message_id", "left").join(first, "message_id")
-    votes = votes.filter("contact is not null or h.zip_order < zip_order").withColumn("holder", F.when(F.col("contact").isNull(), F.col("h.source_zip")))
     got: dict[str, list] = {}
-    for r in votes.groupBy("source_zip", "contact", "holder").agg(F.sum("n").alias("votes"), F.min("slot").alias("first")).collect():
+    for r in overlap_votes(index, new, archives).collect():
         got.setdefault(r["source_zip"], []).append(r)
     total = {r["source_zip"]: r["n"] for r in new.groupBy("source_zip").agg(F.count("*").alias("n")).collect()}
     went: dict[str, str] = {}
@@ -237,22 +243,16 @@ def contact_ids(messages: DataFrame, contact: str) -> DataFrame:
     return messages.filter(F.col("contact") == contact).select("message_id").distinct()
 
 
-def detect_self(pairs: DataFrame) -> DataFrame:
-    """The one sender present in all contacts (contact, sender), if there is more than one contact;
-    an empty result where there is none or several. Empty senders don't count."""
-    pairs = pairs.filter("contact is not null and sender is not null and sender != ''").select("contact", "sender").distinct()
-    n = pairs.agg(F.countDistinct("contact").alias("n"))
-    full = pairs.groupBy("sender").agg(F.count("*").alias("seen")).join(F.broadcast(n), F.col("seen") == F.col("n")).filter("n > 1")
-    return full.groupBy().agg(F.count("*").alias("c"), F.min("sender").alias("self_name")).filter("c = 1").select("self_name")
-
-
-def detect_overlap(index: DataFrame, new: DataFrame, own_name: str, threshold: float = 0.3) -> DataFrame:
-    """The other contact that already holds more than ``threshold`` of the archive's messages."""
-    total = new.agg(F.count("*").alias("total"))
-    hits = new.select("message_id", "slot").join(index.filter(F.col("contact") != own_name).select("message_id", "contact"), "message_id")
-    votes = hits.groupBy("contact").agg(F.count("*").alias("votes"), F.min("slot").alias("first"))
-    best = votes.groupBy().agg(F.max(F.struct("votes", (-F.col("first")).alias("f"), "contact")).alias("b"))
-    return best.join(F.broadcast(total)).filter(F.col("b.votes") / F.col("total") > threshold).select(F.col("b.contact").alias("contact"), F.col("b.votes").alias("votes"), "total")
+def detect_self(pairs: DataFrame, by: str | None = None) -> DataFrame:
+    """self_name: the one sender present in all contacts (contact, sender), if there is more than one
+    contact; an empty result where there is none or several. Empty senders don't count. With ``by``,
+    one row (by, self_name) for each of its values, over the contacts of that value."""
+    keys = [by] if by else []
+    pairs = pairs.filter("contact is not null and sender is not null and sender != ''").select(*keys, "contact", "sender").distinct()
+    n = pairs.groupBy(*keys).agg(F.countDistinct("contact").alias("n"))
+    seen = pairs.groupBy(*keys, "sender").agg(F.count("*").alias("seen"))
+    full = (seen.join(n, by) if by else seen.join(F.broadcast(n))).filter("seen = n and n > 1")
+    return full.groupBy(*keys).agg(F.count("*").alias("c"), F.min("sender").alias("self_name")).filter("c = 1").select(*keys, "self_name")
 
 
 def group_test(messages: DataFrame, key: str = "source_zip") -> DataFrame:

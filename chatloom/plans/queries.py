@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions import chat
@@ -14,7 +14,7 @@ from chatloom.operators import dedup, media, parser, render, store
 from chatloom.operators.ordering import changes, islands, number_rows
 from chatloom.operators.timestamps import normalize_timestamps
 from chatloom.plans.oracles import ORACLES
-from chatloom.schemas import SPLITS
+from chatloom.schemas import MEDIA, SPLITS
 from chatloom.session import cut, read, small
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,17 +27,29 @@ def query(f: Query) -> Query:
     return f
 
 
-def _spoken(spark: SparkSession, d: str) -> DataFrame:
-    """Text rows of parsed with a sender."""
-    return read(spark, d, "parsed").filter("type = 'text' and sender is not null and sender != ''")
-
-
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    """Log lines written from parsed rows: every row has an own stamp, contents may span lines."""
+    """Log lines written from all rows of parsed: both line forms with their variants, both orders of
+    day and month (by export), attachments with and without echo, omitted media, deleted and system
+    messages. Contents keep their line ends of every kind, so some lines start no message."""
     r = F.col("row_id")
-    stamp = F.format_string("%d/%d/26, %02d:%02d - ", 1 + r % 12, 1 + r % 28, r % 24, r % 60)
-    text = F.concat(stamp, "sender", F.lit(": "), F.regexp_replace("content", r"[\r  ]", " "))
-    rows = _spoken(spark, d).select("source_zip", "pos", "row_id", F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    day, month, year = 1 + r % 28, 1 + r % 12, 2024 + r % 3
+    day_first = F.length("source_zip") % 2 == 0
+    a, b = F.when(day_first, day).otherwise(month), F.when(day_first, month).otherwise(day)
+    h, m, s = r % 24, r % 60, F.floor(r / 7) % 60
+    half = F.when(h < 12, "AM").otherwise("PM")
+    stamp = (
+        F.when(r % 4 == 0, F.format_string("%d/%d/%02d, %02d:%02d - ", a, b, year % 100, h, m))
+        .when(r % 4 == 1, F.format_string("[%02d/%02d/%d, %02d:%02d:%02d] ", a, b, year, h, m, s))
+        .when(r % 4 == 2, F.format_string("%d/%d/%02d, %d:%02d%s%s - ", a, b, year % 100, (h + 11) % 12 + 1, m, F.when(r % 8 == 2, " ").otherwise("\u202f"), half))
+        .otherwise(F.format_string("%d/%d/%d %02d:%02d:%02d – ", a, b, year, h, m, s))
+    )
+    content = F.coalesce("content", F.lit(""))
+    caption = F.when(content != "", F.concat(F.lit("\n"), content)).otherwise("")
+    attached = F.concat("media_file", F.when(r % 2 == 0, " (file attached)").otherwise(" (arquivo anexado)"), F.when(r % 3 == 0, F.concat(F.lit("\n"), "media_file")).otherwise(""), caption)
+    omitted = F.concat(F.when(r % 2 == 0, "<Media omitted>").otherwise("<Mídia oculta>"), caption)
+    said = F.when(F.col("media_file").isNotNull(), attached).when(F.coalesce("is_media_omitted", F.lit(False)), omitted).otherwise(content)
+    body = F.when(F.coalesce("sender", F.lit("")) == "", content).otherwise(F.concat("sender", F.lit(": "), said))
+    rows = read(spark, d, "parsed").select("source_zip", "pos", "row_id", F.posexplode(F.split(F.concat(stamp, body), "\n")).alias("i", "line"))
     rows = number_rows(rows, ["source_zip"], F.floor(F.col("pos") / SLICE), ["pos", "row_id", "i"], "line_no")
     return rows.select("source_zip", F.col("line_no").cast("int").alias("line_no"), "line")
 
@@ -50,14 +62,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def flagship_sender_weeks(spark: SparkSession, d: str) -> DataFrame:
-    rows = parser.parse_lines(_lines(spark, d), "MM/DD")
+    rows = parser.parse_lines(cut(_lines(spark, d)))
     return rows.groupBy("sender", period_label(lenient_date(F.col("timestamp")), "1w").alias("period")).agg(F.count("*").alias("messages"))
 
 
 @query
 def parse_chat_log(spark: SparkSession, d: str) -> DataFrame:
-    rows = parser.parse_lines(_lines(spark, d), "MM/DD")
-    return rows.select("source_zip", "pos", "timestamp", "sender", "content", "type", "edited")
+    rows = parser.parse_lines(cut(_lines(spark, d)))
+    return rows.select("source_zip", "pos", "line_start", "line_end", "timestamp", "sender", "content", "type", "subtype", "media_file", "is_media_omitted", "edited")
 
 
 @query
@@ -122,48 +134,45 @@ def dedup_first(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dedup_media_variant(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "parsed").drop("pos").withColumnRenamed("row_id", "pos").withColumn("pos", F.col("pos").cast("int"))
-    return dedup.dedup_archive(p, "omitted_only").select(F.col("pos").cast("long").alias("row_id"), F.col("slot").cast("long").alias("slot"))
+    p = read(spark, d, "parsed").drop("pos").withColumnRenamed("row_id", "pos")
+    return dedup.dedup_archive(p, "omitted_only").select(F.col("pos").alias("row_id"), "slot")
 
 
-def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(index of the early archives, rows of the late ones) from messages, by archive name."""
-    m = read(spark, d, "messages").filter("message_id is not null and contact is not null")
+def _merge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, new, acts): the late archives of messages (those with a copy number) merged one after
+    the other, in archive order, into the index of the early ones; all contacts."""
+    m = read(spark, d, "messages").filter("message_id is not null and contact is not null").select(
+        "message_id", "contact", "seq", "timestamp", F.coalesce("sender", F.lit("")).alias("sender"), "media_file", "source_zip", ((F.col("type") == "media") & F.col("media_file").isNull()).alias("is_media_omitted")
+    )
+    # copies of one id may spell stamp or sender differently; they are one message and fold together
+    key = F.struct("timestamp", "sender")
+    same = cut(m.groupBy("contact", "message_id").agg(F.max(key).alias("key"), F.min(key).alias("other")).filter("key != other").drop("other"))
+    m = cut(m.join(small(same), ["contact", "message_id"], "left").withColumns({c: F.coalesce(f"key.{c}", c) for c in ("timestamp", "sender")}).drop("key"))
     late = F.col("source_zip").rlike(r"\(\d+\)\.zip$")
-    first = lambda x: dedup.first_occurrence(x, ["message_id"], ["contact", "seq", "source_zip"])
-    return first(m.filter(~late)), first(m.filter(late))
+    order = read(spark, d, "archives").groupBy("source_zip").agg(F.min("zip_order").alias("archive"))
+    new = m.filter(late).join(small(order), "source_zip", "left").withColumn("archive", F.coalesce("archive", F.lit(0)))
+    new = cut(number_rows(new, ["contact", "archive"], F.floor(F.col("seq") / SLICE), ["seq", "message_id", "source_zip"], "slot"))
+    index = dedup.first_occurrence(m.filter(~late), ["contact", "message_id"], ["seq", "source_zip"])
+    return index, new, cut(store.merge_archives(index, new))
 
 
 @query
 def merge_incremental(spark: SparkSession, d: str) -> DataFrame:
-    index, new = _batches(spark, d)
-    added = new.join(index, "message_id", "left_anti")
-    top = index.groupBy("contact").agg(F.max("seq").alias("top"))
-    rows = number_rows(added, ["contact"], F.floor(F.col("seq") / SLICE), ["seq", "message_id"], "nth").join(top, "contact", "left")
-    return rows.select("contact", "message_id", (F.coalesce("top", F.lit(0)) + F.col("nth")).alias("new_seq"))
+    """The index after the merge."""
+    index, new, acts = _merge(spark, d)
+    return store.apply_merge(index.drop("source_zip"), new.drop("seq", "source_zip"), acts).select("contact", "message_id", "seq")
 
 
 @query
 def merge_counts(spark: SparkSession, d: str) -> DataFrame:
-    index, new = _batches(spark, d)
-    hit = new.join(index.select("message_id", F.lit(True).alias("known")), "message_id", "left")
-    return hit.agg(F.count_if("known").alias("skipped"), F.count_if(F.col("known").isNull()).alias("added"))
+    acts = _merge(spark, d)[2]
+    return acts.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("added", "skipped", "upgraded", "replaced", "deleted")])
 
 
 @query
 def merge_upsert_media(spark: SparkSession, d: str) -> DataFrame:
-    """The late archives' rows of every contact merged into the early ones' index; pos is a row's
-    place among its contact's late rows."""
-    m = read(spark, d, "messages").filter("message_id is not null and contact is not null").select(
-        "message_id", "contact", "seq", "timestamp", F.coalesce("sender", F.lit("")).alias("sender"), "media_file", "source_zip", ((F.col("type") == "media") & F.col("media_file").isNull()).alias("is_media_omitted")
-    )
-    # copies of one id may spell stamp or sender differently; they are one message and fold together
-    key = F.struct("timestamp", "sender")
-    same = cut(m.groupBy("contact", "message_id").agg(F.max(key).alias("key"), F.min(key).alias("other")).filter("key != other").drop("other"))
-    m = m.join(small(same), ["contact", "message_id"], "left").withColumns({c: F.coalesce(f"key.{c}", c) for c in ("timestamp", "sender")}).drop("key")
-    late = F.col("source_zip").rlike(r"\(\d+\)\.zip$")
-    new = number_rows(m.filter(late), ["contact"], F.floor(F.col("seq") / SLICE), ["seq", "message_id", "source_zip"], "slot")
-    return store.merge_archive(m.filter(~late), new).select("contact", "action", "pos", "seq")
+    """What happens to each late row; pos is its place among its contact's rows of its archive."""
+    return _merge(spark, d)[2].select("contact", "archive", "action", "pos", "seq")
 
 
 def _period_query(interval: str) -> Query:
@@ -210,10 +219,10 @@ def day_headers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def detect_self(spark: SparkSession, d: str) -> DataFrame:
-    """The sender present in all contacts of one export owner, Portaria Central; other owners are not looked at."""
+    """For each owner of exports the sender present in all contacts of their exports."""
     m = read(spark, d, "messages").select("source_zip", "contact", "sender")
-    o = read(spark, d, "ingest_options").filter("self = 'Portaria Central'").select("source_zip")
-    return store.detect_self(m.join(o, "source_zip", "left_semi").select("contact", "sender"))
+    o = read(spark, d, "ingest_options").select("source_zip", F.col("self").alias("owner")).filter("owner is not null").distinct()
+    return store.detect_self(m.join(o, "source_zip").select("owner", "contact", "sender"), "owner")
 
 
 @query
@@ -221,19 +230,25 @@ def group_test(spark: SparkSession, d: str) -> DataFrame:
     return store.group_test(read(spark, d, "parsed"))
 
 
+def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ids and contacts of the accepted history, rows of later batches, archives of those)."""
+    p = dedup.with_id(read(spark, d, "parsed")).select("source_zip", "message_id", "batch_no", F.col("row_id").alias("slot"))
+    a = read(spark, d, "archives").select("source_zip", "zip_order", "contact_name")
+    old = p.filter("batch_no = 0").join(a, "source_zip").select("message_id", F.col("contact_name").alias("contact")).distinct()
+    new = p.filter("batch_no > 0")
+    return old, new, a.join(new.select("source_zip").distinct(), "source_zip", "left_semi")
+
+
 @query
 def overlap_votes(spark: SparkSession, d: str) -> DataFrame:
-    """For each archive the chat of an earlier archive that holds most of its messages."""
-    p = dedup.with_id(read(spark, d, "parsed")).select("source_zip", "message_id").distinct()
-    a = read(spark, d, "archives").select("source_zip", "zip_order", "contact_name")
-    p = p.join(a, "source_zip")
-    n = p.groupBy("source_zip").agg(F.count("*").alias("total"))
-    old = p.select("message_id", F.col("zip_order").alias("o_order"), F.col("contact_name").alias("contact"))
-    # one earliest holder per id keeps hot ids from pairing all their archives
-    old = old.groupBy("message_id").agg(F.min(F.struct("o_order", "contact")).alias("o")).select("message_id", "o.*")
-    votes = p.join(old, "message_id").filter("o_order < zip_order").groupBy("source_zip", "contact").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("source_zip").agg(F.max(F.struct("votes", "contact")).alias("b"))
-    return best.join(n, "source_zip").filter(F.col("b.votes") / F.col("total") > 0.3).select("source_zip", "b.contact", "b.votes", "total")
+    return store.overlap_votes(*_history(spark, d))
+
+
+@query
+def overlap_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """The contact each later archive's messages go to, given the accepted history."""
+    went = store.resolve_contacts(*_history(spark, d))
+    return spark.createDataFrame(list(went.items()), "source_zip string, contact string")
 
 
 @query
@@ -256,25 +271,54 @@ def contact_from_zip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def alias_display_sender(spark: SparkSession, d: str) -> DataFrame:
+    """Names as shown, with an alias for the owner of each export."""
     m = read(spark, d, "messages").join(read(spark, d, "contacts").select("contact", (F.col("type") == "group").alias("g")), "contact")
-    table = F.create_map(F.lit("Portaria Central"), F.lit("Portaria"))
-    shown = chat.display_sender(F.coalesce("sender", F.lit("")), table, F.col("g"), F.lit("Portaria"))
+    o = read(spark, d, "ingest_options").select("source_zip", "self").distinct()
+    m = m.join(o, "source_zip", "left")
+    table = F.when(F.col("self").isNotNull(), F.create_map("self", F.upper("self"))).otherwise(F.create_map(F.lit(""), F.lit("")))
+    shown = chat.display_sender(F.coalesce("sender", F.lit("")), table, F.col("g"), F.upper("self"))
     return m.groupBy("contact", shown.alias("shown")).agg(F.count("*").alias("n"))
 
 
+def _media(spark: SparkSession, d: str) -> DataFrame:
+    """The media table of all archives, processed with the offline models."""
+    a = read(spark, d, "archives")
+    entries = a.select(F.col("contact_name").alias("contact"), "source_zip", "zip_order", F.explode("media_files").alias("filename")).withColumn("stored_name", F.col("filename"))
+    known = store.register_media(spark.createDataFrame([], MEDIA), entries)
+    key = F.to_json(F.struct("contact", "filename"))
+    items = cut(known.select("contact", "filename", "status", key.alias("key"), F.col("stored_name").alias("path")))
+    # as many tasks as the session shuffles into; the stubs call nothing that wants sparing
+    got = media.process_media(items, "all", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return store.update_media(known, got.join(items.select("key", "contact", "filename"), "key"))
+
+
+@query
+def ingest_media(spark: SparkSession, d: str) -> DataFrame:
+    return _media(spark, d).select("contact", "filename", "status", "type", "source_zip", "transcription")
+
+
 @query
 def media_left_join(spark: SparkSession, d: str) -> DataFrame:
-    m = read(spark, d, "messages").filter("media_file is not null").select("contact", "media_file", "source_zip")
-    a = read(spark, d, "archives").select("source_zip", F.explode("media_files").alias("media_file")).distinct().withColumn("there", F.lit(True))
-    hit = m.join(a, ["source_zip", "media_file"], "left")
-    return hit.groupBy("contact").agg(F.count("*").alias("n"), F.count_if("there").alias("present"))
+    m = store.attach_media(read(spark, d, "messages").filter("media_file is not null"), _media(spark, d))
+    return m.groupBy("contact").agg(F.count("*").alias("n"), F.count_if("media_exists").alias("present"), F.count("transcription").alias("transcribed"))
 
 
 @query
 def media_registration(spark: SparkSession, d: str) -> DataFrame:
-    m = read(spark, d, "messages").filter("media_file is not null").select("contact", F.col("media_file").alias("filename")).distinct()
-    known = read(spark, d, "archives").select(F.col("contact_name").alias("contact"), F.explode("media_files").alias("filename")).distinct()
-    return known.select("contact", "filename", F.lit("known").alias("status")).unionByName(m.join(known, ["contact", "filename"], "left_anti").withColumn("status", F.lit("pending")))
+    """Files that messages name, registered beside those the archives hold."""
+    a = read(spark, d, "archives")
+    entries = lambda x, f: x.select(F.col("contact_name").alias("contact"), "source_zip", "zip_order", f.alias("filename")).withColumn("stored_name", F.col("filename"))
+    known = store.register_media(spark.createDataFrame([], MEDIA), entries(a, F.explode("media_files"))).withColumn("status", F.lit("processed"))
+    named = read(spark, d, "messages").filter("media_file is not null").join(a.select("source_zip", "zip_order"), "source_zip").withColumnRenamed("contact", "contact_name")
+    return store.register_media(cut(known), entries(named, F.col("media_file"))).select("contact", "filename", "status", "type", "source_zip")
+
+
+@query
+def media_placement(spark: SparkSession, d: str) -> DataFrame:
+    from chatloom.sources.archives import media_placement as place
+
+    staged = read(spark, d, "archives").select(F.col("contact_name").alias("contact"), F.explode("media_files").alias("media_file"))
+    return place(read(spark, d, "messages"), staged)
 
 
 @query
@@ -309,15 +353,26 @@ def utterance_islands(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def format_timestamp(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "utterances").select("utt_id", chat.clock(F.floor("start_time")).alias("clock"))
+    return read(spark, d, "utterances").select("utt_id", chat.clock(F.col("start_time")).alias("clock"))
 
 
 @query
 def speech_document(spark: SparkSession, d: str) -> DataFrame:
-    u = utterance_islands(spark, d).select("recording_id", F.col("island").alias("utterance_no"), "speaker", F.floor("start_time").alias("start_time"), F.floor("end_time").alias("end_time"), "text")
+    u = utterance_islands(spark, d).select("recording_id", F.col("island").alias("utterance_no"), "speaker", "start_time", "end_time", "text")
     return render.speech_markdown(u, ["recording_id"])
 
 
+@query
+def audio_document(spark: SparkSession, d: str) -> DataFrame:
+    """Whole speech documents of all recordings."""
+    u = read(spark, d, "utterances").filter("recording_id is not null")
+    files = u.groupBy("recording_id").agg(F.min("loaded_at").alias("created"), F.max("loaded_at").alias("modified"), (F.count("speaker") / F.count("*")).alias("language_probability")).withColumns({
+        "file": F.concat("recording_id", F.lit(".opus")), "processed": F.col("modified"), "language_code": F.lit("por"),
+    })
+    docs = render.audio_documents(files, speech_document(spark, d), ["recording_id"], "offline", "aviso")
+    return docs.select("recording_id", F.md5("body").alias("body_md5"))
+
+
 def _rendered(spark: SparkSession, d: str) -> DataFrame:
     m = dedup.first_occurrence(read(spark, d, "messages").filter("contact is not null and message_id is not null"), ["message_id"], ["contact", "seq", "source_zip", "loaded_at", "sender", "timestamp"])
     return m.withColumns({
@@ -338,22 +393,53 @@ def render_period_document(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("contact", "period", "messages", F.concat("sanitized_name", F.lit("/"), "period", F.lit(".md")).alias("path"), F.md5("body").alias("body_md5"))
 
 
-@query
-def screenshot_markdown(spark: SparkSession, d: str) -> DataFrame:
-    m = read(spark, d, "messages").filter("message_id is not null")
+def _shot(m: DataFrame) -> Column:
+    """A message of the index as a message of a screenshot."""
     kind = F.when(F.col("type") == "media", F.initcap("subtype")).when(F.col("type") == "deleted", "Deleted").otherwise("Text")
-    s = F.struct(
+    return F.struct(
         F.substring("timestamp", 1, 10).alias("date"), F.substring("timestamp", 12, 5).alias("time"), F.coalesce("sender", F.lit("")).alias("sender"), F.concat(F.lit("a\n"), "contact").alias("content"),
         kind.alias("media_type"), F.col("media_file").alias("media_description"), F.when(F.col("edited"), "Read").otherwise("Unknown").alias("message_status"), F.lit(False).alias("is_forwarded"),
         F.col("edited").alias("is_edited"), F.lit(True).alias("is_reply"), F.col("reply_to").alias("reply_preview"), (F.col("seq") % 3 == 0).alias("date_inferred"),
     )
-    return m.select("message_id", render.screenshot_message(s).alias("md"))
+
+
+@query
+def screenshot_markdown(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "messages").filter("message_id is not null")
+    return m.select("message_id", render.screenshot_message(_shot(m)).alias("md"))
+
+
+@query
+def screenshot_document(spark: SparkSession, d: str) -> DataFrame:
+    """Whole screenshot documents: the messages of a contact by twenty sequence numbers each."""
+    m = _rendered(spark, d).withColumn("page", F.floor((F.col("seq") - 1) / 20))
+    shots = m.groupBy("contact", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "message_id", _shot(m).alias("m")))).alias("ms"), F.min("loaded_at").alias("created"), F.max("loaded_at").alias("modified"), F.countDistinct("sender").cast("int").alias("who"))
+    shots = shots.withColumns({
+        "messages": F.transform("ms", lambda x: x["m"]), "file": F.concat("contact", F.lit(".jpg")), "processed": F.col("modified"), "chat_name": F.col("contact"), "chat_type": F.when(F.col("who") > 2, "group").otherwise("individual"),
+        "participant_count": F.when(F.col("who") > 2, F.col("who")), "visible_date_separators": F.array_distinct(F.transform("ms", lambda x: x["m"]["date"])), "screenshot_context": F.when(F.col("page") == 0, "início"),
+    })
+    return render.screenshot_documents(shots, ["contact", "page"]).select("contact", "page", F.md5("body").alias("body_md5"))
+
+
+@query
+def image_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    m = _rendered(spark, d).withColumn("page", F.floor((F.col("seq") - 1) / 20))
+    shots = m.groupBy("contact", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "message_id", F.struct("sender", "content").alias("m")))).alias("ms"))
+    return shots.select("contact", "page", media.image_description(F.transform("ms", lambda x: x["m"])).alias("description"))
+
+
+@query
+def file_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Dates, percentages and payloads as documents and models take them."""
+    p = read(spark, d, "parsed")
+    return p.select("row_id", chat.iso_time(F.col("loaded_at")).alias("iso"), chat.day_and_time(F.col("loaded_at")).alias("shown"), chat.percent(F.col("row_id") % 1000 / 800).alias("percent"), chat.image_payload(F.encode(F.coalesce("content", F.lit("")), "utf-8")).alias("payload"))
 
 
 @query
 def cleanup_section(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").filter("text is not null")
-    text = F.concat("text", F.lit("\n---\n\n" + render.FULL_TEXT + "\n\n"), "text")
+    more = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "\n---\n\n## Outra\n\nfim").otherwise("\n" + render.LEGAL + " nada\nmais")
+    text = F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.concat("text", F.lit("\n---\n\n" + render.FULL_TEXT + "\n\n"), F.regexp_replace("text", "---|" + render.LEGAL.replace("*", r"\*"), ""), more))
     return docs.select("doc_id", render.drop_full_text(text).alias("body"))
 
 
