@@ -232,7 +232,8 @@ def test_merge_query_holds_every_contact(spark, tmp_path):
     rows += [("b1", 1, "t1", "s", "B", "media", None, "B.zip"), ("b2", 1, "t1", "s", "B", "media", "f.jpg", "B (1).zip"), ("b3", 2, "t2", "s", "B", "text", None, "B (1).zip")]
     rows += [("b4", 3, "t4", "s", "B", "text", None, "B.zip"), ("b4", 3, "t4", "~ s", "B", "text", None, "B (1).zip")]  # one message
     spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "messages.parquet"))
-    got = {tuple(r) for r in queries.queries()["merge_upsert_media"](spark, str(tmp_path)).collect()}
+    spark.createDataFrame([("B.zip", 1), ("B (1).zip", 2)], "source_zip string, zip_order int").write.parquet(str(tmp_path / "archives.parquet"))
+    got = {(r["contact"], r["action"], r["pos"], r["seq"]) for r in queries.queries()["merge_upsert_media"](spark, str(tmp_path)).collect()}
     assert got == {("B", "deleted", None, 1), ("B", "upgraded", 1, 1), ("B", "added", 2, 4), ("B", "skipped", 3, None)}
 
 
