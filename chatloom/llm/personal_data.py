@@ -4,10 +4,13 @@ Method: bootstrapped contextual extraction. Seed entities (names of senders and
 whose written form leaves no doubt) induce lexical patterns, the words left and right of them.
 Spark scores a graph of patterns and instances in rounds: a pattern is as good as the share of its
 labelled instances that are of its kind, an open instance takes the kind of its good patterns and
-then votes for other patterns. Patterns of high confidence discover identifiers no seed names.
+then votes for other patterns. Patterns of high confidence discover identifiers no seed names, and
+a number found by its context in one row is known wherever else it stands. E-mail addresses and
+street addresses are told by their form alone.
 
 Scale: one Arrow pass turns texts into mentions; everything after that is aggregates over mentions.
-Seed words reach the workers in blocks. The graph holds distinct patterns, not rows.
+Seed words are broadcast where they are few; else each text's words are joined with them in Spark,
+with the same result. The graph holds distinct patterns, not rows.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from chatloom.session import cut, small
 
 #: A pattern counts from so many labelled instances on, at such a share of its kind.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.9, 2
-#: Seed words sent to the workers at once; more are taken in further passes.
-BLOCK = 200_000
+#: Up to so many seed words are broadcast; more are joined with the texts' words.
+SEED_WORDS = 200_000
 MENTION = "src string, row_id long, kind string, state string, shape string, l2 string, r2 string, key string, start int, end int"
 
 # How at-sign and dot are spoken or hidden.
@@ -271,31 +274,65 @@ def seed_words(senders: DataFrame) -> DataFrame:
     return given.unionByName(family.withColumn("part", F.lit("family")))
 
 
-def mentions(texts: DataFrame, seeds: DataFrame, block: int = BLOCK) -> DataFrame:
-    """All mentions in texts (src, row_id, text); one pass for each block of seed words."""
-    plain = texts.filter("row_id is not null and text is not null and text != ''")
-    blocks: list[list[tuple[str, str]]] = [[]]
-    for r in seeds.toLocalIterator():
-        if len(blocks[-1]) >= block:
-            blocks.append([])
-        blocks[-1].append((r["word"], r["part"]))
-    out = None
-    for words in blocks:
-        b = texts.sparkSession.sparkContext.broadcast(({w for w, p in words if p == "given"}, {w for w, p in words if p == "family"}))
-
-        def run(parts: Iterator[pd.DataFrame], b: object = b) -> Iterator[pd.DataFrame]:
-            finder = Finder(*b.value)
-            for pdf in parts:
-                rows = [(s, r, *m) for s, r, t in zip(pdf["src"], pdf["row_id"], pdf["text"]) for m in finder.mentions(t, s != "parsed")]
-                yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "state", "shape", "l2", "r2", "key", "start", "end"])
-
-        part = plain.mapInPandas(run, MENTION)
-        out = part if out is None else out.unionByName(part)
-    return out
+def _row_mentions(finder: Finder, src: str, row: int, text: str) -> list[tuple]:
+    return [(src, row, *m) for m in finder.mentions(text, src != "parsed")]
+
+
+_COLUMNS = [c.split()[0] for c in MENTION.split(", ")]
+
+
+def mentions(texts: DataFrame, seeds: DataFrame, most: int = SEED_WORDS) -> DataFrame:
+    """All mentions in texts (src, row_id, text). seeds: word, part; up to ``most`` of them are
+    broadcast, more are joined."""
+    plain = texts.select("src", "row_id", "text").filter("row_id is not null and text is not null and text != ''")
+    words = [tuple(r) for r in seeds.select("word", "part").limit(most + 1).collect()]
+    if len(words) > most:
+        return _joined_mentions(plain, seeds)
+    b = texts.sparkSession.sparkContext.broadcast(({w for w, p in words if p == "given"}, {w for w, p in words if p == "family"}))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = Finder(*b.value)
+        for pdf in parts:
+            rows = [m for s, r, t in zip(pdf["src"], pdf["row_id"], pdf["text"]) for m in _row_mentions(finder, s, r, t)]
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    return plain.mapInPandas(run, MENTION)
+
+
+def _joined_mentions(plain: DataFrame, seeds: DataFrame) -> DataFrame:
+    """mentions() with each text's own seed words, found by a join on words; a word with a lost letter
+    meets the names it may have been."""
+
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            found = []
+            for s, t in zip(pdf["src"], pdf["text"]):
+                clean, _ = _prepare(t, s != "parsed")
+                found.append(sorted({_fold(m[0]) for m in _WORD.finditer(clean)} | set(_TOKEN.findall(_fold(clean)))))
+            yield pdf.assign(words=found)
+
+    keyed = plain.mapInPandas(split, "src string, row_id long, text string, words array<string>").withColumn("hash", F.xxhash64("text"))
+    keyed = cut(keyed)
+    given = seeds.filter("part = 'given'").select("word")
+    at = F.explode(F.sequence(F.lit(1), F.length("word")))
+    masked = given.select("word", at.alias("i")).select("word", F.concat(F.expr("substring(word, 1, i - 1)"), F.lit(LOST), F.expr("substring(word, i + 1)")).alias("seen"))
+    table = seeds.select(F.col("word").alias("seen"), "word", "part").unionByName(masked.select("seen", "word", F.lit("given").alias("part"))).distinct()
+    used = keyed.select("src", "row_id", "hash", F.explode("words").alias("seen")).distinct().join(table, "seen")
+    per = used.groupBy("src", "row_id", "hash").agg(*[F.collect_set(F.when(F.col("part") == p, F.col("word"))).alias(p) for p in ("given", "family")])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none: list = []
+        for pdf in parts:
+            rows = []
+            for s, r, t, g, f in zip(pdf["src"], pdf["row_id"], pdf["text"], pdf["given"], pdf["family"]):
+                rows += _row_mentions(Finder(set(none if g is None else g), set(none if f is None else f)), s, r, t)
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    return keyed.drop("words").join(per, ["src", "row_id", "hash"], "left").select("src", "row_id", "text", "given", "family").mapInPandas(run, MENTION)
 
 
 def _patterns(df: DataFrame, extra: list) -> DataFrame:
-    """df exploded into its patterns: both sides' words and their join with the shape."""
+    """df exploded into its patterns: the word before, the words on either side, and one of each."""
     left, right = F.concat(F.lit("L "), "l2"), F.concat(F.lit("R "), "r2")
     both = F.concat(F.lit("B "), F.element_at(F.split("l2", " "), -1), F.lit(" _ "), F.element_at(F.split("r2", " "), 1))
     near = F.element_at(F.split("l2", " "), -1)
@@ -318,7 +355,7 @@ def resolve(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         against = _patterns(open_.filter("fam = 'name' and shape = 'other'"), ["fam", F.lit("").alias("kind"), "n"]).groupBy("fam", "pattern", "kind").agg(F.sum("n").alias("n"))
         votes = votes.unionByName(against)
         best = votes.groupBy("fam", "pattern").agg(F.sum("n").alias("all"), F.max(F.struct("n", "kind")).alias("top"))
-        good = best.filter((F.col("top.kind") != "") & (F.col("top.n") >= SUPPORT) & (F.col("top.n") / F.col("all") >= CONFIDENCE)).select("fam", "pattern", F.col("top.kind").alias("kind"), F.col("top.n").alias("w"))
+        good = cut(best.filter((F.col("top.kind") != "") & (F.col("top.n") >= SUPPORT) & (F.col("top.n") / F.col("all") >= CONFIDENCE)).select("fam", "pattern", F.col("top.kind").alias("kind"), F.col("top.n").alias("w")))
         hits = _patterns(open_, ["fam", "l2", "r2", "shape", "key", "n"]).join(small(good), ["fam", "pattern"])
         by_kind = hits.groupBy("fam", "l2", "r2", "shape", "key", "kind").agg(F.sum("w").alias("w"), F.max("n").alias("n"), F.count("*").alias("ways"))
         top = by_kind.groupBy("fam", "l2", "r2", "shape", "key").agg(F.max(F.struct("w", "kind", "ways", "n")).alias("v"))
@@ -345,9 +382,15 @@ def find_personal_data(texts: DataFrame, senders: DataFrame, rounds: int = ROUND
         .agg(F.count("*").alias("n"))
     )
     answer = resolve(cut(contexts), rounds)
-    opened = m.filter("state = 'open'").withColumn("fam", fam).withColumn("key", F.when(F.col("kind") == "name", F.col("key")).otherwise("")).drop("kind")
-    opened = opened.join(answer, ["fam", "l2", "r2", "shape", "key"]).select("src", "row_id", "kind", "start", "end")
-    return m.filter("state != 'open'").select("src", "row_id", "kind", "start", "end").unionByName(opened)
+    opened = m.filter("state = 'open'").withColumn("fam", fam).withColumnRenamed("key", "instance").withColumn("key", F.when(F.col("kind") == "name", F.col("instance")).otherwise("")).drop("kind")
+    opened = cut(opened.join(small(answer), ["fam", "l2", "r2", "shape", "key"], "left").select("src", "row_id", "fam", "instance", "kind", "start", "end"))
+    # numbers known by form or context in one row are known in all
+    told = m.filter("state = 'seed' and kind != 'name'").select(F.col("key").alias("instance"), "kind").unionByName(opened.filter("fam = 'number' and kind is not null").select("instance", "kind"))
+    told = told.groupBy("instance", "kind").agg(F.count("*").alias("n")).groupBy("instance").agg(F.sum("n").alias("all"), F.max(F.struct("n", "kind")).alias("top"))
+    told = told.filter(F.col("top.n") / F.col("all") >= CONFIDENCE).select("instance", F.col("top.kind").alias("known"))
+    again = opened.filter("fam = 'number' and kind is null").join(told, "instance").select("src", "row_id", F.col("known").alias("kind"), "start", "end")
+    named = opened.filter("kind is not null").select("src", "row_id", "kind", "start", "end")
+    return m.filter("state != 'open'").select("src", "row_id", "kind", "start", "end").unionByName(named).unionByName(again)
 
 
 def redact(texts: DataFrame, senders: DataFrame) -> DataFrame:

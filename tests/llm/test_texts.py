@@ -198,3 +198,22 @@ def test_personal_data(spark):
     red = {r["row_id"]: r["redacted"] for r in D.redact(df, senders).collect()}
     assert red[0] == "manda para [EMAIL] já" and not any(v is None for v in red.values())
     assert D.find_personal_data(df.limit(0), senders.limit(0)).count() == 0
+
+
+def test_seed_words_broadcast_or_joined(spark):
+    names = [(f"{g} {f}",) for g in ("Elisa", "Igor", "Graça") for f in ("Tormirra", "Velquito", "Norbique")]
+    senders = spark.createDataFrame(names, "who string")
+    lines = ["falei com Igor ontem", "avisa elisa tormirra que atrasou", "a conta é de el\ufffdsa", "GraÃ§a Velquito veio; ana@b.com", "quem viu Elisa Norbique e Igor?", "que sem graça", "Tormirra 55 123"]
+    texts = spark.createDataFrame([("parsed", k, t) for k, t in enumerate(lines * 2)] + [("parsed", 0, "outro Igor")], "src string, row_id long, text string")
+    seeds = D.cut(D.seed_words(senders))
+    whole = sorted(map(str, D.mentions(texts, seeds).collect()))
+    assert len(whole) > 10
+    for most in (0, 3):
+        assert sorted(map(str, D.mentions(texts, seeds, most).collect())) == whole
+
+
+def test_a_number_known_in_one_row_is_known_in_all(spark):
+    lines = ["o CPF é 89515865532 viu"] * 3 + ["o CPF é 895.158.655-32 viu"] * 3 + ["vai 89515865532 sim", "vai 99915865532 sim"]
+    texts = spark.createDataFrame([("parsed", k, t) for k, t in enumerate(lines)], "src string, row_id long, text string")
+    got = {(r["row_id"], r["kind"]) for r in D.find_personal_data(texts, spark.createDataFrame([], "who string")).collect()}
+    assert got == {(k, "id_number") for k in range(7)}
