@@ -217,3 +217,58 @@ def test_a_number_known_in_one_row_is_known_in_all(spark):
     texts = spark.createDataFrame([("parsed", k, t) for k, t in enumerate(lines)], "src string, row_id long, text string")
     got = {(r["row_id"], r["kind"]) for r in D.find_personal_data(texts, spark.createDataFrame([], "who string")).collect()}
     assert got == {(k, "id_number") for k in range(7)}
+
+
+def test_wrapped_to_any_width():
+    words = "a obra do telhado da vizinha parou porque a chuva voltou sem avisar e ninguém trouxe a lona que estava na garagem desde o mês passado".split()
+    flat = (" ".join(words) + ". ") * 3
+    flat = flat.replace(". a", ". A").strip()
+    flat = flat[0].upper() + flat[1:]
+    got = lambda t: [" ".join(t[a:b].split()) for a, b in N.Splitter().sentences(t)]
+    for width in (24, 40, 49, 72, 131, 200):
+        assert len(got(textwrap.fill(flat, width))) == 3, width
+    chat = "chego às 9:40, me espera\npor que não avisaram?\nok\nrosa ou azul?"
+    assert len(got(chat)) == 4
+    ja = "記録によると段を数えた人は倉庫にいました。今夜受付で待ちますと言いました。明日の朝また来るそうです。"
+    assert len(got("\n".join(ja[k : k + 9] for k in range(0, len(ja), 9)))) == 3
+    assert len(got("请带54个合同副本\n请在会议室等我吧\n请带61个走廊灯泡\n请在院子等我吧好")) == 4
+
+
+def test_long_thai_runs_and_opening_words():
+    s = N.Splitter({"ประตูโรงรถ", "เครื่องสูบน้ำ"})
+    got = lambda t: [t[a:b] for a, b in s.sentences(t)]
+    long = "ใครเห็นประตูโรงรถ" * 40
+    assert got(f"{long}ไหมคะ เราได้รับแล้วครับ") == [f"{long}ไหมคะ", "เราได้รับแล้วครับ"]
+    assert got("เครื่องสูบน้ำเสียแล้ว แต่ประตูโรงรถไม่เสีย") == ["เครื่องสูบน้ำเสียแล้ว", "แต่ประตูโรงรถไม่เสีย"]
+    assert len(got("เครื่องสูบน้ำเสียแล้ว ประตูโรงรถไม่เสีย")) == 1
+    assert got("「もう言いました。」とても静かでした。") == ["「もう言いました。」とても静かでした。"]
+
+
+def test_corpus_dictionary(spark):
+    texts = [(k, f"{a}{b}{c}") for k, (a, b, c) in enumerate((a, b, c) for a in ("倉庫", "受付", "会議室") for b in ("修理", "契約書") for c in ("確認", "連絡", "準備"))]
+    got = {r["word"] for r in N.corpus_dictionary(spark.createDataFrame(texts, "doc_id long, text string"), count=4, neighbours=2).collect()}
+    assert {"修理", "契約書", "確認", "倉庫"} <= got and not {"庫修", "書確", "理確認"} & got
+
+
+def test_lattice_path_is_the_best_of_all():
+    import itertools
+
+    rng = random.Random(2)
+    s = N.Splitter()
+    for _ in range(200):
+        p = "".join(rng.choice(["Ana", "b", "Dr", "etc", "A", " ", " ", ". ", "! ", "(", ")", '"', "9"]) for _ in range(rng.randint(3, 22))) + "Z"
+        nodes = list(s._nodes(p, 0))
+        if len(nodes) > 9:
+            continue
+
+        def value(cuts, p=p, nodes=nodes):
+            total, at = 0.0, 0
+            for j, score, bracket in [*(n for n in nodes if n[0] in cuts), (len(p), 0.0, -1)]:
+                if bracket >= 0 and (at > bracket or p[at:bracket].strip()):
+                    return N.BROKEN
+                total += score + (0.0 if bracket >= 0 or any(c.isalnum() for c in p[at:j]) else N.NO_WORD)
+                at = j
+            return total
+
+        best = max(value({j for j, _, _ in part}) for n in range(len(nodes) + 1) for part in itertools.combinations(nodes, n))
+        assert abs(value(set(s.boundaries(p, 0))) - best) < 1e-9, p
