@@ -62,11 +62,11 @@ def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return encodings.found(read(spark, d, "parsed"))
+    return encodings.found(read(spark, d, "parsed"), read(spark, d, "archives"))
 
 
 def p5_restored(spark: SparkSession, d: str) -> DataFrame:
-    return encodings.restore(read(spark, d, "parsed"))
+    return encodings.restore(read(spark, d, "parsed"), archives=read(spark, d, "archives"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

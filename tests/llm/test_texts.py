@@ -52,6 +52,26 @@ def test_lone_leads_are_found(spark):
     assert got[4]["restored"] == "a saída fica ao lado" and not got[0]["complete"] and not got[3]["complete"]
 
 
+def test_wildcards_keep_the_lead_byte(spark):
+    """A lone lead byte tells which block the lost letter is of: not the most frequent word, but the one that fits."""
+    clean = [(k, "x", t) for k, t in enumerate(["o pœo veio"] * 9 + ["o pão veio"] * 3 + ["a maçã ficou"] * 3)]
+    rows = [*clean, (100, "x", "o p\u00c3o veio"), (101, "x", "o p\ufffdo veio"), (102, "x", "o p\u00c5o veio")]
+    got = {r["row_id"]: r["restored"] for r in E.restore(spark.createDataFrame(rows, "row_id long, source_zip string, content string")).collect()}
+    assert got[100] == "o pão veio" and got[101] == got[102] == "o pœo veio"
+    import re as _re
+
+    assert _re.match(E.wildcard_pattern("p" + chr(E.LEAD + 0xC3) + "o").replace("\\x{c0}", "\u00c0").replace("\\x{ff}", "\u00ff"), "pão")
+
+
+def test_stated_encoding_and_repeated_ids(spark):
+    rows = [(k, "bad", f"Ã¡rea {k}") for k in range(3)] + [(100 + k, "good", "área limpa") for k in range(200)] + [(500, "bad", "b Ã£"), (500, "bad", "a Ã£"), (501, None, "Ã£ sem arquivo")]
+    archives = spark.createDataFrame([("bad", "latin-1"), ("bad", None), ("good", "utf-8")], "source_zip string, encoding string")
+    df = spark.createDataFrame(rows, "row_id long, source_zip string, content string")
+    got = {r["row_id"]: r["restored"] for r in E.restore(df, archives=archives).collect()}
+    assert got[0] == "área 0" and {0, 1, 2} <= set(got) and not set(range(100, 300)) & set(got) and got.get(500) in (None, "a ã", "a Ã£")
+    assert E.restore(df.limit(0), archives=archives).count() == 0
+
+
 def test_long_token_is_linear():
     assert E.repair("Ã£" * 20_000, {"ã": -1.0}, -12.0)[0] == "ã" * 20_000
 
