@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import INVISIBLE, WS, is_ascii
-from chatloom.session import cut, small
+from chatloom.session import apart, cut, small
 
 DEFAULT_ZONE = "America/Sao_Paulo"
 DEFAULT_ORDER = "DD/MM"
@@ -113,13 +113,14 @@ def slash_orders(rows: DataFrame, key: str = "source_zip", ts: str = "timestamp"
     """
     pattern, layout = next((x, "$1|$2|$3") for n, x, _ in PATTERNS if n == "slash")
     t = _clean(F.col(ts))
-    dated = rows.filter(F.contains(ts, F.lit("/"))).select(F.col(key), t.alias("t")).filter(F.col("t").rlike(pattern))
-    p = dated.select(key, F.split(F.regexp_replace("t", pattern, layout), r"\|").alias("p"))
+    dated = rows.filter(F.contains(ts, F.lit("/"))).select(F.col(key), t.alias("t"))
+    # null where the pattern doesn't match: casts may be evaluated before any filter
+    p = dated.select(key, F.split(F.when(F.col("t").rlike(pattern), F.regexp_replace("t", pattern, layout)), r"\|").alias("p"))
     at = lambda i: F.get("p", F.lit(i)).cast("int")
-    p = p.select(key, at(0).alias("a"), at(1).alias("b"), F.when(F.length(F.get("p", F.lit(2))) <= 2, at(2) + 2000).otherwise(at(2)).alias("y"))
-    a, b, y = F.col("a"), F.col("b"), F.col("y")
-    p = p.select(key, _possible(y, b, a).alias("dm"), _possible(y, a, b).alias("md")).filter("dm or md")
-    return p.groupBy(key).agg(F.bool_and("dm").alias("dm"), F.bool_and("md").alias("md"))
+    p = apart(p.select(key, at(0).alias("a"), at(1).alias("b"), F.when(F.length(F.get("p", F.lit(2))) <= 2, at(2) + 2000).otherwise(at(2)).alias("y")))
+    p = apart(p.select(key, _possible(F.col("y"), F.col("b"), F.col("a")).alias("dm"), _possible(F.col("y"), F.col("a"), F.col("b")).alias("md")))
+    one = lambda c: F.bool_and(F.when(F.col("dm") | F.col("md"), F.col(c))).alias(c)
+    return p.groupBy(key).agg(one("dm"), one("md")).filter("dm is not null")
 
 
 def _possible(y: Column, m: Column, d: Column) -> Column:
@@ -174,6 +175,7 @@ def normalize_timestamps(
     votes = slash_orders(df if evidence is None else evidence, key, ts) if orders is None else orders
     votes = votes.select(F.col(key).alias(f"{p}k"), F.col("dm").alias(f"{p}dm"), F.col("md").alias(f"{p}md"))
     df = df.withColumn(f"{p}t", _clean(F.col(ts))).withColumn(f"{p}f", _fields(F.col(f"{p}t")))
+    df = apart(df)
     f = lambda name: F.col(f"{p}f")[0 if name == "form" else ROLES.index(name) + 1]
     zones = valid_zones(df.sparkSession)
 
@@ -214,6 +216,7 @@ def normalize_timestamps(
     fits = _possible(y, m, d) & hh.between(0, 23) & mm.between(0, 59) & ss.between(0, 59)
     days = F.datediff(F.make_date(y, m, d), F.lit("1970-01-01").cast("date")).cast("bigint")
     df = df.withColumn(f"{p}local", F.when(fits, days * 86400 + hh * 3600 + mm * 60 + ss))
+    df = apart(df)
     secs = F.col(f"{p}local")
     zone = F.when(F.col(f"{p}known"), F.col(f"{p}zone")).otherwise(F.lit(default_zone))
     by_zone = F.when(zone.isNotNull(), F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(secs), zone)))

@@ -38,6 +38,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df behind an operator that takes no part in code generation, so that what comes before and after
+    it becomes methods of its own. The JVM compiles no method of more than 8,000 bytes, and long
+    projections that are fused into one run interpreted. Partitions stay as they are."""
+    return df.coalesce(1 << 30)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
