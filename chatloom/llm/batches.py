@@ -154,22 +154,30 @@ def text_rows(parsed: DataFrame) -> DataFrame:
     return parsed.filter("type = 'text' and row_id is not null and batch_no is not null").select(*ROW)
 
 
-def message_rows(texts: DataFrame, archives: DataFrame, options: DataFrame, *, evidence: DataFrame | None = None, orders: DataFrame | None = None) -> DataFrame:
-    """Text rows with scope and class_id; rows without sender, time or chat are left out."""
-    rows = with_content(with_scope(texts, evidence, archives, options, orders=orders))
+def scoped_rows(texts: DataFrame, archives: DataFrame, options: DataFrame, *, evidence: DataFrame | None = None, orders: DataFrame | None = None) -> DataFrame:
+    """Text rows with scope; rows without sender, time or chat are left out."""
+    return cut(with_scope(texts, evidence, archives, options, orders=orders).select("row_id", "batch_no", "scope", "content")).filter("scope is not null")
+
+
+def message_rows(scoped: DataFrame) -> DataFrame:
+    """scoped_rows with class_id and what it stands for."""
+    rows = with_content(scoped)
     rows = rows.withColumn("class_id", F.xxhash64("scope", "letters", F.col("denials"), F.col("is_cut"))).select(
         "row_id", "batch_no", "scope", "letters", "digits", "denials", "is_cut", "class_id"
     )
-    return cut(rows).filter("scope is not null")
+    return cut(rows)
 
 
 def find_repeats(parsed: DataFrame, archives: DataFrame, options: DataFrame) -> DataFrame:
     """row_id_a, row_id_b for every text row that repeats a message of an earlier batch.
 
     All batches are looked up at once: each class that a later batch holds looks for classes seen
-    before it, those of batch 0 too.
+    before it, those of batch 0 too. A scope that only one batch holds can repeat nothing, so its
+    contents are not looked at.
     """
-    rows = message_rows(text_rows(parsed), archives, options, evidence=parsed)
+    scoped = scoped_rows(text_rows(parsed), archives, options, evidence=parsed)
+    spans = scoped.groupBy("scope").agg(F.min("batch_no").alias("lo"), F.max("batch_no").alias("hi")).filter("lo < hi").select("scope")
+    rows = message_rows(scoped.join(small(cut(spans)), "scope", "left_semi"))
     cls = cut(classes(rows))
     best = match(cls.filter("last_batch > 0"), cls)
     own = cls.filter("last_batch > 0").select("class_id", "last_batch", F.struct("batch", "row_id").alias("own")).join(best, "class_id", "left")
@@ -226,7 +234,7 @@ def ingest_batch(batch: DataFrame, history: History | None, archives: DataFrame,
     old = history.held if history is not None else spark.createDataFrame([], texts.schema)
     both = cut(texts.withColumn("is_new", F.lit(True)).unionByName(old.withColumn("is_new", F.lit(False))).withColumn("open", F.contains(F.coalesce("timestamp", F.lit("")), F.lit("/"))))
     both = cut(both.join(small(undecided.withColumn("u", F.lit(True))), "source_zip", "left").withColumn("held", F.col("open") & F.col("u").isNotNull()).drop("u", "open"))
-    rows = message_rows(both.select(*ROW), archives, options, orders=orders)
+    rows = message_rows(scoped_rows(both.select(*ROW), archives, options, orders=orders))
     flags = both.select("row_id", "is_new", "held")
     rows = cut(rows.join(flags, "row_id"))
     cls = cut(classes(rows.filter("is_new")))

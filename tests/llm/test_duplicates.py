@@ -104,13 +104,13 @@ def test_one_scope_with_many_texts(spark):
         rows.append((100 + k, 1, "z", T, "a", [t[:i] + t[i + 1 :], t[:i] + "q" + t[i:], t[: max(5, len(t) // 2)] + "…", t[:7] + "…", t.upper()][k % 5]))
     p, a, o = tables(spark, rows)
     got = {tuple(r) for r in B.find_repeats(p, a, o).collect()}
-    c = B.with_fingerprints(B.classes(B.message_rows(B.text_rows(p), a, o, evidence=p)))
+    c = B.with_fingerprints(B.classes(B.message_rows(B.scoped_rows(B.text_rows(p), a, o, evidence=p))))
     x, y = c.alias("n"), c.alias("i")
     pairs = x.crossJoin(y).filter("n.class_id != i.class_id").filter(B.same_text("n", "i")).select("n.class_id", "i.class_id", "i.batch", "i.row_id").collect()
     best = {r["class_id"]: (r["batch"], r["row_id"]) for r in c.collect()}
     for n, _, batch, row in pairs:
         best[n] = min(best[n], (batch, row))
-    of = {r["row_id"]: (r["class_id"], r["batch_no"]) for r in B.message_rows(B.text_rows(p), a, o, evidence=p).collect()}
+    of = {r["row_id"]: (r["class_id"], r["batch_no"]) for r in B.message_rows(B.scoped_rows(B.text_rows(p), a, o, evidence=p)).collect()}
     assert got == {(best[k][1], r) for r, (k, b) in of.items() if b > best[k][0]} and len(got) > 40
 
 
