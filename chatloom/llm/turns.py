@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.text import INVISIBLE, fold_accents, is_ascii
 from chatloom.operators.ordering import last_before
-from chatloom.session import cut, small
+from chatloom.session import BROADCAST_ROWS, apart, cut, small
 
 #: Seconds of a slice.
 SLICE_S = 600.0
@@ -113,16 +113,22 @@ def clean_utterances(utts: DataFrame, with_text: bool = True) -> DataFrame:
     u = u.withColumn("front", F.nullif(front, F.lit("")))
     bare = F.regexp_replace(F.trim("front"), r"^\[|\]$|\s*(?::|[-–—])$", "")
     u = u.withColumn("front_key", F.when(F.col("front").isNotNull(), label_key(bare)))
-    labels = utts.select("speaker").distinct().select(label_key(F.col("speaker")).alias("key")).distinct()
-    known = labels.filter(F.col("key").isNotNull() & (F.col("key") != UNKNOWN)).select(F.col("key").alias("join_key"), F.lit(True).alias("is_label"))
+    # few spellings make many rows: each is worked out once
+    labels = cut(utts.select("speaker").filter("speaker is not null").distinct().withColumn("key", label_key(F.col("speaker"))))
+    known = labels.select("key").distinct().filter(F.col("key").isNotNull() & (F.col("key") != UNKNOWN)).select(F.col("key").alias("join_key"), F.lit(True).alias("is_label"))
     # utterances without a front label must not meet in one task
     u = u.withColumn("join_key", F.coalesce("front_key", F.concat(F.lit("\0"), F.col("utt_id").cast("string")))).join(small(cut(known)), "join_key", "left")
     labelled = F.col("front_key").isNotNull() & (F.col("front_key").startswith("#") | F.coalesce("is_label", F.lit(False)))
-    u = u.withColumn("labelled", labelled).withColumn("own", label_key(F.col("speaker")))
+    if labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        u = u.join(F.broadcast(labels.withColumnRenamed("key", "own")), "speaker", "left")
+    else:  # a join that isn't a broadcast would gather the rows of a common label
+        u = u.withColumn("own", label_key(F.col("speaker")))
+    u = u.withColumn("labelled", labelled)
     u = u.withColumn("label", F.coalesce("own", F.when(F.col("labelled"), F.col("front_key")), F.lit(UNKNOWN)))
     u = u.withColumn("body", F.when(F.col("labelled"), F.substring("rest", F.length("front") + 1, F.length("rest"))).otherwise(F.col("rest")))
     u = u.withColumn("body", F.when(F.col("body").rlike(r"[\[<*(♪♫♬♩]"), F.regexp_replace("body", _ANNOTATION, " ")).otherwise(F.col("body")))
 
+    u = apart(u)
     u = u.withColumn("low", F.lower("body")).withColumn("low", fold_accents(F.col("low"))).withColumn("low", F.regexp_replace("low", r"[^\p{L}\p{M}\p{N}]+", " "))
     sound = rf"(?:^| )(?:{HESITATIONS} )*{HESITATIONS}(?= |$)"
     u = u.withColumn("words", F.trim(F.regexp_replace("low", sound, " ")))
