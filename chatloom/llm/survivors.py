@@ -15,19 +15,21 @@ also for a group that holds a third of all rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import INVISIBLE, WS, fold_accents
 from chatloom.llm.scopes import with_scope
-from chatloom.session import cut
+from chatloom.session import BROADCAST_ROWS, cut
 
 #: Beta priors of sensitivity and of specificity: (successes, failures). A list of files seldom holds
 #: a file that isn't there, but lacks many, as exports leave media out.
 SENSITIVITY, SPECIFICITY, PRIOR = (4.0, 2.0), (9.0, 1.0), 0.5
 LIST_SENSITIVITY, LIST_SPECIFICITY = (1.0, 1.0), (999.0, 1.0)
 #: The model has settled when no probability moves by more than this; at the latest after ROUNDS.
-TOLERANCE, ROUNDS = 0.01, 12
+TOLERANCE, ROUNDS = 0.02, 8
 LIST = "\0list"
 #: Letters that a caption cut short must hold to count as a copy of a longer one.
 HEAD = 12
@@ -98,33 +100,39 @@ def truths(claims: DataFrame, coverage: DataFrame, rounds: int = ROUNDS, toleran
     pick = lambda lst, msg, i: F.when(F.col("source").endswith(LIST), lst[i]).otherwise(msg[i])
     se = [pick(LIST_SENSITIVITY, SENSITIVITY, i) for i in (0, 1)]
     sp = [pick(LIST_SPECIFICITY, SPECIFICITY, i) for i in (0, 1)]
-    names = cut(coverage.select("source").distinct())
-    sources = names.select("source", (se[0] / (se[0] + se[1])).alias("sens"), (sp[0] / (sp[0] + sp[1])).alias("spec"))
-    values, key = None, ["group_id", "field"]
+    # the rounds go over digests of 16 bytes in place of names and captions
+    digest = lambda *c: F.unhex(F.md5(F.concat_ws("\0", *c)))
+    said_rows = cut(claims.select(digest("group_id", "field").alias("g"), digest("value").alias("v"), digest("source").alias("s")))
+    could_rows = cut(coverage.select(digest("group_id", "field").alias("g"), digest("source").alias("s")))
+    names = cut(coverage.select("source").distinct().withColumn("s", digest("source")))
+    sources = cut(names.select("s", "source", (se[0] / (se[0] + se[1])).alias("sens"), (sp[0] / (sp[0] + sp[1])).alias("spec")))
+    sent = F.broadcast if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda x: x
+    odds, z, values = math.log(PRIOR / (1 - PRIOR)), F.lit(0.0), None
     for _ in range(rounds):
         silent = F.log((1 - F.col("sens")) / F.col("spec"))
         spoken = F.log(F.col("sens") / (1 - F.col("spec")))
-        base = coverage.join(sources, "source").groupBy(*key).agg(F.sum(silent).alias("base"))
-        said = claims.join(sources, "source").groupBy(*key, "value").agg(F.sum(spoken - silent).alias("said"))
-        post = 1 / (1 + F.exp(-(F.log(F.lit(PRIOR / (1 - PRIOR))) + F.col("base") + F.col("said"))))
-        now = said.join(base, key).select(*key, "value", post.alias("p"))
+        weights = sent(sources.select("s", silent.alias("silent"), (spoken - silent).alias("extra")))
+        base = could_rows.join(weights, "s").groupBy("g").agg(F.sum("silent").alias("base"))
+        said = said_rows.join(weights, "s").groupBy("g", "v").agg(F.sum("extra").alias("said"))
+        post = 1 / (1 + F.exp(-(F.lit(odds) + F.col("base") + F.col("said"))))
+        now = said.join(base, "g").select("g", "v", post.alias("p"))
         was = F.lit(0.0) if values is None else F.col("was")
-        now = now if values is None else now.join(values.select(*key, "value", F.col("p").alias("was")), [*key, "value"])
-        values = cut(now.select(*key, "value", "p", F.abs(F.col("p") - was).alias("moved")))
-        mass = values.groupBy(*key).agg(F.sum("p").alias("true_mass"), F.sum(1 - F.col("p")).alias("false_mass"))
-        could = coverage.join(mass, key).groupBy("source").agg(F.sum("true_mass").alias("t"), F.sum("false_mass").alias("f"))
-        did = claims.join(values, [*key, "value"]).groupBy("source").agg(F.sum("p").alias("dt"), F.sum(1 - F.col("p")).alias("df"))
-        z = F.lit(0.0)
+        now = now if values is None else now.join(values.select("g", "v", F.col("p").alias("was")), ["g", "v"])
+        values = cut(now.select("g", "v", "p", F.abs(F.col("p") - was).alias("moved")))
+        mass = values.groupBy("g").agg(F.sum("p").alias("true_mass"), F.sum(1 - F.col("p")).alias("false_mass"))
+        could = could_rows.join(mass, "g").groupBy("s").agg(F.sum("true_mass").alias("t"), F.sum("false_mass").alias("f"))
+        did = said_rows.join(values, ["g", "v"]).groupBy("s").agg(F.sum("p").alias("dt"), F.sum(1 - F.col("p")).alias("df"))
         sources = cut(
-            names.join(could, "source", "left").join(did, "source", "left").select(
-                "source",
+            names.join(could, "s", "left").join(did, "s", "left").select(
+                "s", "source",
                 clip((F.coalesce("dt", z) + se[0]) / (F.coalesce("t", z) + se[0] + se[1])).alias("sens"),
                 clip(1 - (F.coalesce("df", z) + sp[1]) / (F.coalesce("f", z) + sp[0] + sp[1])).alias("spec"),
             )
         )
         if (values.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
             break
-    return values.drop("moved"), sources
+    known = claims.select("group_id", "field", "value").distinct().withColumns({"g": digest("group_id", "field"), "v": digest("value")})
+    return known.join(values, ["g", "v"]).select("group_id", "field", "value", "p"), sources.drop("s")
 
 
 def _best(rows: Column, *order: Column, value: str = "row_id") -> Column:
