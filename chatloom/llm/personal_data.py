@@ -73,6 +73,7 @@ _FILLER = re.compile(rf"(?iu)(?<=[\s,;.!?:]){WRITTEN}(?:\.\.\.|[,…])?\s+(?=\S)
 _WORD = re.compile(rf"[^\W\d_](?:[\w'’{LOST}]|-(?=\w))*|{LOST}[\w{LOST}]*")
 _INVIS = re.compile(f"[{INVISIBLE}]")
 _MARKS = re.compile("[\u0300-\u036f]")
+_ODD = re.compile(f"[{INVISIBLE}\u0300-\u036f]")
 #: Words of a context: two letters or more, so that a lost letter doesn't make another context.
 _CONTEXT = re.compile(r"[^\W_]{2,}")
 
@@ -115,7 +116,10 @@ def _prepare(text: str, fillers: bool = True) -> tuple[str, list[int] | None]:
     for m in re.finditer(r"[ \n\r\t]+|[^ \n\r\t]+", text):
         piece, base = m[0], m.start()
         fixed = piece if not _MOJIBAKE.search(piece) else _mended(piece) if len(piece) < 500 else repair(piece, {}, -12.0, 2)[0]
-        if fixed != piece:
+        if fixed == piece and (piece.isascii() or not _ODD.search(piece)):
+            out.append(piece)
+            at += range(base, base + len(piece))
+        elif fixed != piece:
             n, k = len(piece), len(fixed)
             out.append(fixed)
             at += [base + i * n // k for i in range(k)]
