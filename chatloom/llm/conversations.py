@@ -193,7 +193,7 @@ def drop_reasons(contacts: DataFrame, messages: DataFrame, gap: int | None = Non
     Sessions carry who spoke; a contact has replies if its sessions together have two senders.
     Rows without a readable time are in no session, so their senders are added directly.
     """
-    return _reasons(contacts, cut(distinct_messages(messages)), gap)
+    return _reasons(contacts, cut(distinct_messages(messages).drop("message_id", "source_zip")), gap)
 
 
 def _reasons(contacts: DataFrame, rows: DataFrame, gap: int | None) -> DataFrame:
