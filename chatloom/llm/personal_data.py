@@ -33,6 +33,8 @@ from chatloom.session import cut, small
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.9, 2
 #: Up to so many seed words are broadcast; more are joined with the texts' words.
 SEED_WORDS = 200_000
+#: Texts of up to so many characters often recur; the mentions of so many of them are kept per task.
+KEPT_CHARS, KEPT = 300, 1 << 14
 MENTION = "src string, row_id long, kind string, state string, shape string, l2 string, r2 string, key string, start int, end int"
 
 # How at-sign and dot are spoken or hidden.
@@ -59,45 +61,64 @@ _STOP = r"(?:in|the|on|of|at|to|from|by|for|people|and|a|is|are|was|over|down|up
 ADDRESS_AFTER = re.compile(rf"(?<![\w.,:/-])\d{{1,5}}(?:\s+(?!{_STOP}\b)[^\W\d_][\w'’-]*){{1,3}}\s+{_AFTER}\b\.?", re.I)
 
 _NUMBER = re.compile(r"(?<![\w./:,@-])(?:\+\s?)?\(?\d(?:[\d]|[  .\-()]{1,2}(?=[\d(])){5,20}\d(?:-?[A-Za-z](?!\w))?(?![\w/:]|[.,-]\d)|(?<![\w./:,@-])[A-Za-z]{1,3}-?\d{6,9}(?:-?[A-Za-z])?(?![\w/:]|[.,-]\d)")
-_SURE = (
-    ("phone", re.compile(r"^\+\s?\d[\d .()\- ]{6,}$")),
-    ("phone", re.compile(r"^\(\d{2,3}\) ?\d{3,5}[-. ]?\d{4}$")),
-    ("id_number", re.compile(r"^\d{3}\.\d{3}\.\d{3}-\d{2}$")),
-    ("id_number", re.compile(r"^\d{1,2}\.\d{3}\.\d{3}-[\dXx]$")),
-    ("id_number", re.compile(r"^\d{8}-?[A-Za-z]$")),
-    ("id_number", re.compile(r"^[XYZxyz]-?\d{7}-?[A-Za-z]$")),
-    ("id_number", re.compile(r"^[A-Za-z]{1,2}\d{6,8}$")),
+_SURE = re.compile(
+    r"(?P<phone>^\+\s?\d[\d .()\- ]{6,}$|^\(\d{2,3}\) ?\d{3,5}[-. ]?\d{4}$)"
+    r"|(?P<id_number>^\d{3}\.\d{3}\.\d{3}-\d{2}$|^\d{1,2}\.\d{3}\.\d{3}-[\dXx]$|^\d{8}-?[A-Za-z]$|^[XYZxyz]-?\d{7}-?[A-Za-z]$|^[A-Za-z]{1,2}\d{6,8}$)"
 )
+_CURRENCY = re.compile(r"[$€£]\s?$")
+_GAP, _DIGITS, _LETTERS = re.compile(r"\W+"), re.compile(r"\d"), re.compile(r"[A-Za-z]")
 _MOJIBAKE = re.compile(r"[ÃÂâðÐГВвр├┬Γ≡√][^\x00-\x7f]")
 _FILLER = re.compile(rf"(?iu)(?<=[\s,;.!?:]){WRITTEN}(?:\.\.\.|[,…])?\s+(?=\S)|^(?:{WRITTEN})(?:\.\.\.|[,…])?\s+")
-_WORD = re.compile(rf"[^\W\d_](?:[\w'’{LOST}]|-(?=\w))*|{LOST}[\w{LOST}]*")
+_WORD = re.compile(rf"[^\W\d_][\w'’{LOST}]*(?:-(?=\w)[\w'’{LOST}]*)*|{LOST}[\w{LOST}]*")
 _INVIS = re.compile(f"[{INVISIBLE}]")
 _MARKS = re.compile("[\u0300-\u036f]")
 _ODD = re.compile(f"[{INVISIBLE}\u0300-\u036f]")
+#: Without one of these neither _MOJIBAKE nor _INVIS nor _MARKS has a hit.
+_SUSPECT = re.compile(f"[ÃÂâðÐГВвр├┬Γ≡√{INVISIBLE}\u0300-\u036f]")
 #: Words of a context: two letters or more, so that a lost letter doesn't make another context.
 _CONTEXT = re.compile(r"[^\W_]{2,}")
+_PIECE = re.compile(r"[ \n\r\t]+|[^ \n\r\t]+")
 
 
-def _fold_table() -> dict[int, str | None]:
+def _fold_table() -> dict[str, str]:
     """Base letters of accented Latin letters, by canonical decomposition; combining marks vanish."""
-    out: dict[int, str | None] = dict.fromkeys(range(0x300, 0x370))
+    out = dict.fromkeys(map(chr, range(0x300, 0x370)), "")
     for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         base = unicodedata.normalize("NFD", chr(cp))[0]
         if base.isascii():
-            out[cp] = base.lower()
+            out[chr(cp)] = base.lower()
     return out
 
 
 _TABLE = _fold_table()
 _TOKEN = re.compile(rf"[^\W_{LOST}]+|[{LOST}\w]*{LOST}[{LOST}\w]*")
-_UPPER = re.compile(rf"(?<!\w)[^\W\d_a-zß-öø-ÿ]\w|{LOST}")
-_LONG_NUMBER = re.compile(r"\d(?:[\s.()\-]{0,2}\d){5}|\d{6}")
+#: The same tokens where no letter is lost and no underscore stands.
+_PLAIN_TOKEN = re.compile(r"\w+")
+_WIDE = re.compile(r"[^\x00-\x7f]")
+#: A word that begins with a letter not known to be small; the look back comes last, so that the search can skip.
+_UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ](?<!\w.)\w")
+_LONG_NUMBER = re.compile(r"\d(?:[\s.()\-]{0,2}\d){5}")
 _STREET_TOKENS = set("rua r avenida av avda alameda al travessa tv praca largo estrada rodovia calle c paseo plaza carrer camino carretera street st road rd avenue ave lane ln drive boulevard blvd court ct square terrace way place pl strasse".split())
 _AT_TOKENS = {"arroba", "at"}
 
 
 def _fold(s: str) -> str:
-    return s.lower() if s.isascii() else s.lower().translate(_TABLE)
+    s = s.lower()
+    if not s.isascii():
+        # few different ones stand in a text, so this takes less than translate()
+        for c in _TABLE.keys() & _WIDE.findall(s):
+            s = s.replace(c, _TABLE[c])
+    return s
+
+
+#: Words and contexts recur, so their folded forms are kept per worker.
+_folded = lru_cache(maxsize=1 << 16)(_fold)
+
+
+def _tokens(t: str) -> set[str]:
+    """The folded tokens of a text."""
+    folded = _fold(t)
+    return set((_TOKEN if LOST in folded or "_" in folded else _PLAIN_TOKEN).findall(folded))
 
 
 @lru_cache(maxsize=1 << 16)
@@ -109,11 +130,11 @@ def _mended(token: str) -> str:
 def _prepare(text: str, fillers: bool = True) -> tuple[str, list[int] | None]:
     """Text without invisible marks and hesitation sounds and with plain garbling undone, and the
     place of each character in the original (None if nothing changed)."""
-    odd = not text.isascii() and (_MOJIBAKE.search(text) or _INVIS.search(text) or _MARKS.search(text))
+    odd = not text.isascii() and _SUSPECT.search(text) and (_MOJIBAKE.search(text) or _INVIS.search(text) or _MARKS.search(text))
     if not odd and not (fillers and _FILLER.search(text)):
         return text, None
-    out, at = [], []
-    for m in re.finditer(r"[ \n\r\t]+|[^ \n\r\t]+", text):
+    out, at = ([], []) if odd else ([text], range(len(text)))
+    for m in _PIECE.finditer(text) if odd else ():
         piece, base = m[0], m.start()
         fixed = piece if not _MOJIBAKE.search(piece) else _mended(piece) if len(piece) < 500 else repair(piece, {}, -12.0, 2)[0]
         if fixed == piece and (piece.isascii() or not _ODD.search(piece)):
@@ -147,7 +168,7 @@ def _prepare(text: str, fillers: bool = True) -> tuple[str, list[int] | None]:
 def _context(text: str, i: int, j: int) -> tuple[str, str]:
     left = _CONTEXT.findall(text[max(0, i - 40) : i])[-2:]
     right = _CONTEXT.findall(text[j : j + 40])[:2]
-    return _fold(" ".join(left)), _fold(" ".join(right))
+    return _folded(" ".join(left)), _folded(" ".join(right))
 
 
 class Finder:
@@ -155,6 +176,7 @@ class Finder:
 
     def __init__(self, given: set[str], family: set[str]) -> None:
         self.given, self.family = given, family
+        self.kept: dict[tuple[str, bool], tuple] = {}
         self.masked = {w[:i] + LOST + w[i + 1 :] for w in given for i in range(len(w))}
 
     def mentions(self, text: str, fillers: bool = True) -> Iterator[tuple]:
@@ -164,7 +186,7 @@ class Finder:
         the words of the text leave room for a hit.
         """
         t, at = _prepare(text, fillers)
-        tokens = set(_TOKEN.findall(_fold(t)))
+        tokens = _tokens(t)
         where = (lambda i, j: (i, j)) if at is None else (lambda i, j: (at[i], at[j - 1] + 1 if j else 0))
         taken: list[tuple[int, int]] = []
         free = lambda i, j: all(j <= a or i >= b for a, b in taken)
@@ -187,20 +209,20 @@ class Finder:
         if _LONG_NUMBER.search(t):
             for m in _NUMBER.finditer(t):
                 raw = m[0].strip()
-                n = sum(c.isdigit() for c in raw)
+                key = _GAP.sub("", raw).upper()
+                has_letter = not key.isdigit()
+                n = len(_DIGITS.findall(key)) if has_letter else len(key)
                 if not 6 <= n <= 15 or not free(*m.span()):
                     continue
-                has_letter = any(c.isalpha() for c in raw)
                 if n < 7 and not has_letter or raw.count("(") != raw.count(")") and raw.count(")"):
                     continue
                 before = t[max(0, m.start() - 3) : m.start()]
-                if re.search(r"[$€£]\s?$", before):
+                if _CURRENCY.search(before):
                     continue
-                kind = next((k for k, rx in _SURE if rx.match(raw)), None)
+                kind = sure.lastgroup if (sure := _SURE.match(raw)) else None
                 taken.append(m.span())
                 l2, r2 = _context(t, *m.span())
-                key = "".join(c for c in raw if c.isalnum()).upper()
-                shape = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", raw))
+                shape = _LETTERS.sub("A", _DIGITS.sub("9", raw))
                 yield (kind or "", "seed" if kind else "open", shape, l2, r2, key, *where(*m.span()))
         for m in SPOKEN.finditer(t) if len(tokens & _DIGIT_TOKENS) > 2 else ():
             if free(*m.span()):
@@ -208,19 +230,20 @@ class Finder:
                 l2, r2 = _context(t, *m.span())
                 key = "".join(str(_digit(w)) for w in re.findall(r"\w+", m[0]))
                 yield ("", "open", "spoken", l2, r2, key, *where(*m.span()))
-        if _UPPER.search(t) or not self.given.isdisjoint(tokens):
+        if LOST in t or _UPPER.search(t) or not self.given.isdisjoint(tokens):
             yield from self._names(t, taken, where)
 
     def _names(self, t: str, taken: list[tuple[int, int]], where) -> Iterator[tuple]:  # noqa: ANN001
-        words = [(m[0], m.start(), m.end()) for m in _WORD.finditer(t)]
+        words = [(m[0], *m.span()) for m in _WORD.finditer(t)]
         flat = t.isupper() or t.islower()
+        lost, given = LOST in t, self.given
         k, n = 0, len(words)
         while k < n:
-            w, i, j = words[k]
-            folded = _fold(w)
-            title = w[:1].isupper() or w[:1] == LOST
-            is_given = folded in self.given or (LOST in w and len(w) > 2 and folded in self.masked)
-            if not (title or is_given) or any(a <= i < b for a, b in taken):
+            w, i, _ = words[k]
+            folded = _folded(w) if len(w) < 40 else _fold(w)
+            title = w[0].isupper() or w[0] == LOST
+            is_given = folded in given or (lost and LOST in w and len(w) > 2 and folded in self.masked)
+            if not (title or is_given) or (taken and any(a <= i < b for a, b in taken)):
                 k += 1
                 continue
             # the run of words that can belong to one name
@@ -279,7 +302,15 @@ def seed_words(senders: DataFrame) -> DataFrame:
 
 
 def _row_mentions(finder: Finder, src: str, row: int, text: str) -> list[tuple]:
-    return [(src, row, *m) for m in finder.mentions(text, src != "parsed")]
+    fillers = src != "parsed"
+    if len(text) > KEPT_CHARS:
+        return [(src, row, *m) for m in finder.mentions(text, fillers)]
+    hits = finder.kept.get((text, fillers))
+    if hits is None:
+        if len(finder.kept) >= KEPT:
+            finder.kept.clear()
+        hits = finder.kept[text, fillers] = tuple(finder.mentions(text, fillers))
+    return [(src, row, *m) for m in hits]
 
 
 _COLUMNS = [c.split()[0] for c in MENTION.split(", ")]
@@ -312,7 +343,7 @@ def _joined_mentions(plain: DataFrame, seeds: DataFrame) -> DataFrame:
             found = []
             for s, t in zip(pdf["src"], pdf["text"]):
                 clean, _ = _prepare(t, s != "parsed")
-                found.append(sorted({_fold(m[0]) for m in _WORD.finditer(clean)} | set(_TOKEN.findall(_fold(clean)))))
+                found.append(sorted({_fold(m[0]) for m in _WORD.finditer(clean)} | _tokens(clean)))
             yield pdf.assign(words=found)
 
     keyed = plain.mapInPandas(split, "src string, row_id long, text string, words array<string>").withColumn("hash", F.xxhash64("text"))

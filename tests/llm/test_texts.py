@@ -239,6 +239,39 @@ def test_a_number_known_in_one_row_is_known_in_all(spark):
     assert got == {(k, "id_number") for k in range(7)}
 
 
+def test_a_repeated_text_is_searched_once(monkeypatch):
+    plain, searched = D.Finder.mentions, []
+    monkeypatch.setattr(D.Finder, "mentions", lambda self, t, fillers=True: searched.append(t) or plain(self, t, fillers))
+    finder = D.Finder({"igor"}, {"velquito"})
+    lines = ["falei com Igor hum ontem", "ana@b.com, +55 (30) 98491-5255", "nada", "x" * 1000 + " Igor"]
+    rows = [(src, k, t) for k, (src, t) in enumerate((src, t) for _ in range(3) for src in ("parsed", "utterances") for t in lines)]
+    got = [m for r in rows for m in D._row_mentions(finder, *r)]
+    assert got == [(src, k, *m) for src, k, t in rows for m in plain(finder, t, src != "parsed")] and len(got) == 24
+    # once for each way of reading; long texts aren't kept
+    assert [searched.count(t) for t in lines] == [2, 2, 2, 6]
+    monkeypatch.setattr(D, "KEPT", 2)
+    finder = D.Finder({"igor"}, {"velquito"})
+    assert [m for r in rows for m in D._row_mentions(finder, *r)] == got and len(finder.kept) <= 2
+
+
+def test_searches_that_skip_equal_the_plain_ones():
+    bits = ["Ana", "joão", "el\ufffdsa", "\ufffd", "_", "a_b", "-", "Ana-Maria", "d'Ávila", "’", "İ", "ſt", "ß", "Ω", "ж", "山", "e\u0301", "\u200b", "Ã©", "1a", "²", "１２", "123 456", "12.34-56", "1234567", " ", "\n", ", "]
+    word = D.re.compile(r"[^\W\d_](?:[\w'’\ufffd]|-(?=\w))*|\ufffd[\w\ufffd]*")
+    upper = D.re.compile(r"(?<!\w)[^\W\d_a-zß-öø-ÿ]\w|\ufffd")
+    number = D.re.compile(r"\d(?:[\s.()\-]{0,2}\d){5}|\d{6}")
+    base = {ord(c): b for c, b in D._TABLE.items()}
+    r = random.Random(5)
+    for _ in range(20_000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(1, 9)))
+        folded = t.lower().translate(base)
+        assert D._fold(t) == folded and D._tokens(t) == set(D._TOKEN.findall(folded)), t
+        assert [m.span() for m in D._WORD.finditer(t)] == [m.span() for m in word.finditer(t)], t
+        assert ("\ufffd" in t or bool(D._UPPER.search(t))) == bool(upper.search(t)), t
+        assert bool(D._LONG_NUMBER.search(t)) == bool(number.search(t)), t
+        if D._MOJIBAKE.search(t) or D._INVIS.search(t) or D._MARKS.search(t):
+            assert D._SUSPECT.search(t), t
+
+
 def test_wrapped_to_any_width():
     words = "a obra do telhado da vizinha parou porque a chuva voltou sem avisar e ninguém trouxe a lona que estava na garagem desde o mês passado".split()
     flat = (" ".join(words) + ". ") * 3
